@@ -1,119 +1,165 @@
 """Exact quantiles and tiles without sorting everything into one task.
 
-The k-th smallest value is found by narrowing: count rows per equal-width bin (a grouped
-count, combined on the map side), keep only the bin the wanted rank falls in, split that
-bin again, and finally count the few distinct values left in it. No step holds more than
-``BINS`` rows per wanted rank plus the distinct values of one 1/BINS**2 wide interval.
+To find the rows at a few ranks, the interval each rank lies in is narrowed: count rows
+per equal-width bin (a grouped count, combined on the map side), go on with the bin the
+rank falls in, and stop when an interval holds few rows or a single value. Every pass is
+an ordinary distributed aggregate; what returns to the driver is one small row per wanted
+rank. Later passes filter by literal bounds, which reach the file scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
+FEW_ROWS = 1_000_000
 
 
-def values_at(rows: DataFrame, group: str, value: str, wanted: DataFrame, bins: int = BINS) -> DataFrame:
-    """The value at each wanted 0-based ascending rank within its group.
+@dataclass
+class _Search:
+    """Where one wanted rank is known to lie."""
 
-    ``wanted`` has the group column, ``target`` (an id, unique per group) and ``rank``; it
-    must be small (a handful of ranks per group, few groups). Returns its columns plus
-    ``value`` and ``below``, the number of rows of the group strictly less than that value.
-    """
-    data = rows.select(F.col(group).alias("g"), F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    # binning only needs to be monotone, so DOUBLE is fine even for wide integers
-    data = data.withColumn("d", F.col("v").cast("double"))
-    extent = data.groupBy("g").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    wide = data.join(F.broadcast(extent), "g").withColumn("w", (F.col("hi") - F.col("lo")) / bins)
-
-    def bin_of(offset):
-        raw = F.floor(F.try_divide(offset, F.col("w")))
-        return F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(bins - 1))
-
-    first = wide.withColumn("b1", bin_of(F.col("d") - F.col("lo")))
-    targets = wanted.select(
-        F.col(group).alias("g"), "target", F.col("rank").cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("skip")
-    )
-    picked1 = _pick(first.groupBy("g", "b1").agg(F.count(F.lit(1)).alias("n")), targets, ["g"], "b1")
-
-    inside1 = first.join(F.broadcast(picked1.select("g", "b1").distinct()), ["g", "b1"], "left_semi")
-    second = inside1.withColumn("lo", F.col("lo") + F.col("b1") * F.col("w")).withColumn("w", F.col("w") / bins)
-    second = second.withColumn("b2", bin_of(F.col("d") - F.col("lo")))
-    picked2 = _pick(second.groupBy("g", "b1", "b2").agg(F.count(F.lit(1)).alias("n")), picked1, ["g", "b1"], "b2")
-
-    inside2 = second.join(F.broadcast(picked2.select("g", "b1", "b2").distinct()), ["g", "b1", "b2"], "left_semi")
-    distinct = inside2.groupBy("g", "b1", "b2", "v").agg(F.count(F.lit(1)).alias("n"))
-    found = _pick(distinct, picked2, ["g", "b1", "b2"], "v")
-    return found.select(
-        F.col("g").alias(group), "target", (F.col("r") + F.col("skip")).alias("rank"),
-        F.col("v").alias("value"), F.col("skip").alias("below"),
-    )
-
-
-def _pick(counts: DataFrame, targets: DataFrame, path: list[str], step: str) -> DataFrame:
-    """For each target, the ``step`` its rank falls in; ranks become relative to it."""
-    before = Window.partitionBy(*path).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    rank: int  # counted from the start of the interval
+    found: tuple  # values of the ordering columns settled so far
+    low: float
+    high: float
+    rows: int
+
+
+def _either(tests: list[Column]) -> Column:
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
+
+
+def _paths(keys: list[tuple], test: Callable[[tuple], Column]) -> Column:
+    """Index of the first key whose test holds, NULL if none does."""
+    out = F.when(test(keys[0]), F.lit(0))
+    for n, key in enumerate(keys[1:], 1):
+        out = out.when(test(key), F.lit(n))
+    return out
+
+
+def _hits(counts: DataFrame, step: str, searches: list[_Search], path_of: list[int]) -> list:
+    """For every search, the ``step`` group its rank falls in and the rows before it."""
+    before = Window.partitionBy("path").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     cumulative = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return (
-        cumulative.join(F.broadcast(targets), path)
-        .filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n")))
-        .select(
-            *path, step, "target",
-            (F.col("r") - F.col("before")).alias("r"),
-            (F.col("skip") + F.col("before")).alias("skip"),
-        )
-    )
-
-
-def exact_quantiles(rows: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
-    """Linearly interpolated quantiles: one row per group, columns ``q0``, ``q1``, ..."""
-    sizes = rows.groupBy(group).agg(F.count(value).alias("n"))
-    wanted = sizes.select(
-        group,
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(f"{side}{i}").alias("target"), pick(F.lit(p) * (F.col("n") - 1)).cast("bigint").alias("rank"))
-                for i, p in enumerate(probs)
-                for side, pick in (("lo", F.floor), ("hi", F.ceil))
-            ])
-        ).alias("t"),
-    ).select(group, "t.*").filter("rank >= 0")
-    found = values_at(rows, group, value, wanted).join(sizes, group)
-    out = []
-    for i, p in enumerate(probs):
-        low = F.max(F.when(F.col("target") == f"lo{i}", F.col("value").cast("double")))
-        high = F.max(F.when(F.col("target") == f"hi{i}", F.col("value").cast("double")))
-        where = F.lit(p) * (F.max("n") - 1)
-        out.append((low + (high - low) * (where - F.floor(where))).alias(f"q{i}"))
-    return found.groupBy(group).agg(*out)
-
-
-def tile_edges(rows: DataFrame, tiles: int, value: str, unique_id: str) -> DataFrame:
-    """One row with an array ``edges`` of (tile start value, id), ordering by value
-    descending then id ascending: the first row of tiles 2..n. The first (N mod n) tiles
-    hold one row more than the others."""
-    data = rows.select(F.lit(0).alias("all"), (-F.col(value)).alias("v"), F.col(unique_id).alias("id"))
-    starts = data.agg(F.count(F.lit(1)).alias("n")).select(
-        F.explode(F.sequence(F.lit(1), F.lit(tiles - 1))).alias("target"), "n"
-    ).select(
-        F.lit(0).alias("all"),
-        "target",
-        (F.col("target") * F.floor(F.col("n") / tiles) + F.least(F.col("target"), F.col("n") % tiles)).alias("rank"),
-        "n",
-    ).filter("rank < n")
-    by_value = values_at(data, "all", "v", starts)
-    # among rows tied on the value, the edge is the id at the remaining rank
-    ties = by_value.select("target", F.col("value").alias("v"), (F.col("rank") - F.col("below")).alias("rank"))
-    tied = data.join(F.broadcast(ties.select("v").distinct()), "v", "left_semi")
-    by_id = values_at(tied, "v", "id", ties)
-    return by_id.agg(
-        F.collect_list(F.struct((-F.col("v")).alias("value"), F.col("value").alias("id"))).alias("edges")
-    )
-
-
-def tile_of(value: str, unique_id: str, edges: Column) -> Column:
-    """Tile number of a row given the edges array."""
-    v, i = F.col(value), F.col(unique_id)
-    passed = F.filter(edges, lambda e: (v < e["value"]) | ((v == e["value"]) & (i >= e["id"])))
-    return (F.size(passed) + 1).cast("int")
+    wanted = [
+        (F.col("path") == p) & (F.col("before") <= s.rank) & (F.col("before") + F.col("n") > s.rank)
+        for s, p in zip(searches, path_of)
+    ]
+    groups = cumulative.filter(_either(wanted)).collect()  # at most one row per search
+    return [
+        next(g for g in groups if g["path"] == p and g["before"] <= s.rank < g["before"] + g["n"])
+        for s, p in zip(searches, path_of)
+    ]
+
+
+def rows_at(
+    rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]], few_rows: int = FEW_ROWS
+) -> list[tuple]:
+    """Values of the ``order`` columns in the rows at some 0-based ascending ranks.
+
+    ``ranks`` gets the number of rows and names the wanted ones. Rows compare by the first
+    column, ties by the second, and so on; rows with a NULL in the first are left out.
+    """
+    data = rows.select(*order).filter(F.col(order[0]).isNotNull())
+    searches: list[_Search] = []
+    for depth, column in enumerate(order):
+        value = F.col(column)
+        d = value.cast("double")  # bins only have to be monotone
+        if depth == 0:
+            size, low, high = data.agg(F.count(value), F.min(d), F.max(d)).first()
+            searches = [_Search(r, (), low, high, size) for r in ranks(size)]
+            tied, groups = data.withColumn("tie", F.lit(0)), [()]
+            if not searches:
+                return []
+        else:
+            groups = sorted({s.found for s in searches})
+            tied = data.withColumn("tie", _paths(
+                groups,
+                lambda g: _all([F.col(c) == F.lit(v) for c, v in zip(order, g)]),
+            )).filter(F.col("tie").isNotNull())
+            extent = {
+                e["tie"]: e
+                for e in tied.groupBy("tie").agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi")).collect()
+            }
+            for s in searches:
+                e = extent[groups.index(s.found)]
+                s.low, s.high, s.rows = e["lo"], e["hi"], e["n"]
+
+        def inside(key: tuple) -> Column:
+            tie, low, high = key
+            return (F.col("tie") == tie) & (d >= F.lit(low)) & (d <= F.lit(high))
+
+        while True:
+            intervals = list(dict.fromkeys((groups.index(s.found), s.low, s.high) for s in searches))
+            path_of = [intervals.index((groups.index(s.found), s.low, s.high)) for s in searches]
+            narrowed = tied.withColumn("path", _paths(intervals, inside)).filter(F.col("path").isNotNull())
+            wide = [s for s in searches if s.rows > few_rows and s.high > s.low]
+            if not wide:
+                break
+            low = F.element_at(F.array(*[F.lit(i[1]) for i in intervals]), F.col("path") + 1)
+            width = F.element_at(F.array(*[F.lit((i[2] - i[1]) / BINS) for i in intervals]), F.col("path") + 1)
+            bin_ = F.least(F.coalesce(F.floor(F.try_divide(d - low, width)), F.lit(0)), F.lit(BINS - 1))
+            counts = narrowed.groupBy("path", bin_.alias("bin")).agg(
+                F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi")
+            )
+            progress = False
+            for s, hit in zip(searches, _hits(counts, "bin", searches, path_of)):
+                progress = progress or hit["n"] < s.rows
+                s.rank, s.low, s.high, s.rows = s.rank - hit["before"], hit["lo"], hit["hi"], hit["n"]
+            if not progress:
+                break
+        counts = narrowed.groupBy("path", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        for s, hit in zip(searches, _hits(counts, "value", searches, path_of)):
+            s.rank, s.found = s.rank - hit["before"], (*s.found, hit["value"])
+    return [s.found for s in searches]
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for test in tests[1:]:
+        out = out & test
+    return out
+
+
+def exact_quantiles(rows: DataFrame, column: str, probs: list[float], few_rows: int = FEW_ROWS) -> list[float | None]:
+    """Linearly interpolated quantiles of the non-null values; None if there are none."""
+    where: list[float] = []
+
+    def ranks(size: int) -> list[int]:
+        where.extend(p * (size - 1) for p in probs if size)
+        return [r for w in where for r in (floor(w), ceil(w))]
+
+    found = [float(v) for (v,) in rows_at(rows, [column], ranks, few_rows)]
+    if not found:
+        return [None] * len(probs)
+    return [lo + (hi - lo) * (w - floor(w)) for w, lo, hi in zip(where, found[::2], found[1::2])]
+
+
+def with_tile(
+    df: DataFrame, tiles: int, value: str, unique_id: str, name: str, few_rows: int = FEW_ROWS
+) -> DataFrame:
+    """Number rows 1..tiles in equal shares, by value descending and then id ascending.
+
+    The first (rows mod tiles) tiles hold one row more. Only the first row of each tile is
+    looked for; a row's tile is then the count of tile starts it has reached.
+    """
+    def starts(size: int) -> list[int]:
+        small, more = divmod(size, tiles)
+        return [r for t in range(1, tiles) if (r := t * small + min(t, more)) < size]
+
+    keys = df.select((-F.col(value)).alias("value"), F.col(unique_id).alias("id"))
+    tile = F.lit(1)
+    for v, i in rows_at(keys, ["value", "id"], starts, few_rows):
+        lower = F.col(value) < F.lit(-v)
+        tie = (F.col(value) == F.lit(-v)) & (F.col(unique_id) >= F.lit(i))
+        tile = tile + F.when(lower | tie, 1).otherwise(0)
+    return df.withColumn(name, tile)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
-from aislelens.functions.order_statistics import tile_edges, tile_of
+from aislelens.functions.order_statistics import with_tile
 from aislelens.sources.files import cut_lineage
 
 
@@ -68,21 +68,17 @@ def rfm_lapsed_vs_active(rfm: DataFrame) -> DataFrame:
 def rfm_ntile_segments(orders: DataFrame, customers: DataFrame, tiles: int = 5) -> DataFrame:
     """Segments from recency bands and exact quintiles of frequency and spend.
 
-    The quintile edges are selected by counting, so no task ever sorts all customers; the
-    per-customer table is written out once because several passes read it.
+    The first customer of each quintile is found by counting, so no task ever sorts all
+    customers; the per-customer table is written out once because several passes read it.
     """
     rfm = cut_lineage(
         _recency(_spending(orders)).join(customers.select("customer_id"), "customer_id", "left_semi")
     )
-    scored = rfm.withColumns({
-        "recency_score": L.band("recency", L.RECENCY_QUINTILE_BANDS, L.RECENCY_QUINTILE_OTHER),
-        "frequency_score": tile_of(
-            "frequency", "customer_id", tile_edges(rfm, tiles, "frequency", "customer_id").scalar()
-        ),
-        "monetary_score": tile_of(
-            "monetary", "customer_id", tile_edges(rfm, tiles, "monetary", "customer_id").scalar()
-        ),
-    })
+    scored = rfm.withColumn(
+        "recency_score", L.band("recency", L.RECENCY_QUINTILE_BANDS, L.RECENCY_QUINTILE_OTHER)
+    )
+    for measure in ("frequency", "monetary"):
+        scored = with_tile(scored, tiles, measure, "customer_id", f"{measure}_score")
     segment = F.lit(L.RFM_SEGMENT_OTHER)
     for r, f, m, label in reversed(L.RFM_SEGMENTS):
         meets = (F.col("recency_score") >= r) & (F.col("frequency_score") >= f) & (F.col("monetary_score") >= m)

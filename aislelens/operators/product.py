@@ -263,21 +263,21 @@ def valid_orders_filter(
 def iqr_inliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows strictly inside the quartiles widened by k interquartile ranges.
 
-    The quartiles are exact and found by counting; the bounds come back as scalars, so
-    the rows are filtered in place.
+    The exact quartiles are known before the rows are read again, so the bounds are plain
+    literals and the file scan can skip what lies outside.
     """
-    values = df.select(F.lit(0).alias("all"), F.col(column).alias("value"))
-    quartiles = exact_quantiles(values, "all", "value", [0.25, 0.75])
-    iqr = F.col("q1") - F.col("q0")
-    bounds = quartiles.select(F.struct(
-        F.col("q0").alias("q1"), F.col("q1").alias("q3"), iqr.alias("iqr"),
-        (F.col("q0") - k * iqr).alias("lower_bound"), (F.col("q1") + k * iqr).alias("upper_bound"),
-    )).scalar()
-    return (
-        df.withColumn("_b", bounds)
-        .filter((F.col(column) > F.col("_b.lower_bound")) & (F.col(column) < F.col("_b.upper_bound")))
-        .select(*df.columns, "_b.q1", "_b.q3", "_b.lower_bound", "_b.upper_bound", "_b.iqr")
+    q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
+    iqr = None if q1 is None else q3 - q1
+    bounds = {
+        "q1": q1, "q3": q3,
+        "lower_bound": None if q1 is None else q1 - k * iqr,
+        "upper_bound": None if q1 is None else q3 + k * iqr,
+        "iqr": iqr,
+    }
+    inside = df.filter(
+        (F.col(column) > F.lit(bounds["lower_bound"])) & (F.col(column) < F.lit(bounds["upper_bound"]))
     )
+    return inside.withColumns({name: F.lit(v).cast("double") for name, v in bounds.items()})
 
 
 def category_avg_mrp(products: DataFrame) -> DataFrame:

@@ -152,11 +152,18 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, "column_name", "value", [0.25, 0.5, 0.75])
-    return moments.join(quartiles, "column_name", "left").select(
+    # the quartiles of each column are single numbers, found by exact distributed counting
+    quartiles = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in columns}
+
+    def quartile(n: int) -> Column:
+        pick = F.lit(None).cast("double")
+        for c, values in quartiles.items():
+            pick = F.when(F.col("column_name") == c, F.lit(values[n])).otherwise(pick)
+        return N.half_up(pick, 6)
+
+    return moments.select(
         "column_name", "count", "mean", "std", "min",
-        N.half_up("q0", 6).alias("q25"), N.half_up("q1", 6).alias("q50"), N.half_up("q2", 6).alias("q75"),
-        "max",
+        quartile(0).alias("q25"), quartile(1).alias("q50"), quartile(2).alias("q75"), "max",
     )
 
 
