@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,19 +32,15 @@ class _Search:
     rows: int
 
 
-def _either(tests: list[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
+def _split(df: DataFrame, name: str, tests: list[Column]) -> DataFrame:
+    """Rows for which one of the (exclusive) tests holds, with the number of that test.
 
-
-def _paths(keys: list[tuple], test: Callable[[tuple], Column]) -> Column:
-    """Index of the first key whose test holds, NULL if none does."""
-    out = F.when(test(keys[0]), F.lit(0))
-    for n, key in enumerate(keys[1:], 1):
-        out = out.when(test(key), F.lit(n))
-    return out
+    The disjunction is a filter of its own because a scan can use it, unlike the CASE.
+    """
+    number = F.when(tests[0], F.lit(0))
+    for n, test in enumerate(tests[1:], 1):
+        number = number.when(test, F.lit(n))
+    return df.filter(reduce(Column.__or__, tests)).withColumn(name, number)
 
 
 def _hits(counts: DataFrame, step: str, searches: list[_Search], path_of: list[int]) -> list:
@@ -54,16 +51,14 @@ def _hits(counts: DataFrame, step: str, searches: list[_Search], path_of: list[i
         (F.col("path") == p) & (F.col("before") <= s.rank) & (F.col("before") + F.col("n") > s.rank)
         for s, p in zip(searches, path_of)
     ]
-    groups = cumulative.filter(_either(wanted)).collect()  # at most one row per search
+    groups = cumulative.filter(reduce(Column.__or__, wanted)).collect()  # at most one row per search
     return [
         next(g for g in groups if g["path"] == p and g["before"] <= s.rank < g["before"] + g["n"])
         for s, p in zip(searches, path_of)
     ]
 
 
-def rows_at(
-    rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]], few_rows: int = FEW_ROWS
-) -> list[tuple]:
+def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]) -> list[tuple]:
     """Values of the ``order`` columns in the rows at some 0-based ascending ranks.
 
     ``ranks`` gets the number of rows and names the wanted ones. Rows compare by the first
@@ -82,16 +77,13 @@ def rows_at(
                 return []
         else:
             groups = sorted({s.found for s in searches})
-            tied = data.withColumn("tie", _paths(
-                groups,
-                lambda g: _all([F.col(c) == F.lit(v) for c, v in zip(order, g)]),
-            )).filter(F.col("tie").isNotNull())
-            extent = {
-                e["tie"]: e
-                for e in tied.groupBy("tie").agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi")).collect()
-            }
+            tied = _split(data, "tie", [
+                reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in zip(order, g)]) for g in groups
+            ])
+            extent = tied.groupBy("tie").agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi"))
+            of_tie = {e["tie"]: e for e in extent.collect()}  # one row per tie
             for s in searches:
-                e = extent[groups.index(s.found)]
+                e = of_tie[groups.index(s.found)]
                 s.low, s.high, s.rows = e["lo"], e["hi"], e["n"]
 
         def inside(key: tuple) -> Column:
@@ -101,8 +93,8 @@ def rows_at(
         while True:
             intervals = list(dict.fromkeys((groups.index(s.found), s.low, s.high) for s in searches))
             path_of = [intervals.index((groups.index(s.found), s.low, s.high)) for s in searches]
-            narrowed = tied.withColumn("path", _paths(intervals, inside)).filter(F.col("path").isNotNull())
-            wide = [s for s in searches if s.rows > few_rows and s.high > s.low]
+            narrowed = _split(tied, "path", [inside(i) for i in intervals])
+            wide = [s for s in searches if s.rows > FEW_ROWS and s.high > s.low]
             if not wide:
                 break
             low = F.element_at(F.array(*[F.lit(i[1]) for i in intervals]), F.col("path") + 1)
@@ -123,14 +115,7 @@ def rows_at(
     return [s.found for s in searches]
 
 
-def _all(tests: list[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out & test
-    return out
-
-
-def exact_quantiles(rows: DataFrame, column: str, probs: list[float], few_rows: int = FEW_ROWS) -> list[float | None]:
+def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Linearly interpolated quantiles of the non-null values; None if there are none."""
     where: list[float] = []
 
@@ -138,15 +123,13 @@ def exact_quantiles(rows: DataFrame, column: str, probs: list[float], few_rows:
         where.extend(p * (size - 1) for p in probs if size)
         return [r for w in where for r in (floor(w), ceil(w))]
 
-    found = [float(v) for (v,) in rows_at(rows, [column], ranks, few_rows)]
+    found = [float(v) for (v,) in rows_at(rows, [column], ranks)]
     if not found:
         return [None] * len(probs)
     return [lo + (hi - lo) * (w - floor(w)) for w, lo, hi in zip(where, found[::2], found[1::2])]
 
 
-def with_tile(
-    df: DataFrame, tiles: int, value: str, unique_id: str, name: str, few_rows: int = FEW_ROWS
-) -> DataFrame:
+def with_tile(df: DataFrame, tiles: int, value: str, unique_id: str, name: str) -> DataFrame:
     """Number rows 1..tiles in equal shares, by value descending and then id ascending.
 
     The first (rows mod tiles) tiles hold one row more. Only the first row of each tile is
@@ -158,7 +141,7 @@ def with_tile(
 
     keys = df.select((-F.col(value)).alias("value"), F.col(unique_id).alias("id"))
     tile = F.lit(1)
-    for v, i in rows_at(keys, ["value", "id"], starts, few_rows):
+    for v, i in rows_at(keys, ["value", "id"], starts):
         lower = F.col(value) < F.lit(-v)
         tie = (F.col(value) == F.lit(-v)) & (F.col(unique_id) >= F.lit(i))
         tile = tile + F.when(lower | tie, 1).otherwise(0)

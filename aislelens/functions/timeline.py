@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+HOT = "_hot"
 
 # A key is hot when it has more than MIN_ROWS rows and more than 1/MAX_HOT_KEYS of all
 # rows. The second condition bounds the number of hot keys by MAX_HOT_KEYS whatever the
@@ -33,38 +34,40 @@ def slice_hot_keys(
     key: list[str],
     ts: str,
     count_from: DataFrame | None = None,
-    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """Add ``_slice``: NULL for ordinary keys, the minute of ``ts`` for hot ones.
+    """Add ``_hot`` (true or NULL) and ``_slice``: NULL for ordinary keys, else the minute of ``ts``.
 
     ``count_from`` is a cheaper relation with at least the rows of ``df`` per key (the
     table before it was joined); counting there is an upper bound, which is all we need.
     """
     source = df if count_from is None else count_from
+    for k in key:
+        source = source.filter(F.col(k).isNotNull())
     per_key = source.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     everything = per_key.agg(F.sum("_n")).scalar()
     hot = (
-        per_key.filter((F.col("_n") > min_rows) & (F.col("_n") * MAX_HOT_KEYS > everything))
-        .select(*key, F.lit(True).alias("_hot"))
-    )
-    return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn(SLICE, F.when(F.col("_hot"), minute_slice(ts)))
-        .drop("_hot")
+        per_key.filter((F.col("_n") > MIN_ROWS) & (F.col("_n") * MAX_HOT_KEYS > everything))
+        .select(*key, F.lit(True).alias(HOT))
     )
+    return df.join(F.broadcast(hot), key, "left").withColumn(SLICE, F.when(F.col(HOT), minute_slice(ts)))
+
+
+def slice_counted(df: DataFrame, ts: str) -> DataFrame:
+    """The same for rows that already carry the size of their key in ``_n``."""
+    return df.withColumn(HOT, F.col("_n") > MIN_ROWS).withColumn(SLICE, F.when(F.col(HOT), minute_slice(ts)))
 
 
 def with_next(sliced: DataFrame, key: list[str], order: list[str], take: dict[str, str]) -> DataFrame:
     """Add, per key, values of the following row: ``take`` maps new column -> source column.
 
-    ``sliced`` comes from :func:`slice_hot_keys`, whose time column must be ``order[0]``.
-    The last row of a key gets NULLs.
+    ``sliced`` comes from :func:`slice_hot_keys`, whose time column must be ``order[0]``; its
+    helper columns stay, so that a second lookup can follow. The last row of a key gets NULLs.
     """
     part = [*key, SLICE]
     taken = F.struct(*[F.col(src).alias(new) for new, src in take.items()])
     following = F.lead(taken).over(Window.partitionBy(*part).orderBy(*order))
     first_rows = (
-        sliced.filter(F.col(SLICE).isNotNull())
+        sliced.filter(HOT)  # nothing to do, and nothing read, when no key is hot
         .groupBy(*part)
         .agg(F.min_by(taken, F.struct(*order)).alias("_first"))
     )
@@ -90,7 +93,7 @@ def with_position(
     """
     part = [*key, SLICE]
     rank = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy(*part).orderBy(*order))
-    hot = sliced.filter(F.col(SLICE).isNotNull())
+    hot = sliced.filter(HOT)
     if dense:
         hot = hot.select(*part, *[c for c in order if c not in part]).distinct()
     sizes = hot.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))

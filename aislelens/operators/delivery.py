@@ -13,8 +13,10 @@ from aislelens.functions.timeline import slice_hot_keys, with_next
 ORDER = ["order_date", "order_id"]
 AHEAD = "gap_between_promised_actual_time"
 
-# Windows over everything appear below only on results already grouped by a few labels.
-ALL_GROUPS = Window.partitionBy()
+
+def _overall(column: str) -> Column:
+    """Sum over all rows; used only on results already grouped by a few labels."""
+    return F.sum(column).over(Window.partitionBy())
 
 
 def _timeline(orders: DataFrame, columns: list[str], take: dict[str, str]) -> DataFrame:
@@ -56,8 +58,8 @@ def delivery_timing_feedback(
     bad = F.col("neg_fdbk_for_delivery_cnt")
     return grouped.withColumns({
         "neg_fdbk_for_delivery_among_all_neg_reviews_pct": N.percent(bad, "negative_fdbk_cnt"),
-        "neg_review_for_delivery_among_all_orders_pct": N.percent(bad, F.sum("_rows").over(ALL_GROUPS)),
-        "order_contribution_pct": N.percent("order_cnt", F.sum("order_cnt").over(ALL_GROUPS)),
+        "neg_review_for_delivery_among_all_orders_pct": N.percent(bad, _overall("_rows")),
+        "order_contribution_pct": N.percent("order_cnt", _overall("order_cnt")),
     }).drop("_rows")
 
 
@@ -276,7 +278,7 @@ def segment_bad_delivery(customers: DataFrame, feedback: DataFrame) -> DataFrame
 def share_by(df: DataFrame, key: str, counted: str, count_name: str, share_name: str) -> DataFrame:
     """Rows per label of a column and their percentage of all counted rows."""
     groups = df.groupBy(key).agg(F.count(counted).alias(count_name))
-    share = F.try_divide(F.col(count_name) * 100.0, F.sum(count_name).over(ALL_GROUPS))
+    share = F.try_divide(F.col(count_name) * 100.0, _overall(count_name))
     return groups.withColumn(share_name, N.half_up(share, 6))
 
 

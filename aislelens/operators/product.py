@@ -9,7 +9,7 @@ from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
 from aislelens.functions.order_statistics import exact_quantiles
-from aislelens.functions.timeline import SLICE, with_position
+from aislelens.functions.timeline import HOT, SLICE, with_position
 
 
 def _sold(orders: DataFrame, items: DataFrame, *columns: str | Column, how: str = "inner") -> DataFrame:
@@ -134,7 +134,7 @@ def area_product_rank(
         )
         .filter("order_size > 1")
         .join(products.select("product_id", "product_name"), "product_id")
-        .withColumn(SLICE, F.floor("_worth"))
+        .withColumns({HOT: F.lit(True), SLICE: F.floor("_worth")})
     )
     return with_position(cells, ["area"], ["_worth"], "aov_rnk", dense=True).select(
         "area", "product_id", "product_name", "order_size", "aov", "aov_rnk"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aislelens.functions import numeric as N
 from aislelens.functions.order_statistics import exact_quantiles
-from aislelens.functions.timeline import MIN_ROWS, SLICE, minute_slice, with_position
+from aislelens.functions.timeline import slice_counted, with_position
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -46,9 +46,7 @@ def fk_violations(checks: list[tuple[str, DataFrame, str, DataFrame]]) -> DataFr
     return _union([check(*c) for c in checks])
 
 
-def duplicate_rank(
-    df: DataFrame, key: str, ts: str, tie: list[str], min_rows: int = MIN_ROWS
-) -> DataFrame:
+def duplicate_rank(df: DataFrame, key: str, ts: str, tie: list[str]) -> DataFrame:
     """Second and later rows of each key, numbered by time.
 
     Keys that occur once are dropped before anything is sorted; keys with very many rows
@@ -56,9 +54,7 @@ def duplicate_rank(
     """
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     narrow = df.select(*dict.fromkeys([key, ts, *tie]))
-    rows = narrow.join(repeated, key).withColumn(
-        SLICE, F.when(F.col("_n") > min_rows, minute_slice(ts))
-    )
+    rows = slice_counted(narrow.join(repeated, key), ts)
     ranked = with_position(rows, [key], list(dict.fromkeys([ts, *tie])), "duplicate_rank")
     return ranked.filter("duplicate_rank > 1").select(key, "duplicate_rank")
 
@@ -73,9 +69,7 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def later_dates(
-    df: DataFrame, key: list[str], ts: str, name: str, keep: list[str], min_rows: int = MIN_ROWS
-) -> DataFrame:
+def later_dates(df: DataFrame, key: list[str], ts: str, name: str, keep: list[str]) -> DataFrame:
     """Rows dated after the first date of their key, with the dense rank of the date.
 
     A key with a single date has nothing to report, so min and max per key (combined on
@@ -87,8 +81,7 @@ def later_dates(
         .filter("_lo < _hi")
         .select(*key, "_n")
     )
-    rows = df.select(*dict.fromkeys([*key, ts, *keep])).join(several, key)
-    rows = rows.withColumn(SLICE, F.when(F.col("_n") > min_rows, minute_slice(ts)))
+    rows = slice_counted(df.select(*dict.fromkeys([*key, ts, *keep])).join(several, key), ts)
     return with_position(rows, key, [ts], name, dense=True).filter(F.col(name) > 1).select(*keep, name)
 
 
