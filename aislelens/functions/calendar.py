@@ -40,13 +40,8 @@ def iso_week_period(ts: Column | str) -> Column:
 
 def minutes_between(start: Column | str, end: Column | str) -> Column:
     """Minutes from start to end as DOUBLE; negative when end is earlier."""
-    gap = _col(end) - _col(start)
-    return (
-        F.date_part(F.lit("DAY"), gap) * 1440
-        + F.date_part(F.lit("HOUR"), gap) * 60
-        + F.date_part(F.lit("MINUTE"), gap)
-        + F.date_part(F.lit("SECOND"), gap).cast("double") / 60
-    ).cast("double")
+    seconds = (_col(end) - _col(start)).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / 60
 
 
 def whole_days_between(start: Column | str, end: Column | str) -> Column:

@@ -284,3 +284,9 @@ JOBS: dict[str, Job] = {
 
 def run(name: str, spark: SparkSession, directory: str) -> DataFrame:
     return JOBS[name](RetailTables(spark, directory))
+
+
+def register_views(tables: RetailTables, names: list[str], prefix: str = "vw_") -> None:
+    """Offer analyses to SQL users as temporary views; they are computed when queried."""
+    for name in names:
+        JOBS[name](tables).createOrReplaceTempView(f"{prefix}{name}")

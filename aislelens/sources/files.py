@@ -35,6 +35,11 @@ def append_to_table(df: DataFrame, table: str) -> None:
     df.write.mode("append").saveAsTable(table)
 
 
+def append_to_jdbc(df: DataFrame, url: str, table: str, writers: int, properties: dict[str, str]) -> None:
+    """Append a cleaned table to a database over at most ``writers`` connections."""
+    df.coalesce(writers).write.mode("append").jdbc(url, table, properties=properties)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder every executor can reach.
 
