@@ -1,7 +1,7 @@
 """Cohorts and customer value."""
 
 from aislelens.functions import labels as L
-from aislelens.plans.oracle.base import avg, big, grow, hu, label, mean, pct, query, ratio, total
+from aislelens.plans.oracle.base import avg, grow, hu, label, pct, query, total
 
 # Cohorts by a self-join and a distinct count.
 _COHORT = {

@@ -1,5 +1,5 @@
 from aislelens.functions import labels as L
-from aislelens.plans.oracle.base import avg, big, hu, label, mean, pct, query, total
+from aislelens.plans.oracle.base import avg, hu, label, pct, query, total
 
 _GAP_FLAG = label("delivery_gap_in_minutes", L.DELIVERY_GAP_BANDS, L.DELIVERY_GAP_OTHER)
 _DISTANCE = label("distance_km", L.DISTANCE_FLAG_BANDS, L.DISTANCE_FLAG_OTHER)

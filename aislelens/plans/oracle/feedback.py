@@ -1,4 +1,4 @@
-from aislelens.plans.oracle.base import avg, big, grow, hu, pct, query
+from aislelens.plans.oracle.base import avg, grow, pct, query
 from aislelens.plans.oracle.delivery import share
 
 _BAD = "sentiment = 'negative'"

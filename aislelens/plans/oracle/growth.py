@@ -1,5 +1,5 @@
 from aislelens.functions import labels as L
-from aislelens.plans.oracle.base import MONTH_TITLE, avg, big, grow, hu, label, pct, query, ratio, total
+from aislelens.plans.oracle.base import MONTH_TITLE, avg, grow, hu, label, query, ratio, total
 from aislelens.plans.oracle.delivery import share
 
 _TITLE = MONTH_TITLE.format("order_date")

@@ -1,4 +1,4 @@
-from aislelens.plans.oracle.base import big, hu, pct, query
+from aislelens.plans.oracle.base import hu, pct, query
 
 _TABLES = {
     "orders": "r_orders", "customers": "r_customers", "feedback": "r_feedback",

@@ -1,4 +1,4 @@
-from aislelens.plans.oracle.base import avg, big, hu, mean, query, total
+from aislelens.plans.oracle.base import avg, hu, mean, query, total
 
 _THEN = "over (partition by customer_id order by order_date, order_id)"
 _FOLLOWED = f"""

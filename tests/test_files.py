@@ -1,0 +1,89 @@
+"""CSV, append and the whole way from delivered files to cleaned tables."""
+
+import os
+
+import pytest
+
+from aislelens.plans import catalog, ingest
+from aislelens.sources import files, schemas
+from aislelens.sources.retail import RetailTables
+
+ORDERS = """order_id,customer_id,order_date,promised_delivery_time,actual_delivery_time,order_total,payment_method,delivery_partner_id,store_id
+1,7,2024-01-01 10:00:00,2024-01-01 10:20:00,2024-01-01 10:25:00,12.50,UPI,3,9
+2,7,2024-02-01 23:00:00,2024-02-01 23:20:00,2024-02-01 23:08:00,7.25,Cash,3,9
+"""
+DELIVERY = """order_id,delivery_partner_id,promised_time,actual_time,delivery_time_minutes,distance_km,delivery_status,reasons_if_delayed
+1,3,2024-01-01 10:20:00,2024-01-01 10:25:00,5.0,0.8,Slightly Delayed,Traffic
+2,3,2024-02-01 23:20:00,2024-02-01 23:08:00,-12.0,4.2,On Time,
+"""
+
+
+def _deliver(tmp_path, name, text):
+    folder = tmp_path / "in" / name
+    folder.mkdir(parents=True)
+    (folder / "part.csv").write_text(text)
+    return str(folder)
+
+
+def test_ingest_appends_cleaned_tables(spark, tmp_path):
+    delivered = {"orders": _deliver(tmp_path, "orders", ORDERS), "delivery": _deliver(tmp_path, "delivery", DELIVERY)}
+    target = str(tmp_path / "tables")
+    ingest.ingest(spark, delivered, target)
+    ingest.ingest(spark, delivered, target)
+    orders = spark.read.parquet(f"{target}/orders")
+    assert orders.count() == 4
+    first = orders.filter("order_id = 1").first()
+    assert (first["payment_method"], first["delivery_gap_in_minutes"], first["gap_between_promised_actual_time"]) == ("upi", 25.0, -5.0)
+    assert (first["delivery_gap_flag"], first["order_hour"], first["order_weekly_period"]) == ("very late", 10, "2024-01-01/2024-01-07")
+    assert "store_id" not in orders.columns
+    delivery = spark.read.parquet(f"{target}/delivery").dropDuplicates(["order_id"]).orderBy("order_id").collect()
+    assert [(r["reasons_if_delayed"], r["delivery_status"], r["delivery_distance_flag"]) for r in delivery] == [
+        ("traffic", "slightly delayed", "below 1 km"), ("not given", "on time", "between 4 km")
+    ]
+    # a period is read from its own folders only
+    plan = orders.filter("order_year = 2024 and order_month = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in plan
+
+
+def test_csv_round_trip_keeps_nulls_and_types(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "a,b"), (2, 0.1, 'say "x"')], "id bigint, x double, s string")
+    files.write_csv(df, str(tmp_path / "out"))
+    back = files.load_csv(spark, str(tmp_path / "out"), "id bigint, x double, s string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_value_of_the_wrong_type_fails_the_load(spark, tmp_path):
+    folder = _deliver(tmp_path, "items", "order_id,product_id,quantity,unit_price\n1,2,many,3.0\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        files.load_csv(spark, folder, schemas.ORDER_ITEMS).collect()
+
+
+def test_append_to_a_catalogue_table(spark):
+    df = spark.range(3)
+    for _ in range(2):
+        files.append_to_table(df, "aislelens_append_check")
+    try:
+        assert spark.table("aislelens_append_check").count() == 6
+    finally:
+        spark.sql("drop table aislelens_append_check")
+
+
+def test_views_answer_sql(spark):
+    catalog.register_views(RetailTables(spark, "/root/testdata/sf0.001"), ["cohort_retention", "rfm_fixed_bins"])
+    assert spark.sql("select max(retention_rate) from vw_cohort_retention").first()[0] == 100.0
+    assert spark.sql("select sum(cust_size_pct) from vw_rfm_fixed_bins").first()[0] == pytest.approx(100, abs=0.5)
+
+
+def test_lineage_is_cut_in_the_configured_folder(spark):
+    folder = files.shared_folder(spark, "x")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert not configured or folder.startswith(configured)
+    assert files.cut_lineage(spark.range(5)).count() == 5
+
+
+@pytest.mark.skipif("RETAIL_GOLDEN" not in os.environ, reason="set RETAIL_GOLDEN=<delivered csv>,<cleaned csv>")
+def test_product_cleaning_reproduces_a_cleaned_file(spark):
+    delivered, cleaned = os.environ["RETAIL_GOLDEN"].split(",")
+    ours = ingest.read_cleaned(spark, "products", delivered)
+    want = files.load_csv(spark, cleaned, f"{schemas.PRODUCTS}, profit double")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, want.select(ours.columns).collect()))

@@ -1,7 +1,6 @@
 """Exact ranks, quantiles and tiles against sorting in plain Python."""
 
 import random
-import statistics
 from decimal import Decimal
 
 import numpy as np
