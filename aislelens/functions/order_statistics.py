@@ -90,16 +90,20 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]
             tie, low, high = key
             return (F.col("tie") == tie) & (d >= F.lit(low)) & (d <= F.lit(high))
 
+        rounds = 0
         while True:
             intervals = list(dict.fromkeys((groups.index(s.found), s.low, s.high) for s in searches))
             path_of = [intervals.index((groups.index(s.found), s.low, s.high)) for s in searches]
-            narrowed = _split(tied, "path", [inside(i) for i in intervals])
+            if depth == rounds == 0:  # a single interval holds everything
+                narrowed = tied.withColumn("path", F.lit(0))
+            else:
+                narrowed = _split(tied, "path", [inside(i) for i in intervals])
             wide = [s for s in searches if s.rows > FEW_ROWS and s.high > s.low]
             if not wide:
                 break
-            low = F.element_at(F.array(*[F.lit(i[1]) for i in intervals]), F.col("path") + 1)
-            width = F.element_at(F.array(*[F.lit((i[2] - i[1]) / BINS) for i in intervals]), F.col("path") + 1)
-            bin_ = F.least(F.coalesce(F.floor(F.try_divide(d - low, width)), F.lit(0)), F.lit(BINS - 1))
+            rounds += 1
+            start, end = (F.element_at(F.array(*map(F.lit, ends)), F.col("path") + 1) for ends in list(zip(*intervals))[1:])
+            bin_ = F.width_bucket(d, start, end, F.lit(BINS))  # NULL for an interval of one value
             counts = narrowed.groupBy("path", bin_.alias("bin")).agg(
                 F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi")
             )

@@ -135,28 +135,23 @@ def row_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column_name", "value"
-    )
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        N.half_up(F.avg("value"), 6).alias("mean"),
-        N.half_up(F.stddev_samp("value"), 6).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # the quartiles of each column are single numbers, found by exact distributed counting
-    quartiles = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in columns}
-
-    def quartile(n: int) -> Column:
-        pick = F.lit(None).cast("double")
-        for c, values in quartiles.items():
-            pick = F.when(F.col("column_name") == c, F.lit(values[n])).otherwise(pick)
-        return N.half_up(pick, 6)
-
-    return moments.select(
-        "column_name", "count", "mean", "std", "min",
-        quartile(0).alias("q25"), quartile(1).alias("q50"), quartile(2).alias("q75"), "max",
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[
+        measure(F.col(c).cast("double")).alias(f"{name} {c}") for c in columns for name, measure in moments.items()
+    ])
+
+    def line(column: str) -> Column:
+        # the quartiles are single numbers by now, found by exact distributed counting
+        quartiles = zip(("q25", "q50", "q75"), exact_quantiles(df, column, [0.25, 0.5, 0.75]))
+        return F.struct(
+            F.lit(column).alias("column_name"),
+            *[F.col(f"{name} {column}").alias(name) for name in moments],
+            *[F.lit(value).cast("double").alias(name) for name, value in quartiles],
+        )
+
+    return wide.select(F.inline(F.array(*[line(c) for c in columns]))).select(
+        "column_name", "count", *[N.half_up(c, 6).alias(c) for c in ("mean", "std")], "min",
+        *[N.half_up(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max",
     )
 
 

@@ -55,8 +55,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a result that several passes read to reliable storage, once."""
+    """Write a result that several passes read to the shared folder, once, and read it back.
+
+    Losing an executor then costs no recomputation, and each pass reads only the columns
+    and row groups it needs.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
-    return df.checkpoint()
+    path = shared_folder(spark, "intermediate")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislelens.operators import cleaning
@@ -112,21 +112,15 @@ class RetailTables:
 
     @cached_property
     def items(self) -> DataFrame:
-        """One line per order. The row limit of 1 is applied before the shuffle too, so an
-        order with very many lines sends one row per task."""
-        lines = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
-        )
-        return (
-            self.raw("lineitem")
-            .withColumn("line", F.row_number().over(lines))
-            .filter("line = 1")
-            .select(
-                F.col("l_orderkey").alias("order_id"),
-                F.col("l_partkey").alias("product_id"),
-                F.col("l_quantity").cast("int").alias("quantity"),
-                _money(F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("unit_price"),
-            )
+        """One line per order: the first in line order. A minimum is combined on the map
+        side, so an order with very many lines sends one row per task."""
+        line_order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+        first = self.raw("lineitem").groupBy("l_orderkey").agg(F.min(F.struct(*line_order)).alias("line"))
+        return first.select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("line.l_partkey").alias("product_id"),
+            F.col("line.l_quantity").cast("int").alias("quantity"),
+            _money(F.col("line.l_extendedprice") / F.col("line.l_quantity") / 100).alias("unit_price"),
         )
 
     @cached_property
