@@ -34,35 +34,36 @@ def _slice(ts: str, rows: Column) -> Column:
     return t - F.make_dt_interval(mins=F.when(rows > HUGE, 0).otherwise(minute), secs=second)
 
 
-def slice_hot_keys(
-    df: DataFrame,
-    key: list[str],
-    ts: str,
-    count_from: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``_hot`` (true or NULL) and ``_slice``: the hour or minute of ``ts`` for hot keys, else NULL.
+def mark_hot_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    """Add ``_hot`` (true or NULL) and the key's row count for hot keys.
 
-    ``count_from`` is a cheaper relation with at least the rows of ``df`` per key (the
-    table before it was joined); counting there is an upper bound, which is all we need.
+    Marking a table before joining it lets the work that only concerns hot keys drop all
+    other rows ahead of the join.
     """
-    source = df if count_from is None else count_from
+    counted = df
     for k in key:
-        source = source.filter(F.col(k).isNotNull())
-    per_key = source.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        counted = counted.filter(F.col(k).isNotNull())
+    per_key = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     everything = per_key.agg(F.sum("_n")).scalar()
     hot = (
         per_key.filter((F.col("_n") > MIN_ROWS) & (F.col("_n") * MAX_HOT_KEYS > everything))
         .select(*key, F.lit(True).alias(HOT), "_n")
     )
-    marked = df.join(F.broadcast(hot), key, "left")
+    return df.join(F.broadcast(hot), key, "left")
+
+
+def add_slices(marked: DataFrame, ts: str) -> DataFrame:
+    """Add ``_slice`` to marked rows: the hour or minute of ``ts`` for hot keys, else NULL."""
     return marked.withColumn(SLICE, F.when(F.col(HOT), _slice(ts, F.col("_n")))).drop("_n")
 
 
+def slice_hot_keys(df: DataFrame, key: list[str], ts: str) -> DataFrame:
+    return add_slices(mark_hot_keys(df, key), ts)
+
+
 def slice_counted(df: DataFrame, ts: str) -> DataFrame:
     """The same for rows that already carry the size of their key in ``_n``."""
-    return df.withColumn(HOT, F.col("_n") > MIN_ROWS).withColumn(
-        SLICE, F.when(F.col(HOT), _slice(ts, F.col("_n")))
-    )
+    return add_slices(df.withColumn(HOT, F.col("_n") > MIN_ROWS), ts)
 
 
 def with_next(sliced: DataFrame, key: list[str], order: list[str], take: dict[str, str]) -> DataFrame:

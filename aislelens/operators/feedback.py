@@ -78,10 +78,10 @@ def monthly_feedback_ratio(orders: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def churn_after_bad_review(orders: DataFrame, feedback: DataFrame) -> DataFrame:
     """Customers whose last reviewed order was reviewed badly, per month of that order."""
-    reviewed = _reviewed_orders(orders, feedback, ["customer_id", "order_date"], ["feedback_id", "sentiment"])
-    sliced = slice_hot_keys(reviewed, ["customer_id"], "order_date", count_from=orders)
+    timeline = slice_hot_keys(orders.select("order_id", "customer_id", "order_date"), ["customer_id"], "order_date")
+    reviewed = timeline.join(feedback.select("order_id", "feedback_id", "sentiment"), "order_id")
     followed = with_next(
-        sliced, ["customer_id"], ["order_date", "order_id", "feedback_id"], {"next_date": "order_date"}
+        reviewed, ["customer_id"], ["order_date", "order_id", "feedback_id"], {"next_date": "order_date"}
     )
     lost = F.col("next_date").isNull() & _is(L.NEGATIVE)
     per_customer = followed.groupBy(cal.month_start("order_date").alias("order_month"), "customer_id").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aislelens.functions import calendar as cal
 from aislelens.functions import numeric as N
-from aislelens.functions.timeline import slice_hot_keys, with_next
+from aislelens.functions.timeline import HOT, SLICE, add_slices, mark_hot_keys, slice_hot_keys, with_next
 
 ORDER = ["order_date", "order_id", "product_id"]
 
@@ -19,9 +19,14 @@ def purchase_lines(
     customers: DataFrame | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """Order lines with product name and category, for known customers if given."""
+    """Order lines with product name and category, for known customers if given.
+
+    They are sliced for lookups along each customer's timeline, which is decided on the
+    orders alone, before any join.
+    """
+    narrow = orders.select("order_id", "customer_id", "order_date", "order_total")
     lines = (
-        orders.select("order_id", "customer_id", "order_date", "order_total")
+        slice_hot_keys(narrow, ["customer_id"], "order_date")
         .join(items.select("order_id", "product_id"), "order_id", how)
         .join(products.select("product_id", "product_name", "category"), "product_id", how)
     )
@@ -30,9 +35,8 @@ def purchase_lines(
     return lines
 
 
-def _followed(lines: DataFrame, orders: DataFrame, take: dict[str, str], order: list[str] = ORDER) -> DataFrame:
-    sliced = slice_hot_keys(lines, ["customer_id"], "order_date", count_from=orders)
-    return with_next(sliced, ["customer_id"], order, take)
+def _followed(lines: DataFrame, take: dict[str, str], order: list[str] = ORDER) -> DataFrame:
+    return with_next(lines, ["customer_id"], order, take)
 
 
 def next_product_symmetry(
@@ -40,11 +44,11 @@ def next_product_symmetry(
 ) -> DataFrame:
     """Product pairs bought in both directions, and the revenue difference between them."""
     lines = purchase_lines(orders, items, products, customers).select(
-        "customer_id", "order_date", F.col("product_name").alias("curr_product"), "order_total"
+        "customer_id", HOT, SLICE, "order_date", F.col("product_name").alias("curr_product"), "order_total"
     ).distinct()
     pairs = (
         _followed(
-            lines, orders, {"next_product": "curr_product", "next_total": "order_total"},
+            lines, {"next_product": "curr_product", "next_total": "order_total"},
             ["order_date", "curr_product", "order_total"],
         )
         .filter("next_product is not null")
@@ -77,7 +81,7 @@ def next_category_propensity(
     by_revenue = Window.partitionBy("curr_category").orderBy(F.col("_revenue").desc_nulls_last())
     lines = purchase_lines(orders, items, products, customers)
     return (
-        _followed(lines, orders, {"next_category": "category", "next_total": "order_total"})
+        _followed(lines, {"next_category": "category", "next_total": "order_total"})
         .filter("next_category is not null")
         .groupBy(F.col("category").alias("curr_category"), "next_category")
         .agg(
@@ -99,7 +103,7 @@ def next_category_demand(orders: DataFrame, items: DataFrame, products: DataFram
     """How often, and for how much, each category is the next one bought."""
     lines = purchase_lines(orders, items, products, how="left")
     return (
-        _followed(lines, orders, {"next_category": "category", "next_total": "order_total"})
+        _followed(lines, {"next_category": "category", "next_total": "order_total"})
         .filter("next_category is not null")
         .groupBy("next_category")
         .agg(
@@ -110,11 +114,9 @@ def next_category_demand(orders: DataFrame, items: DataFrame, products: DataFram
     )
 
 
-def _pair_value(
-    lines: DataFrame, orders: DataFrame, label: str, current: str, following: str
-) -> DataFrame:
+def _pair_value(lines: DataFrame, label: str, current: str, following: str) -> DataFrame:
     return (
-        _followed(lines, orders, {following: label, "next_total": "order_total"})
+        _followed(lines, {following: label, "next_total": "order_total"})
         .filter(F.col(following).isNotNull())
         .groupBy(F.col(label).alias(current), following)
         .agg(
@@ -129,7 +131,7 @@ def next_product_value(
     orders: DataFrame, items: DataFrame, products: DataFrame, customers: DataFrame
 ) -> DataFrame:
     lines = purchase_lines(orders, items, products, customers)
-    return _pair_value(lines, orders, "product_name", "curr_prod_txn", "nxt_prod_txn").drop("_valued")
+    return _pair_value(lines, "product_name", "curr_prod_txn", "nxt_prod_txn").drop("_valued")
 
 
 def next_category_value(
@@ -137,7 +139,7 @@ def next_category_value(
 ) -> DataFrame:
     """As for products, but a next order without a total does not count."""
     lines = purchase_lines(orders, items, products, customers)
-    pairs = _pair_value(lines, orders, "category", "curr_category", "next_category")
+    pairs = _pair_value(lines, "category", "curr_category", "next_category")
     return pairs.filter("_valued > 0").withColumn("txn_cnt", F.col("_valued")).drop("_valued")
 
 
@@ -145,12 +147,10 @@ def triple_repeat_product(
     orders: DataFrame, items: DataFrame, customers: DataFrame, products: DataFrame
 ) -> DataFrame:
     """Customers who bought the same product three orders running."""
-    second = _followed(
-        purchase_lines(orders, items, products, customers), orders, {"snd_purchase": "product_name"}
-    )
+    second = _followed(purchase_lines(orders, items, products, customers), {"snd_purchase": "product_name"})
     # the row after next is the next row's successor; the second lookup keeps the
     # partitioning and order of the first
-    third = with_next(second, ["customer_id"], ORDER, {"trd_purchase": "snd_purchase"})
+    third = _followed(second, {"trd_purchase": "snd_purchase"})
     return third.filter("product_name = snd_purchase and trd_purchase = snd_purchase").select(
         "customer_id", F.col("product_name").alias("fst_purchase"), "snd_purchase", "trd_purchase"
     )
@@ -197,9 +197,9 @@ def same_product_gap(
 
 def product_reorder_gap(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     """Floor of the mean whole-day gap between consecutive orders of a product by anyone."""
-    sold = items.select("order_id", "product_id").join(orders.select("order_id", "order_date"), "order_id")
-    sliced = slice_hot_keys(sold, ["product_id"], "order_date", count_from=items)
-    gaps = with_next(sliced, ["product_id"], ["order_date", "order_id"], {"next_date": "order_date"})
+    marked = mark_hot_keys(items.select("order_id", "product_id"), ["product_id"])
+    sold = add_slices(marked.join(orders.select("order_id", "order_date"), "order_id"), "order_date")
+    gaps = with_next(sold, ["product_id"], ["order_date", "order_id"], {"next_date": "order_date"})
     days = cal.whole_days_between("order_date", "next_date")
     per_product = gaps.groupBy("product_id").agg(F.sum(days).alias("days"), F.count(days).alias("n"))
     return per_product.join(products.select("product_id", "product_name"), "product_id").select(
