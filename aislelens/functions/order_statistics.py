@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, floor
+from math import ceil, floor, inf
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,11 +80,11 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]
             tied = _split(data, "tie", [
                 reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in zip(order, g)]) for g in groups
             ])
-            extent = tied.groupBy("tie").agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi"))
-            of_tie = {e["tie"]: e for e in extent.collect()}  # one row per tie
-            for s in searches:
-                e = of_tie[groups.index(s.found)]
-                s.low, s.high, s.rows = e["lo"], e["hi"], e["n"]
+            if any(s.rows > FEW_ROWS for s in searches):
+                extent = tied.groupBy("tie").agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
+                of_tie = {e["tie"]: e for e in extent.collect()}  # one row per tie
+                for s in searches:
+                    s.low, s.high = of_tie[groups.index(s.found)][1:]
 
         def inside(key: tuple) -> Column:
             tie, low, high = key
@@ -115,7 +115,8 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]
                 break
         counts = narrowed.groupBy("path", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
         for s, hit in zip(searches, _hits(counts, "value", searches, path_of)):
-            s.rank, s.found = s.rank - hit["before"], (*s.found, hit["value"])
+            s.rank, s.rows, s.found = s.rank - hit["before"], hit["n"], (*s.found, hit["value"])
+            s.low, s.high = -inf, inf
     return [s.found for s in searches]
 
 

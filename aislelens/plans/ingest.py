@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from aislelens.operators import cleaning
 from aislelens.sources import files, schemas
@@ -28,13 +27,12 @@ def ingest(spark: SparkSession, delivered: dict[str, str], target: str, **option
     """Clean each delivered file set and append it to ``<target>/<table>``.
 
     Time-stamped tables are partitioned by year and month so that analyses of a period
-    read only its files; rows are gathered per partition first, which keeps the number of
-    files down, and spread by a key so that no month is written by a single task.
+    read only its files. Rows are rebalanced by those columns before writing: adaptive
+    execution aims at files of the advisory size and splits a month that is too large.
     """
     for table, path in delivered.items():
         cleaned = read_cleaned(spark, table, path, **options)
         parts = TABLES[table][2]
         if parts:
-            spread = F.pmod(F.xxhash64(cleaned.columns[0]), F.lit(16))
-            cleaned = cleaned.repartition(*parts, spread)
+            cleaned = cleaned.hint("rebalance", *parts)
         files.load_append(cleaned, f"{target.rstrip('/')}/{table}", parts)
