@@ -120,8 +120,8 @@ def area_product_rank(
 ) -> DataFrame:
     """Products ordered more than once in an area, ranked there by average order value.
 
-    The ranking is sliced by whole currency unit, so a large catalogue in one area is not
-    sorted by one task.
+    The ranking is sliced by cent, so a large catalogue in one area is not sorted by one
+    task even though averages of many orders lie close together.
     """
     cells = (
         _sold(orders, items, "customer_id")
@@ -134,7 +134,7 @@ def area_product_rank(
         )
         .filter("order_size > 1")
         .join(products.select("product_id", "product_name"), "product_id")
-        .withColumns({HOT: F.lit(True), SLICE: F.floor("_worth")})
+        .withColumns({HOT: F.lit(True), SLICE: F.floor(F.col("_worth") * 100)})
     )
     return with_position(cells, ["area"], ["_worth"], "aov_rnk", dense=True).select(
         "area", "product_id", "product_name", "order_size", "aov", "aov_rnk"

@@ -1,6 +1,7 @@
 """CSV, append and the whole way from delivered files to cleaned tables."""
 
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -36,6 +37,7 @@ def test_ingest_appends_cleaned_tables(spark, tmp_path):
     assert (first["payment_method"], first["delivery_gap_in_minutes"], first["gap_between_promised_actual_time"]) == ("upi", 25.0, -5.0)
     assert (first["delivery_gap_flag"], first["order_hour"], first["order_weekly_period"]) == ("very late", 10, "2024-01-01/2024-01-07")
     assert "store_id" not in orders.columns
+    assert orders.agg({"order_total": "sum"}).first()[0] == Decimal("39.50")
     delivery = spark.read.parquet(f"{target}/delivery").dropDuplicates(["order_id"]).orderBy("order_id").collect()
     assert [(r["reasons_if_delayed"], r["delivery_status"], r["delivery_distance_flag"]) for r in delivery] == [
         ("traffic", "slightly delayed", "below 1 km"), ("not given", "on time", "between 4 km")
@@ -85,5 +87,5 @@ def test_lineage_is_cut_in_the_configured_folder(spark):
 def test_product_cleaning_reproduces_a_cleaned_file(spark):
     delivered, cleaned = os.environ["RETAIL_GOLDEN"].split(",")
     ours = ingest.read_cleaned(spark, "products", delivered)
-    want = files.load_csv(spark, cleaned, f"{schemas.PRODUCTS}, profit double")
+    want = files.load_csv(spark, cleaned, f"{schemas.PRODUCTS}, profit decimal(18,2)")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, want.select(ours.columns).collect()))
