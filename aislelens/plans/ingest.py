@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from aislelens.operators import cleaning
@@ -36,3 +38,38 @@ def ingest(spark: SparkSession, delivered: dict[str, str], target: str, **option
         if parts:
             cleaned = cleaned.hint("rebalance", *parts)
         files.load_append(cleaned, f"{target.rstrip('/')}/{table}", parts)
+
+
+class StoredTables:
+    """The ingested tables, under the names the analyses in ``catalog.JOBS`` expect."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder.rstrip("/")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._table("orders")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self._table("customers")
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        return self._table("feedback")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._table("products")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self._table("order_items")
+
+    @cached_property
+    def delivery(self) -> DataFrame:
+        return self._table("delivery")

@@ -12,9 +12,10 @@ from pyspark.sql.types import StructType
 def load_csv(spark: SparkSession, path: str, schema: str | StructType, **options: str) -> DataFrame:
     """Read headed CSV files with a declared schema: no inference pass over the data.
 
-    A value that does not fit its type fails the read instead of silently becoming NULL.
+    A header that differs from the schema, or a value that does not fit its type, fails
+    the read instead of silently giving wrong columns or NULL.
     """
-    reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
     return reader.options(**options).csv(path)
 
 

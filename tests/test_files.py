@@ -1,9 +1,12 @@
 """CSV, append and the whole way from delivered files to cleaned tables."""
 
 import os
+from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aislelens.plans import catalog, ingest
 from aislelens.sources import files, schemas
@@ -47,6 +50,38 @@ def test_ingest_appends_cleaned_tables(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(order_year" in plan
 
 
+def _as_delivered(df, schema):
+    """The columns a delivered file has, absent ones empty."""
+    fields = StructType.fromDDL(schema)
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+    ])
+
+
+def test_analyses_of_ingested_files_equal_those_of_the_source(spark, tmp_path):
+    source = RetailTables(spark, "/root/testdata/sf0.001")
+    raw = {
+        "orders": source.orders_raw, "customers": source.customers, "feedback": source.feedback,
+        "products": source.products_raw, "order_items": source.items, "delivery": source.delivery_raw,
+    }
+    for name, df in raw.items():
+        files.write_csv(_as_delivered(df, ingest.TABLES[name][0]), str(tmp_path / "in" / name))
+    ingest.ingest(spark, {name: str(tmp_path / "in" / name) for name in raw}, str(tmp_path / "tables"))
+    stored = ingest.StoredTables(spark, str(tmp_path / "tables"))
+    for name in """cohort_retention rfm_fixed_bins rfm_ntile_segments customer_lifetime_value next_category_demand
+                   late_penalty delivery_timing_feedback area_delivery delivery_by_distance_year delay_reason_share
+                   monthly_negative_rank quarterly_performance margin_product monthly_top5_products
+                   order_value_audit registrations_by_year""".split():
+        ours, theirs = (Counter(map(tuple, catalog.JOBS[name](t).collect())) for t in (stored, source))
+        assert ours and ours == theirs, name
+
+
+def test_a_header_that_differs_fails_the_load(spark, tmp_path):
+    folder = _deliver(tmp_path, "items", "product_id,order_id,quantity,unit_price\n1,2,3,3.0\n")
+    with pytest.raises(Exception, match="header"):
+        files.load_csv(spark, folder, schemas.ORDER_ITEMS).collect()
+
+
 def test_csv_round_trip_keeps_nulls_and_types(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "a,b"), (2, 0.1, 'say "x"')], "id bigint, x double, s string")
     files.write_csv(df, str(tmp_path / "out"))
