@@ -201,7 +201,6 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-@F.pandas_udf("string")
 def _extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pd.Series([main_text(p) for p in pages], dtype=object)
@@ -215,4 +214,5 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html, or a page without text, gives an empty text. Character references are
     decoded and white space inside a block is one space.
     """
-    return pages.select("page_id", "url", _extracted("html").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    extracted = F.pandas_udf(_extracted, "string")
+    return pages.select("page_id", "url", extracted("html").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

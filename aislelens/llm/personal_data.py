@@ -163,7 +163,6 @@ def _inspect(text: str | None) -> tuple[list, list]:
     return base, more
 
 
-@F.pandas_udf(CANDIDATES)
 def _inspected(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         found = [_inspect(t) for t in texts]
@@ -236,7 +235,8 @@ def scan(docs: DataFrame, *, min_probability: float = MIN_PROBABILITY) -> DataFr
     classifier accepts). Null text is empty. The vote counts that train the classifier come
     from all documents; there are at most ``2 * kinds * 3 ** labelers`` different ones.
     """
-    found = cut_lineage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _inspected("text").alias("_c")).select("doc_id", "_c.*"))
+    inspected = F.pandas_udf(_inspected, CANDIDATES)
+    found = cut_lineage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), inspected("text").alias("_c")).select("doc_id", "_c.*"))
     votes = found.select(F.explode("more").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n"))
     patterns = sorted((r.kind, r.votes, r.n) for r in votes.collect())
     likely = [(k, v) for (k, v, _), p in zip(patterns, classify(patterns)) if p >= min_probability and v[0] == "c"]
