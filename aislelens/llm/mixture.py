@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislelens.llm.prefix import SLICE_DIGITS, WORD, seeded_order, with_prefix, word_count
+from aislelens.llm.prefix import WORD, seeded_order, seeded_slices, with_prefix, word_count
 from aislelens.sources.files import cut_lineage
 
 # Weights by rank of the source, share of all words, uses of one document.
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
     rows = cut_lineage(
         docs.select("doc_id", "source", word_count("text").alias("size"))
         .select("doc_id", "source", "size", key.alias("key"), order.alias("order"))
-        .withColumn("slice", F.substring("order", 1, SLICE_DIGITS))
+        .withColumns(seeded_slices("order"))
     )
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     plan = quotas(targets(sources), block=block)
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
         F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(F.lit(0)).alias("run"),
         F.when(F.col("blocks") > 0, place % F.col("blocks")).otherwise(F.lit(0)).alias("first"),
     )
-    placed = with_prefix(rows, ["key"], "slice", ["order", "size"], {"start": "size"}, plan)
+    placed = with_prefix(rows, ["key"], ["slice", "coarse"], ["order", "size"], {"start": "size"}, plan)
     low, high = F.col("first") * block, F.least((F.col("first") + F.col("run")) * block, F.col("source_size"))
     wrapped = F.greatest(F.lit(0), F.col("first") + F.col("run") - F.col("blocks")) * block
     begun = F.expr(f"start div {block}")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislelens.llm.prefix import SLICE_DIGITS, seeded_order, with_prefix, word_count
+from aislelens.llm.prefix import seeded_order, seeded_slices, with_prefix, word_count
 from aislelens.sources.files import cut_lineage
 
 #: Longest piece in words, words in a batch with padding, buckets, seed of the order.
@@ -66,7 +66,7 @@ def pack(
     pieces = pieces.withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(max_words)))
     order = seeded_order(seed, F.col("doc_id"), F.col("piece"))
     pieces = cut_lineage(
-        pieces.withColumn("order", order).withColumn("slice", F.substring("order", 1, SLICE_DIGITS)).drop("words")
+        pieces.withColumn("order", order).withColumns(seeded_slices("order")).drop("words")
     )
     histogram = {r.n_words: r.n for r in pieces.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
     bounds = bucket_bounds(histogram, buckets)
@@ -83,7 +83,7 @@ def pack(
     sorted_in = pieces.withColumns({
         "bucket": bucket, "bucket_words": padded, "room": room, "batches_before": before, "group": F.coalesce(bucket, F.lit(-1)), "one": F.lit(1),
     })
-    placed = with_prefix(sorted_in, ["group"], "slice", ["order", "n_words"], {"row": "one"})
+    placed = with_prefix(sorted_in, ["group"], ["slice", "coarse"], ["order", "n_words"], {"row": "one"})
     packed = F.col("bucket").isNotNull()
     return placed.select(
         "doc_id", "piece", "first_word", "n_words", "bucket", "bucket_words",

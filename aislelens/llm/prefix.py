@@ -22,22 +22,30 @@ def seeded_order(seed: int, *columns: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
 
 
+def seeded_slices(order: str) -> dict[str, Column]:
+    """Slices of rows sorted by ``seeded_order``: fine ones, and 256 coarse ones that hold them."""
+    return {"slice": F.substring(order, 1, SLICE_DIGITS), "coarse": F.substring(order, 1, 2)}
+
+
 def with_prefix(
-    rows: DataFrame, group: list[str], slice_by: str, order: list[str | Column], sums: dict[str, str], facts: DataFrame | None = None,
+    rows: DataFrame, group: list[str], slices: list[str], order: list[str | Column], sums: dict[str, str], facts: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of a column over all rows before a row, in its group: ``sums`` maps new names to columns.
 
-    ``slice_by`` must be constant or rise along ``order``. Totals per slice are formed before
-    the shuffle and summed up; then only the rows of one slice are sorted together, so a
-    group may hold any share of all rows. ``group`` must not hold nulls. ``facts``, one row per
-    group, is joined to the totals, so that no row has to travel by its group alone.
+    ``slices`` are columns that are constant or rise along ``order``, each within the next.
+    Totals per slice are formed before the shuffle and summed up, slices within slices; then
+    only the rows of one slice are sorted together, so a group may hold any share of all
+    rows. ``group`` must not hold nulls. ``facts``, one row per group, is joined to the
+    totals, so that no row has to travel by its group alone.
     """
-    keys = [*group, slice_by]
-    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    earlier = Window.partitionBy(*group).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
-    if facts is not None:
-        offsets = offsets.join(facts, group)
+    if not slices:
+        earlier = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = rows.withColumns({n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()})
+        return placed if facts is None else placed.join(facts, group)
+    keys = [*group, *slices]
+    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_of_{n}") for n, c in sums.items()])
+    offsets = with_prefix(totals, group, slices[1:], [slices[0]], {f"_to_{n}": f"_of_{n}" for n in sums}, facts)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    return local.join(offsets, keys).withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums])
+    placed = local.join(offsets, keys).withColumns({n: F.col(n) + F.col(f"_to_{n}") for n in sums})
+    return placed.drop(*[f"_{x}_{n}" for n in sums for x in ("of", "to")])

@@ -43,7 +43,7 @@ def assign(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
         .withColumn("part", F.spark_partition_id())
         .withColumns({"whole": F.lit(1), "one": F.lit(1)})
     )
-    placed = with_prefix(dealt, ["whole"], "part", [*_order(), F.asc("tie")], {"before": "size", "row": "one"})
+    placed = with_prefix(dealt, ["whole"], ["part"], [*_order(), F.asc("tie")], {"before": "size", "row": "one"})
     total = dealt.agg(F.sum("size")).first()[0] or 1
     middle = F.expr(f"((2 * before + size) * {shards}) div {2 * total}L")
     cut = placed.withColumn("shard", middle.cast("int"))
