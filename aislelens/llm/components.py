@@ -66,7 +66,8 @@ def _large_star(stars: DataFrame) -> DataFrame:
         stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    moved = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    return moved.distinct()  # a node's neighbours mostly move to the same one
 
 
 def _small_star(links: DataFrame) -> DataFrame:
