@@ -49,7 +49,7 @@ def quotas(aimed: DataFrame, *, block: int = BLOCK) -> DataFrame:
     which each source offers as many as it could still win. Equal quotients go by rank.
     """
     whole = Window.partitionBy()
-    seats = F.floor(F.sum("target").over(whole) / block + 0.5)
+    seats = F.floor(F.round(F.sum("target").over(whole), 3) / block + 0.5)
     half = F.count("*").over(whole) / 2
     known = aimed.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("seats", seats)
     sure = F.floor(F.col("target") * (F.col("seats") - half) / F.sum("target").over(whole) + 0.5)

@@ -69,4 +69,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     },
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_exact_dedup": r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept,
+       sha256(body) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY body)
+""",
+    "op5_source_mix": r"""
+WITH docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS place
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source
+), weighed AS (
+    SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap,
+           ceil(source_size / 16)::BIGINT AS blocks FROM sources
+), levels AS (
+    SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER rising, 0)::DOUBLE)
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER rising, 0))::DOUBLE AS level
+    FROM weighed
+    WINDOW rising AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), aimed AS (
+    SELECT *, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels
+), seats AS (
+    SELECT floor(round(sum(target), 3) / 16 + 0.5)::BIGINT AS n FROM aimed
+), offers AS (
+    SELECT rank, target / (2 * won + 1) AS quotient FROM (SELECT rank, target, unnest(range(2 * blocks + 64)) AS won FROM aimed WHERE target > 0)
+), winners AS (
+    SELECT rank FROM (SELECT rank, row_number() OVER (ORDER BY quotient DESC, rank) AS place FROM offers) WHERE place <= (SELECT n FROM seats)
+), quotas AS (
+    SELECT a.*, least(2 * blocks, coalesce(won, 0)) AS quota
+    FROM aimed a LEFT JOIN (SELECT rank, count(*) AS won FROM winners GROUP BY rank) w USING (rank)
+), runs AS (
+    SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS run,
+           CASE WHEN blocks > 0 THEN ('0x' || substr(md5('42:run:' || coalesce('=' || source, '')), 1, 8))::BIGINT % blocks ELSE 0 END AS first
+    FROM quotas
+), placed AS (
+    SELECT d.doc_id, d.size, q.* EXCLUDE (source),
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM docs d JOIN runs q ON d.source IS NOT DISTINCT FROM q.source
+), parts AS (
+    SELECT *, greatest(0, least(start + size, least((first + run) * 16, source_size)) - greatest(start, first * 16)) AS tail,
+           greatest(0, least(start + size, greatest(0, first + run - blocks) * 16) - start) AS head,
+           CASE WHEN passes > 0 THEN start // 16 ELSE greatest(0, (start // 16 - first + blocks) % nullif(blocks, 0)) END AS ordinal
+    FROM placed
+), taken AS (SELECT *, passes * size + tail + head AS taken FROM parts)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+       CASE WHEN taken > 0 THEN least(7, ordinal * 8 // quota)::INTEGER END AS shard
+FROM taken
+""",
+    "op7_embedding_dedup": """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+    SELECT * FROM vectors
+    WHERE len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(id, at) AS (
+    SELECT vec_id, vec_id FROM vectors UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.at = l.a
+), least AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM vectors v JOIN least ON id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id
+""",
+}
