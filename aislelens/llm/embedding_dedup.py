@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislelens.llm.components import Forest, components
+from aislelens.llm.prefix import with_prefix
 from aislelens.sources.files import cut_lineage
 
 THRESHOLD = 0.95
@@ -28,7 +29,6 @@ DENSE = 1 / 32
 #: What rounding may take from a bound.
 _SLACK = 1e-9
 
-TILE = "width int, low double, high double, nodes array<bigint>, copies array<bigint>, matrix binary"
 COMPARED = "node bigint, links bigint, other bigint"
 
 
@@ -83,30 +83,6 @@ def _turned(axes: dict[int, np.ndarray]):
     return turn
 
 
-def _packed(tile_bytes: int):
-    """Consecutive vectors of one width become one row."""
-
-    def tile(rows: list[tuple]) -> pa.RecordBatch:
-        nodes, copies, widths, leads, turned = zip(*rows)
-        return pa.RecordBatch.from_pydict({
-            "width": pa.array(widths[:1], pa.int32()), "low": [min(leads)], "high": [max(leads)], "nodes": [list(nodes)],
-            "copies": [list(copies)], "matrix": pa.array([b"".join(turned)], pa.binary()),
-        })
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if rows and (row[2] != rows[0][2] or len(rows) * 8 * row[2] >= tile_bytes):
-                    yield tile(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield tile(rows)
-
-    return pack
-
-
 def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) with a product of at least ``threshold``, some rows of ``a`` at a time."""
     width = a.shape[1]
@@ -145,7 +121,7 @@ def _compare(threshold: float):
 def _compare_tiles(row: dict, threshold: float) -> Iterator[pa.RecordBatch]:
     nodes = [np.array(row["nodes"]), np.array(row["nodes2"])]
     copies = [np.array(row["copies"], float), np.array(row["copies2"], float)]
-    a, b = (np.frombuffer(row[m], np.float64).reshape(-1, row["width"]) for m in ("matrix", "matrix2"))
+    a, b = (np.frombuffer(b"".join(row[m]), np.float64).reshape(-1, row["width"]) for m in ("matrix", "matrix2"))
     same = row["tile"] == row["tile2"]
     forest, found = Forest(len(a) + len(b)), [np.zeros(len(a)), np.zeros(len(b))]
     for i, j in close_pairs(a, b, threshold):
@@ -194,8 +170,17 @@ def near_duplicates(
     turned = nodes.select("node", "copies", "embedding").mapInArrow(
         _turned(axes), "node bigint, copies bigint, width int, lead double, turned binary"
     )
-    ranged = turned.repartitionByRange("width", "lead").sortWithinPartitions("width", "lead")
-    tiles = cut_lineage(ranged.mapInArrow(_packed(tile_bytes), TILE).withColumn("tile", F.monotonically_increasing_id()))
+    ranged = cut_lineage(turned.repartitionByRange("width", "lead").withColumns({"part": F.spark_partition_id(), "one": F.lit(1)}))
+    ranked = with_prefix(ranged, ["width"], ["part"], ["lead", "node"], {"row": "one"})
+    in_tile = F.greatest(F.lit(1), F.expr(f"{tile_bytes} div (8 * width)"))
+    tiles = cut_lineage(
+        ranked.groupBy("width", F.floor(F.col("row") / in_tile).alias("number"))
+        .agg(F.min("lead").alias("low"), F.max("lead").alias("high"), F.collect_list(F.struct("node", "copies", "turned")).alias("rows"))
+        .select(
+            F.monotonically_increasing_id().alias("tile"), "width", "low", "high", F.col("rows.node").alias("nodes"),
+            F.col("rows.copies").alias("copies"), F.col("rows.turned").alias("matrix"),
+        )
+    )
 
     # On any axis, unit vectors with the wanted cosine are at most this far apart.
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK

@@ -19,6 +19,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split()
 )
+_CONTAINER = frozenset("article blockquote body center dd details div fieldset figure html main section table td".split())
 _SPACE = frozenset("br td th img wbr".split())
 _CLOSES = {  # a start tag ends an open element of these, up to the given borders
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -151,28 +152,31 @@ def _measure(nodes: list[_Node]) -> None:
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
         if c:
             base = log(c / max(1, c - node.link_chars) * node.link_chars + share * c + e)
-            node.density = c / t * max(0.0, log(c / lc * t / lt)) / max(0.1, log(base))
+            node.density = c / t * log(1 + (c - node.link_chars) / lc * t / lt) / max(0.1, log(base))
         if node.parent is not None:
             node.parent.total += node.density
 
 
 def _chosen(nodes: list[_Node]) -> set[_Node]:
-    """The subtree with the largest sum, and those that reach the threshold of its path to the body."""
+    """The container with the largest sum, and those that reach the threshold of its path to the body.
+
+    Paragraphs and inline elements are not chosen by themselves: their container is.
+    """
     kept = [n for n in nodes if not n.dropped]
-    best: dict[_Node, _Node] = {}  # the node of the largest sum in each subtree
+    body = next((n for n in kept if n.name == "body"), kept[0])
+    best: dict[_Node, _Node] = {}  # the container of the largest sum in each subtree
     for node in reversed(kept):
         own = best.get(node)
-        if own is None or node.total >= own.total:
+        if (own is None or node.total >= own.total) and (node is body or node.name in _CONTAINER):
             own = best[node] = node
-        if (up := node.parent) is not None and (up not in best or own.total >= best[up].total):
+        if own is not None and (up := node.parent) is not None and (up not in best or own.total > best[up].total):
             best[up] = own
-    body = next((n for n in kept if n.name == "body"), kept[0])
     top, threshold = best[body], float("inf")
     node = top
     while node is not None:
         threshold = min(threshold, node.density)
         node = None if node is body else node.parent
-    return {best[n] for n in kept if n.density >= threshold and n.density > 0}
+    return {top} | {best[n] for n in kept if n.name in _CONTAINER and n.density >= threshold and n.density > 0}
 
 
 def main_text(html: str | None) -> str:

@@ -77,8 +77,8 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
 
     Columns: doc_id, source, size (words, 0 for null text), source_size, target (its
     source's), taken, uses (times the whole document is taken), from_word and n_words (the
-    part taken once more: words after the first ``from_word``; at most the two documents at
-    the ends of a source's last run are cut), shard (of its first block; null if nothing is
+    part taken once more: words after the first ``from_word``, from its beginning again where
+    the part passes the end; at most the two documents at the ends of a source's run are cut), shard (of its first block; null if nothing is
     taken). Repeated rows are separate documents; documents of size 0 are taken 0 words.
 
     Blocks are whole passes over the source's stream and one run of neighbouring blocks from
@@ -134,7 +134,8 @@ def mixed(docs: DataFrame, **options: int) -> DataFrame:
     # Repeated rows pair off; the copies are compared without being a key, which would deal all rows anew.
     found = rows.join(plan, (rows["_key"] == plan["_key"]) & (F.abs(F.col("_copy") - F.col("_plan_copy")) < 1))
     uses = F.explode(F.sequence(F.lit(1), (F.col("_uses") + (F.col("_words") > 0).cast("int")).cast("int")))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    part = F.array_join(F.slice(F.concat(words, words), (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
     cut = F.col("_use") > F.col("_uses")
     out = found.select(*[rows[c] for c in docs.columns], "_uses", "_from", "_words", uses.alias("_use")).withColumn("text", F.when(cut, part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -125,13 +125,13 @@ WITH RECURSIVE vectors AS (
     SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
 ), usable AS (
     SELECT * FROM vectors
-    WHERE len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+    WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), links AS MATERIALIZED (
     SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
     WHERE list_cosine_similarity(a.v, b.v) >= 0.95
-), reach(id, at) AS (
-    SELECT vec_id, vec_id FROM vectors UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.at = l.a
-), least AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+), reach(id, there) AS (
+    SELECT vec_id, vec_id FROM vectors UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.there = l.a
+), least AS (SELECT id, min(there) AS component_id FROM reach GROUP BY id)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM vectors v JOIN least ON id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id
 """,

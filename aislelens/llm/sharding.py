@@ -59,10 +59,11 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS) -> None:
     comparison; identical rows stay together.
     """
     firsts = sorted(assign(docs, shards=shards).filter("slot = 0").collect(), key=lambda r: r.shard)
-    marked = docs.withColumn("_key", F.struct(*[c.alias(c) for c in _key_columns()]))
+    marked = docs.withColumn("_key", F.struct(*[c.alias(n) for n, c in zip("abcd", _key_columns())]))
     shard = F.lit(firsts[0].shard if firsts else 0)
     for row in firsts[1:]:
-        start = F.struct(F.lit(row.doc_id is None).alias("none"), F.lit(row.doc_id or 0).cast("bigint"), F.lit(row.size).cast("bigint"), F.lit(row.text_crc32).cast("bigint"))
+        numbers = [F.lit(x).cast("bigint").alias(n) for n, x in zip("bcd", (row.doc_id or 0, row.size, row.text_crc32))]
+        start = F.struct(F.lit(row.doc_id is None).alias("a"), *numbers)
         shard = F.when(F.col("_key") >= start, row.shard).otherwise(shard)
     dealt = marked.withColumn("shard", shard).repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key")
     dealt.drop("_key").write.partitionBy("shard").parquet(path)
