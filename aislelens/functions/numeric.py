@@ -1,7 +1,7 @@
 """Rounding, means, shares and growth rates.
 
-Money is summed as DECIMAL (exact whatever the order of the partial sums) and turned
-into DOUBLE only for the final division. Every division is NULL on a zero denominator.
+Money is summed as DECIMAL (exact whatever the order of the partial sums); totals stay
+DECIMAL, and only means, shares and rates are DOUBLE. Every division is NULL on a zero denominator.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ def growth(now: Column | str, before: Column | str, digits: int = 2) -> Column:
 
 
 def total(value: Column | str) -> Column:
-    """Exact sum, shown as DOUBLE."""
-    return half_up(F.sum(_col(value)), 2)
+    """Exact sum: money keeps its cents at any size."""
+    return F.sum(_col(value)).cast("decimal(38,2)")
 
 
 def mean(value: Column | str) -> Column:

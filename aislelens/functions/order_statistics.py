@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, floor, inf
+from math import ceil, floor, inf, isfinite, nan
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +71,10 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]
         d = value.cast("double")  # bins only have to be monotone
         if depth == 0:
             size, low, high = data.agg(F.count(value), F.min(d), F.max(d)).first()
-            searches = [_Search(r, (), low, high, size) for r in ranks(size)]
+            wanted = ranks(size)
+            if size and not (isfinite(low) and isfinite(high)):
+                return _ends_apart(data, order, wanted)
+            searches = [_Search(r, (), low, high, size) for r in wanted]
             tied, groups = data.withColumn("tie", F.lit(0)), [()]
             if not searches:
                 return []
@@ -120,6 +123,26 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]
     return [s.found for s in searches]
 
 
+def _ends_apart(data: DataFrame, order: list[str], wanted: list[int]) -> list[tuple]:
+    """The same when infinities or NaN (the greatest value) are there: only finite values have bins."""
+    d = F.col(order[0]).cast("double")
+    tests = [(-inf, d == -inf), (None, (d > -inf) & (d < inf)), (inf, d == inf), (nan, F.isnan(d))]
+    sizes = data.agg(*[F.count_if(test) for _, test in tests]).first()
+    found: dict[int, tuple] = {}
+    start = 0
+    for (value, test), size in zip(tests, sizes):
+        own = [r for r in wanted if start <= r < start + size]
+        inner = [r - start for r in own]
+        if value is None and own:
+            found |= zip(own, rows_at(data.filter(test), order, lambda _: inner))
+        elif own and len(order) > 1:
+            found |= {r: (value, *rest) for r, rest in zip(own, rows_at(data.filter(test), order[1:], lambda _: inner))}
+        else:
+            found |= {r: (value,) for r in own}
+        start += size
+    return [found[r] for r in wanted]
+
+
 def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Linearly interpolated quantiles of the non-null values; None if there are none."""
     where: list[float] = []
@@ -131,23 +154,32 @@ def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[fl
     found = [float(v) for (v,) in rows_at(rows, [column], ranks)]
     if not found:
         return [None] * len(probs)
-    return [lo + (hi - lo) * (w - floor(w)) for w, lo, hi in zip(where, found[::2], found[1::2])]
+    return [lo if lo == hi else lo + (hi - lo) * (w - floor(w)) for w, lo, hi in zip(where, found[::2], found[1::2])]
 
 
 def with_tile(df: DataFrame, tiles: int, value: str, unique_id: str, name: str) -> DataFrame:
     """Number rows 1..tiles in equal shares, by value descending and then id ascending.
 
     The first (rows mod tiles) tiles hold one row more. Only the first row of each tile is
-    looked for; a row's tile is then the count of tile starts it has reached.
+    looked for; a row's tile is then the count of tile starts it has reached. Rows without a
+    value come last, by id. Runs Spark jobs while it is defined.
     """
+    absent = df.filter(F.col(value).isNull())
+    missing, among_missing = absent.count(), []
+
     def starts(size: int) -> list[int]:
-        small, more = divmod(size, tiles)
-        return [r for t in range(1, tiles) if (r := t * small + min(t, more)) < size]
+        small, more = divmod(size + missing, tiles)
+        every = [r for t in range(1, tiles) if (r := t * small + min(t, more)) < size + missing]
+        among_missing.extend(r - size for r in every if r >= size)
+        return [r for r in every if r < size]
 
     keys = df.select((-F.col(value)).alias("value"), F.col(unique_id).alias("id"))
     tile = F.lit(1)
     for v, i in rows_at(keys, ["value", "id"], starts):
         lower = F.col(value) < F.lit(-v)
         tie = (F.col(value) == F.lit(-v)) & (F.col(unique_id) >= F.lit(i))
-        tile = tile + F.when(lower | tie, 1).otherwise(0)
+        tile = tile + F.when(lower | tie | F.col(value).isNull(), 1).otherwise(0)
+    if among_missing:
+        for (i,) in rows_at(absent.select(F.col(unique_id).alias("id")), ["id"], lambda _: among_missing):
+            tile = tile + F.when(F.col(value).isNull() & (F.col(unique_id) >= F.lit(i)), 1).otherwise(0)
     return df.withColumn(name, tile)

@@ -6,6 +6,8 @@ are cut into time slices first: the window then runs per (key, slice), and a sec
 tiny window over one summary row per slice links each slice to the next.
 
 Ordinary keys have a NULL slice, so they go through the very same single shuffle whole.
+Rows without a time, and NULLs in any ordering column, come last; a hot key's rows without
+a time have a slice of their own. The result does not depend on which keys are hot.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ HOT = "_hot"
 # A key is hot when it has more than MIN_ROWS rows and more than 1/MAX_HOT_KEYS of all
 # rows. The second condition bounds the number of hot keys by MAX_HOT_KEYS whatever the
 # data, which is what makes broadcasting them safe.
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 1_000_000
 MIN_ROWS = 1_000_000
 
 
@@ -27,11 +29,23 @@ MIN_ROWS = 1_000_000
 # per slice for a billion rows in ten years, and never more slices than the calendar has.
 HUGE = 1_000_000_000
 
+# The slice of rows without a time: after all others.
+NO_TIME = "9999-12-31 23:59:59"
+
 
 def _slice(ts: str, rows: Column) -> Column:
     t = F.col(ts)
     second, minute = F.date_part(F.lit("SECOND"), t), F.date_part(F.lit("MINUTE"), t)
-    return t - F.make_dt_interval(mins=F.when(rows > HUGE, 0).otherwise(minute), secs=second)
+    return F.coalesce(t - F.make_dt_interval(mins=F.when(rows > HUGE, 0).otherwise(minute), secs=second), F.lit(NO_TIME))
+
+
+def _nulls_last(order: list[str]) -> list[Column]:
+    return [F.asc_nulls_last(c) for c in order]
+
+
+def _sortable(order: list[str]) -> Column:
+    """The same order as one value."""
+    return F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
 
 
 def mark_hot_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -61,9 +75,17 @@ def slice_hot_keys(df: DataFrame, key: list[str], ts: str) -> DataFrame:
     return add_slices(mark_hot_keys(df, key), ts)
 
 
-def slice_counted(df: DataFrame, ts: str) -> DataFrame:
+def slice_counted(df: DataFrame, key: list[str], ts: str) -> DataFrame:
     """The same for rows that already carry the size of their key in ``_n``."""
-    return add_slices(df.withColumn(HOT, F.col("_n") > MIN_ROWS), ts)
+    return deal_slices(add_slices(df.withColumn(HOT, F.col("_n") > MIN_ROWS), ts), key)
+
+
+def deal_slices(sliced: DataFrame, key: list[str]) -> DataFrame:
+    """Deal rows by key and slice, after a join on the key alone has put each key in one task.
+
+    Spark would keep that partitioning for the window by key and slice, and a hot key whole.
+    """
+    return sliced.repartition(*key, SLICE)
 
 
 def with_next(sliced: DataFrame, key: list[str], order: list[str], take: dict[str, str]) -> DataFrame:
@@ -74,11 +96,11 @@ def with_next(sliced: DataFrame, key: list[str], order: list[str], take: dict[st
     """
     part = [*key, SLICE]
     taken = F.struct(*[F.col(src).alias(new) for new, src in take.items()])
-    following = F.lead(taken).over(Window.partitionBy(*part).orderBy(*order))
+    following = F.lead(taken).over(Window.partitionBy(*part).orderBy(*_nulls_last(order)))
     first_rows = (
         sliced.filter(HOT)  # nothing to do, and nothing read, when no key is hot
         .groupBy(*part)
-        .agg(F.min_by(taken, F.struct(*order)).alias("_first"))
+        .agg(F.min_by(taken, _sortable(order)).alias("_first"))
     )
     next_slice = first_rows.select(
         *part,
@@ -101,7 +123,7 @@ def with_position(
     fall into different slices.
     """
     part = [*key, SLICE]
-    rank = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy(*part).orderBy(*order))
+    rank = (F.dense_rank() if dense else F.row_number()).over(Window.partitionBy(*part).orderBy(*_nulls_last(order)))
     hot = sliced.filter(HOT)
     if dense:
         hot = hot.select(*part, *[c for c in order if c not in part]).distinct()

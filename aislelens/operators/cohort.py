@@ -17,7 +17,7 @@ def _active_customers(orders: DataFrame) -> DataFrame:
     is merged on the map side and bounded by the calendar, however many orders there are,
     and after it a plain count replaces the distinct count.
     """
-    months = orders.groupBy("customer_id").agg(
+    months = orders.filter("customer_id is not null").groupBy("customer_id").agg(
         F.collect_set(cal.month_start("order_date")).alias("months")
     )
     active = months.select(

@@ -34,7 +34,7 @@ def rfm_fixed_bins(
     monetary: list[L.Band] = L.MONETARY_BANDS,
 ) -> DataFrame:
     spending = _spending(orders)
-    everyone = spending.agg(F.count(F.lit(1))).scalar()
+    everyone = spending.agg(F.count("customer_id")).scalar()
     known = _recency(spending).join(customers.select("customer_id"), "customer_id", "left_semi")
     scored = known.withColumns({
         "r_score": L.band("recency", recency, L.SCORE_OTHER),
@@ -70,6 +70,7 @@ def rfm_ntile_segments(orders: DataFrame, customers: DataFrame, tiles: int = 5)
 
     The first customer of each quintile is found by counting, so no task ever sorts all
     customers; the per-customer table is written out once because several passes read it.
+    Runs Spark jobs while it is defined: the quintiles are those of the orders at that time.
     """
     rfm = cut_lineage(
         _recency(_spending(orders)).join(customers.select("customer_id"), "customer_id", "left_semi")
@@ -129,7 +130,7 @@ def customer_lifetime_value(
         )
     return pairs.join(customers.select("customer_id", "customer_name"), "customer_id").select(
         "customer_id", "customer_name", "order_cnt",
-        N.half_up("spent").alias("total_value_spent"),
+        F.col("spent").cast("decimal(38,2)").alias("total_value_spent"),
         N.half_up("aov").alias("aov"),
         N.half_up("late").alias("avg_delivery_delay"),
         N.half_up("ahead").alias("avg_promised_actual_time"),
@@ -156,7 +157,7 @@ def customer_category_basket(
 
 
 def repeat_customer_pct(orders: DataFrame) -> DataFrame:
-    per_customer = orders.groupBy("customer_id").agg(F.count("order_id").alias("n"))
+    per_customer = orders.filter("customer_id is not null").groupBy("customer_id").agg(F.count("order_id").alias("n"))
     return per_customer.agg(
         N.whole_percent(F.count_if(F.col("n") > 1), F.count(F.lit(1))).alias("repeated_customer_pct")
     )

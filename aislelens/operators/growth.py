@@ -66,7 +66,7 @@ def mom_revenue(orders: DataFrame) -> DataFrame:
     time = Window.orderBy("order_month")
     lagged = months.withColumns({
         "prev_order_count": F.coalesce(F.lag("order_count").over(time), F.lit(0)),
-        "prev_month_total_order_value": F.coalesce(F.lag("total_order_value").over(time), F.lit(0.0)),
+        "prev_month_total_order_value": F.coalesce(F.lag("total_order_value").over(time), F.lit(0).cast("decimal(38,2)")),
     })
     return lagged.withColumns({
         "mom_order_growth": F.coalesce(N.growth("order_count", "prev_order_count"), F.lit(0.0)),

@@ -121,20 +121,18 @@ def area_product_rank(
     """Products ordered more than once in an area, ranked there by average order value.
 
     The ranking is sliced by cent, so a large catalogue in one area is not sorted by one
-    task even though averages of many orders lie close together.
+    task even though averages of many orders lie close together. Products without any order
+    value come last.
     """
+    worth = N.ratio("value", "paid")
     cells = (
         _sold(orders, items, "customer_id")
-        .groupBy("customer_id", "product_id").agg(*_value_parts())
         .join(customers.select("customer_id", "area"), "customer_id")
-        .groupBy("area", "product_id")
-        .agg(
-            F.sum("n").alias("order_size"), _aov().alias("aov"),
-            (-N.half_up(N.ratio(F.sum("value"), F.sum("paid")), 6)).alias("_worth"),
-        )
-        .filter("order_size > 1")
+        .groupBy("area", "product_id").agg(*_value_parts())
+        .filter("n > 1")
         .join(products.select("product_id", "product_name"), "product_id")
-        .withColumns({HOT: F.lit(True), SLICE: F.floor(F.col("_worth") * 100)})
+        .withColumns({"order_size": F.col("n"), "aov": N.half_up(worth), "_worth": -N.half_up(worth, 6)})
+        .withColumns({HOT: F.lit(True), SLICE: F.coalesce(F.floor(F.col("_worth") * 100), F.lit(2**62))})
     )
     return with_position(cells, ["area"], ["_worth"], "aov_rnk", dense=True).select(
         "area", "product_id", "product_name", "order_size", "aov", "aov_rnk"
@@ -231,7 +229,7 @@ def order_value_ratio(orders: DataFrame, items: DataFrame, products: DataFrame)
         "order_id",
         "total_quantities_sold",
         N.half_up(calculated).alias("calc_order_value"),
-        N.half_up(given).alias("given_order_value"),
+        given.cast("decimal(38,2)").alias("given_order_value"),
         N.half_up(N.ratio(given, calculated)).alias("calc_to_given_order_value_ratio"),
     )
 
@@ -263,7 +261,7 @@ def valid_orders_filter(
 def iqr_inliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows strictly inside the quartiles widened by k interquartile ranges.
 
-    The exact quartiles are known before the rows are read again, so the bounds are plain
+    Runs Spark jobs while it is defined: the exact quartiles are known before the rows are read again, so the bounds are plain
     literals and the file scan can skip what lies outside.
     """
     q1, q3 = exact_quantiles(df, column, [0.25, 0.75])

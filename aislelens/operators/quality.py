@@ -30,6 +30,30 @@ def orphan_orders(orders: DataFrame, customers: DataFrame, feedback: DataFrame)
     )
 
 
+def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Rows of ``child`` whose key is not in ``parent``; a NULL key refers to nothing."""
+    known = parent.select(F.col(parent_key).alias(key))
+    return child.filter(F.col(key).isNotNull()).join(known, key, "left_anti")
+
+
+def null_violations(required: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """For each table and column that must not be NULL: rows where it is, one pass per table."""
+    def check(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
+        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        lines = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).alias("violations")) for c in columns])
+        return counts.select(F.inline(lines))
+
+    return _union([check(name, *what) for name, what in required.items()])
+
+
+def key_violations(keys: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """For each table: how many key values are NULL or occur more than once."""
+    return _union([
+        pk_violations(df, key).agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("table_name"), "violations")
+        for name, (df, key) in keys.items()
+    ])
+
+
 def fk_violations(checks: list[tuple[str, DataFrame, str, DataFrame]]) -> DataFrame:
     """For each (name, child, key, parent): child rows whose key the parent lacks.
 
@@ -54,7 +78,7 @@ def duplicate_rank(df: DataFrame, key: str, ts: str, tie: list[str]) -> DataFram
     """
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     narrow = df.select(*dict.fromkeys([key, ts, *tie]))
-    rows = slice_counted(narrow.join(repeated, key), ts)
+    rows = slice_counted(narrow.join(repeated, key), [key], ts)
     ranked = with_position(rows, [key], list(dict.fromkeys([ts, *tie])), "duplicate_rank")
     return ranked.filter("duplicate_rank > 1").select(key, "duplicate_rank")
 
@@ -81,7 +105,7 @@ def later_dates(df: DataFrame, key: list[str], ts: str, name: str, keep: list[st
         .filter("_lo < _hi")
         .select(*key, "_n")
     )
-    rows = slice_counted(df.select(*dict.fromkeys([*key, ts, *keep])).join(several, key), ts)
+    rows = slice_counted(df.select(*dict.fromkeys([*key, ts, *keep])).join(several, key), key, ts)
     return with_position(rows, key, [ts], name, dense=True).filter(F.col(name) > 1).select(*keep, name)
 
 
@@ -134,7 +158,10 @@ def row_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles per column."""
+    """Count, mean, sample deviation, extremes and exact quartiles per column.
+
+    Runs Spark jobs while it is defined: the quartiles are those of the rows at that time.
+    """
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*[
         measure(F.col(c).cast("double")).alias(f"{name} {c}") for c in columns for name, measure in moments.items()

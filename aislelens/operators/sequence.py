@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aislelens.functions import calendar as cal
 from aislelens.functions import numeric as N
-from aislelens.functions.timeline import HOT, SLICE, add_slices, mark_hot_keys, slice_hot_keys, with_next
+from aislelens.functions.timeline import HOT, SLICE, add_slices, deal_slices, mark_hot_keys, slice_hot_keys, with_next
 
 ORDER = ["order_date", "order_id", "product_id"]
 
@@ -46,30 +46,26 @@ def next_product_symmetry(
     lines = purchase_lines(orders, items, products, customers).select(
         "customer_id", HOT, SLICE, "order_date", F.col("product_name").alias("curr_product"), "order_total"
     ).distinct()
-    pairs = (
-        _followed(
-            lines, {"next_product": "curr_product", "next_total": "order_total"},
-            ["order_date", "curr_product", "order_total"],
-        )
-        .filter("next_product is not null")
-        .groupBy("curr_product", "next_product")
+    steps = _followed(
+        lines, {"next_product": "curr_product", "next_total": "order_total"}, ["order_date", "curr_product", "order_total"]
+    )
+    # both directions of a pair meet in one group, so the pairs need no join with themselves
+    forward = F.col("curr_product") > F.col("next_product")
+    revenue = F.col("order_total") + F.col("next_total")
+    x, y = F.greatest("curr_product", "next_product"), F.least("curr_product", "next_product")
+    return (
+        steps.filter(F.col("curr_product") != F.col("next_product"))
+        .groupBy(x.alias("item_x"), y.alias("item_y"))
         .agg(
-            F.count(F.lit(1)).alias("pair_count"),
-            N.mean_rounded(F.col("order_total") + F.col("next_total")).alias("pair_revenue"),
+            F.count_if(forward).alias("x_to_y_count"), N.mean_rounded(F.when(forward, revenue)).alias("x_to_y_avg_revenue"),
+            F.count_if(~forward).alias("y_to_x_count"), N.mean_rounded(F.when(~forward, revenue)).alias("y_to_x_avg_revenue"),
+        )
+        .filter("x_to_y_count > 1 and y_to_x_count > 1")
+        .select(
+            "item_x", "item_y", "x_to_y_count", "x_to_y_avg_revenue",
+            F.col("item_y").alias("item_x_reverse"), F.col("item_x").alias("item_y_reverse"), "y_to_x_count", "y_to_x_avg_revenue",
+            N.half_up(F.col("x_to_y_avg_revenue") - F.col("y_to_x_avg_revenue")).alias("avg_revenue_gap"),
         )
-        .filter("pair_count > 1")
-    )
-    forward = pairs.filter("curr_product > next_product").select(
-        F.col("curr_product").alias("item_x"), F.col("next_product").alias("item_y"),
-        F.col("pair_count").alias("x_to_y_count"), F.col("pair_revenue").alias("x_to_y_avg_revenue"),
-    )
-    backward = pairs.filter("curr_product < next_product").select(
-        F.col("curr_product").alias("item_x_reverse"), F.col("next_product").alias("item_y_reverse"),
-        F.col("pair_count").alias("y_to_x_count"), F.col("pair_revenue").alias("y_to_x_avg_revenue"),
-    )
-    swapped = (F.col("item_x") == F.col("item_y_reverse")) & (F.col("item_y") == F.col("item_x_reverse"))
-    return forward.join(backward, swapped).withColumn(
-        "avg_revenue_gap", N.half_up(F.col("x_to_y_avg_revenue") - F.col("y_to_x_avg_revenue"))
     )
 
 
@@ -161,6 +157,9 @@ def same_product_gap(
 ) -> DataFrame:
     """Repeat purchases of a product by a customer: each purchase time with the next one.
 
+    ``purchases`` and ``next_purchases`` count the order lines at both times; the pairs
+    between any two times are the product of their counts.
+
     Day gaps add up along the timeline, so the gap between any two purchases is the
     difference of their ``days_since_first``; listing every pair, which grows with the
     square of a customer's purchases, is not needed to know them all.
@@ -180,9 +179,9 @@ def same_product_gap(
         .drop("_last")
     )
     pair = ["customer_id", "product_id"]
-    sliced = slice_hot_keys(moments.join(repeated, pair), pair, "order_date")
+    sliced = deal_slices(slice_hot_keys(moments.join(repeated, pair), pair, "order_date"), pair)
     return (
-        with_next(sliced, pair, ["order_date"], {"next_buying_date": "order_date"})
+        with_next(sliced, pair, ["order_date"], {"next_buying_date": "order_date", "next_purchases": "purchases"})
         .filter("next_buying_date is not null")
         .join(products.select("product_id", "product_name"), "product_id")
         .select(
@@ -190,7 +189,7 @@ def same_product_gap(
             F.col("order_date").alias("first_buying_date"), "next_buying_date",
             cal.calendar_days("order_date", "next_buying_date").alias("order_day_gap"),
             cal.calendar_days("_first", "order_date").alias("days_since_first"),
-            "purchases",
+            "purchases", "next_purchases",
         )
     )
 

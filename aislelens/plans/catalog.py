@@ -64,6 +64,18 @@ def _evolved_delivery(t: RetailTables) -> DataFrame:
     )
 
 
+def _required(t: RetailTables) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Columns that must not be NULL."""
+    return {
+        "orders": (t.orders, ["order_id", "customer_id", "order_date"]),
+        "customers": (t.customers, ["customer_id"]),
+        "feedback": (t.feedback, ["feedback_id", "order_id", "customer_id", "feedback_date"]),
+        "products": (t.products, ["product_id"]),
+        "order_items": (t.items, ["order_id", "product_id"]),
+        "delivery": (t.delivery, ["order_id"]),
+    }
+
+
 def _foreign_keys(t: RetailTables) -> DataFrame:
     return quality.fk_violations([
         ("orders_customer", t.orders, "customer_id", t.customers),
@@ -172,6 +184,22 @@ JOBS: dict[str, Job] = {
     "describe_numeric": lambda t: quality.describe_numeric(
         t.orders, ["order_total", "delivery_gap_in_minutes", "gap_between_promised_actual_time"]
     ),
+    "describe_delivery": lambda t: quality.describe_numeric(t.delivery, ["distance_km", "delivery_time_minutes"]),
+    "null_violations": lambda t: quality.null_violations(_required(t)),
+    "key_violations": lambda t: quality.key_violations({
+        "orders": (t.orders, ["order_id"]), "customers": (t.customers, ["customer_id"]), "feedback": (t.feedback, ["feedback_id"]),
+        "products": (t.products, ["product_id"]), "order_items": (t.items, ["order_id", "product_id"]), "delivery": (t.delivery, ["order_id"]),
+    }),
+    "dup_line_ship_dates": lambda t: quality.duplicate_rank(
+        t.raw("lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")),
+        "l_orderkey", "l_shipdate", ["l_linenumber", "l_partkey", "l_suppkey"],
+    ),
+    "later_event_times": lambda t: quality.later_dates(
+        t.raw("events"), ["user_id", "event_type"], "ts", "time_rank", ["event_id", "user_id", "event_type"]
+    ),
+    "orphan_lines": lambda t: quality.orphans(
+        t.raw("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", t.raw("events"), "event_id"
+    ),
     "distinct_values": lambda t: quality.distinct_values(t.orders, "payment_method"),
     # cohorts
     "cohort_retention": lambda t: cohort.cohort_retention(t.orders),
@@ -276,6 +304,9 @@ JOBS: dict[str, Job] = {
     "order_value_ratio_extremes": lambda t: product.order_value_ratio_extremes(t.orders, t.items, t.products),
     "valid_orders_filter": lambda t: product.valid_orders_filter(t.orders, t.items, t.products),
     "iqr_inliers": lambda t: product.iqr_inliers(_event_values(t), "value"),
+    "iqr_inliers_orders": lambda t: product.iqr_inliers(
+        t.orders.select("order_id", F.col("order_total").cast("double").alias("order_total")), "order_total"
+    ),
     "category_avg_mrp": lambda t: product.category_avg_mrp(t.products),
     "category_stock_value": lambda t: product.category_stock_value(t.products),
     "item_count_by_product": lambda t: product.item_count_by_product(t.items),
@@ -286,7 +317,23 @@ def run(name: str, spark: SparkSession, directory: str) -> DataFrame:
     return JOBS[name](RetailTables(spark, directory))
 
 
+#: Jobs that read files as delivered, or other tables than the six of ``ingest``.
+NEED_RAW = frozenset("""load_csv parse_dates order_enrich delivery_gap_flag calendar_parts normalise_text
+normalise_delay_reason fill_missing_reason distance_flag_closed_bands distance_category_cumulative product_profit
+pk_violations dup_order_items null_profile row_duplicates row_duplicates_subset iqr_inliers dup_line_ship_dates
+later_event_times orphan_lines""".split())
+
+#: Jobs that run while they are defined; a view of them would be frozen.
+EAGER = frozenset("""load_csv write_csv load_append rfm_ntile_segments describe_numeric describe_delivery iqr_inliers
+iqr_inliers_orders""".split())
+
+
 def register_views(tables: RetailTables, names: list[str], prefix: str = "vw_") -> None:
-    """Offer analyses to SQL users as temporary views; they are computed when queried."""
+    """Offer analyses to SQL users as temporary views; they are computed when queried.
+
+    Jobs that are computed when they are defined are refused: store their result instead.
+    """
+    if frozen := sorted(EAGER.intersection(names)):
+        raise ValueError(f"no views of {frozen}: they are computed when defined")
     for name in names:
         JOBS[name](tables).createOrReplaceTempView(f"{prefix}{name}")

@@ -116,7 +116,7 @@ def avg(value: str, digits: int = 2) -> str:
 
 
 def total(value: str) -> str:
-    return hu(f"sum({value})")
+    return f"cast(sum({value}) as decimal(38,2))"
 
 
 def big(value: str) -> str:

@@ -5,7 +5,7 @@ from aislelens.plans.oracle.base import avg, grow, hu, label, pct, query, total
 
 # Cohorts by a self-join and a distinct count.
 _COHORT = {
-    "born": "select customer_id, min(order_month_start) as birth_month from r_orders group by customer_id",
+    "born": "select customer_id, min(order_month_start) as birth_month from r_orders where customer_id is not null group by customer_id",
     "cells": """
       select birth_month, cast(datediff('month', birth_month, order_month_start) as int) as month_number,
         count(distinct customer_id) as customer_cnt
@@ -113,7 +113,7 @@ SQL = {
     ),
     "repeat_customer_pct": query(
         """select cast(count(*) filter (n > 1) * 100 // count(*) as double) as repeated_customer_pct
-           from (select customer_id, count(*) as n from r_orders group by all)"""
+           from (select customer_id, count(*) as n from r_orders where customer_id is not null group by all)"""
     ),
     "customer_negative_review_pct": query(_BAD_SHARE),
     "avg_negative_review_pct": query(

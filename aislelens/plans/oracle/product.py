@@ -101,6 +101,13 @@ SQL = {
         f"select min({_R}) as minimum_level_outlier, max({_R}) as maximum_level_outlier from ratios", ratios=_RATIO
     ),
     "valid_orders_filter": query(f"select * from ratios where {_R} > 0.5 and {_R} < 1.25", ratios=_RATIO),
+    "iqr_inliers_orders": query(
+        """select order_id, cast(order_total as double) as order_total, q1, q3, lower_bound, upper_bound, iqr from r_orders, bounds
+           where order_total > lower_bound and order_total < upper_bound""",
+        bounds="""select q1, q3, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lower_bound, q3 + 1.5 * (q3 - q1) as upper_bound
+                  from (select quantile_cont(cast(order_total as double), 0.25) as q1,
+                          quantile_cont(cast(order_total as double), 0.75) as q3 from r_orders)""",
+    ),
     "iqr_inliers": query(
         """select event_id, value, q1, q3, lower_bound, upper_bound, iqr from events, bounds
            where value > lower_bound and value < upper_bound""",

@@ -28,14 +28,25 @@ def _numbered(table: str, key: str, order: str) -> str:
     )
 
 
-def _describe(column: str) -> str:
+_REQUIRED = {
+    "orders": ["order_id", "customer_id", "order_date"], "customers": ["customer_id"],
+    "feedback": ["feedback_id", "order_id", "customer_id", "feedback_date"], "products": ["product_id"],
+    "order_items": ["order_id", "product_id"], "delivery": ["order_id"],
+}
+_KEYS = {
+    "orders": "order_id", "customers": "customer_id", "feedback": "feedback_id", "products": "product_id",
+    "order_items": "order_id, product_id", "delivery": "order_id",
+}
+
+
+def _describe(column: str, table: str = "r_orders") -> str:
     v = f"cast({column} as double)"
     quartiles = ", ".join(
         f"{hu(f'quantile_cont({v}, {p})', 6)} as {name}" for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
     )
     return (
         f"select '{column}' as column_name, count({column}) as count, {hu(f'avg({v})', 6)} as mean, "
-        f"{hu(f'stddev_samp({v})', 6)} as std, min({v}) as min, {quartiles}, max({v}) as max from r_orders"
+        f"{hu(f'stddev_samp({v})', 6)} as std, min({v}) as min, {quartiles}, max({v}) as max from {table}"
     )
 
 
@@ -101,5 +112,26 @@ SQL = {
         "from (select distinct l_orderkey, l_linenumber from lineitem)"
     ),
     "describe_numeric": query(" union all ".join(_describe(c) for c in _MEASURES)),
+    "describe_delivery": query(" union all ".join(_describe(c, "r_delivery") for c in ("distance_km", "delivery_time_minutes"))),
+    "null_violations": query(" union all ".join(
+        f"select '{name}' as table_name, '{column}' as column_name, count(*) - count({column}) as violations from {_TABLES[name]}"
+        for name, columns in _REQUIRED.items() for column in columns
+    )),
+    "key_violations": query(" union all ".join(
+        f"select '{name}' as table_name, (select count(*) from (select {key} from {_TABLES[name]} group by {key} having count(*) > 1)) as violations"
+        for name, key in _KEYS.items()
+    )),
+    "dup_line_ship_dates": query(
+        "select l_orderkey, duplicate_rank from n where duplicate_rank > 1",
+        n="select l_orderkey, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey) "
+          "as duplicate_rank from lineitem",
+    ),
+    "later_event_times": query(
+        "select * from (select event_id, user_id, event_type, dense_rank() over (partition by user_id, event_type order by ts) "
+        "as time_rank from events) where time_rank > 1"
+    ),
+    "orphan_lines": query(
+        "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select event_id from events)"
+    ),
     "distinct_values": query("select distinct lower(payment_method) as value from r_orders"),
 }

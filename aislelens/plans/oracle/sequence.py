@@ -61,8 +61,10 @@ SQL = {
              b.next_buying_date,
              cast(datediff('day', cast(a.order_date as date), cast(b.next_buying_date as date)) as int) as order_day_gap,
              cast(datediff('day', cast(a.earliest as date), cast(a.order_date as date)) as int) as days_since_first,
-             a.purchases
-           from moments a join later b using (customer_id, product_id, order_date)""",
+             a.purchases, n.purchases as next_purchases
+           from moments a join later b using (customer_id, product_id, order_date)
+           join moments n on n.customer_id = a.customer_id and n.product_id = a.product_id
+             and n.order_date = b.next_buying_date""",
         moments="""
           select *, min(order_date) over (partition by customer_id, product_id) as earliest
           from (select customer_id, product_id, product_name, order_date, count(*) as purchases

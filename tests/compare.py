@@ -12,7 +12,7 @@ pages benchmark labels conversations""".split()
 
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
-    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "decimal(38,2)": "DECIMAL(38,2)",
 }
 
 

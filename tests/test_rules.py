@@ -244,7 +244,7 @@ def test_sequences(spark):
         ("p5", "p5", 2, 80.0), ("p6", "p5", 1, 90.0)
     ]
     gaps = sequence.same_product_gap(orders, known, items, products)
-    assert [r[3:] for r in rows(gaps, "first_buying_date")] == [(at(0), at(2), 2, 0, 1), (at(2), at(9), 7, 2, 1)]
+    assert [r[3:] for r in rows(gaps, "first_buying_date")] == [(at(0), at(2), 2, 0, 1, 1), (at(2), at(9), 7, 2, 1, 1)]
     # customers that are not known leave no trace
     assert rows(sequence.next_product_value(orders, items, products, customers_frame(spark, 2))) == [("p6", "p5", 1, 90.0)]
 
