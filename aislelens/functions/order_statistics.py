@@ -58,20 +58,22 @@ def _hits(counts: DataFrame, step: str, searches: list[_Search], path_of: list[i
     ]
 
 
-def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int], list[int]]) -> list[tuple]:
+def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int, int], list[int]]) -> list[tuple]:
     """Values of the ``order`` columns in the rows at some 0-based ascending ranks.
 
-    ``ranks`` gets the number of rows and names the wanted ones. Rows compare by the first
-    column, ties by the second, and so on; rows with a NULL in the first are left out.
+    Rows compare by the first column, ties by the second, and so on; rows with a NULL in the
+    first are left out. ``ranks`` gets the number of rows, and of those left out, and names
+    the wanted ones.
     """
-    data = rows.select(*order).filter(F.col(order[0]).isNotNull())
+    every = rows.select(*order)
+    data = every.filter(F.col(order[0]).isNotNull())
     searches: list[_Search] = []
     for depth, column in enumerate(order):
         value = F.col(column)
         d = value.cast("double")  # bins only have to be monotone
         if depth == 0:
-            size, low, high = data.agg(F.count(value), F.min(d), F.max(d)).first()
-            wanted = ranks(size)
+            size, low, high, rows_in_all = every.agg(F.count(value), F.min(d), F.max(d), F.count(F.lit(1))).first()
+            wanted = ranks(size, rows_in_all - size)
             if size and not (isfinite(low) and isfinite(high)):
                 return _ends_apart(data, order, wanted)
             searches = [_Search(r, (), low, high, size) for r in wanted]
@@ -134,9 +136,9 @@ def _ends_apart(data: DataFrame, order: list[str], wanted: list[int]) -> list[tu
         own = [r for r in wanted if start <= r < start + size]
         inner = [r - start for r in own]
         if value is None and own:
-            found |= zip(own, rows_at(data.filter(test), order, lambda _: inner))
+            found |= zip(own, rows_at(data.filter(test), order, lambda *_: inner))
         elif own and len(order) > 1:
-            found |= {r: (value, *rest) for r, rest in zip(own, rows_at(data.filter(test), order[1:], lambda _: inner))}
+            found |= {r: (value, *rest) for r, rest in zip(own, rows_at(data.filter(test), order[1:], lambda *_: inner))}
         else:
             found |= {r: (value,) for r in own}
         start += size
@@ -147,7 +149,7 @@ def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[fl
     """Linearly interpolated quantiles of the non-null values; None if there are none."""
     where: list[float] = []
 
-    def ranks(size: int) -> list[int]:
+    def ranks(size: int, _: int) -> list[int]:
         where.extend(p * (size - 1) for p in probs if size)
         return [r for w in where for r in (floor(w), ceil(w))]
 
@@ -164,10 +166,9 @@ def with_tile(df: DataFrame, tiles: int, value: str, unique_id: str, name: str)
     looked for; a row's tile is then the count of tile starts it has reached. Rows without a
     value come last, by id. Runs Spark jobs while it is defined.
     """
-    absent = df.filter(F.col(value).isNull())
-    missing, among_missing = absent.count(), []
+    among_missing: list[int] = []
 
-    def starts(size: int) -> list[int]:
+    def starts(size: int, missing: int) -> list[int]:
         small, more = divmod(size + missing, tiles)
         every = [r for t in range(1, tiles) if (r := t * small + min(t, more)) < size + missing]
         among_missing.extend(r - size for r in every if r >= size)
@@ -180,6 +181,7 @@ def with_tile(df: DataFrame, tiles: int, value: str, unique_id: str, name: str)
         tie = (F.col(value) == F.lit(-v)) & (F.col(unique_id) >= F.lit(i))
         tile = tile + F.when(lower | tie | F.col(value).isNull(), 1).otherwise(0)
     if among_missing:
-        for (i,) in rows_at(absent.select(F.col(unique_id).alias("id")), ["id"], lambda _: among_missing):
+        absent = df.filter(F.col(value).isNull()).select(F.col(unique_id).alias("id"))
+        for (i,) in rows_at(absent, ["id"], lambda *_: among_missing):
             tile = tile + F.when(F.col(value).isNull() & (F.col(unique_id) >= F.lit(i)), 1).otherwise(0)
     return df.withColumn(name, tile)

@@ -41,7 +41,7 @@ def test_wide_integers_stay_exact(spark, monkeypatch):
     monkeypatch.setattr(stats, "FEW_ROWS", 2)
     values = [2**60 + i for i in range(50)]
     df = spark.createDataFrame([(v,) for v in values], "x bigint").repartition(4)
-    assert stats.rows_at(df, ["x"], lambda n: [0, 25, n - 1]) == [(values[0],), (values[25],), (values[-1],)]
+    assert stats.rows_at(df, ["x"], lambda n, _: [0, 25, n - 1]) == [(values[0],), (values[25],), (values[-1],)]
 
 
 @pytest.mark.parametrize("rows", [1, 3, 4, 5, 6, 23, 200])
