@@ -124,3 +124,32 @@ def test_product_cleaning_reproduces_a_cleaned_file(spark):
     ours = ingest.read_cleaned(spark, "products", delivered)
     want = files.load_csv(spark, cleaned, f"{schemas.PRODUCTS}, profit decimal(18,2)")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, want.select(ours.columns).collect()))
+
+
+def test_product_cleaning_of_a_small_file(spark, tmp_path):
+    columns = "product_id,product_name,category,brand,price,mrp,margin_percentage,shelf_life_days,min_stock_level,max_stock_level"
+    delivered = [
+        "7,Oat Milk,Dairy & More,North Co,80.05,100.10,20.0,9,5,50", "8,RICE,Staples,South-East Ltd,0.99,1.00,1.0,365,1,2",
+        "9,tea bags,Hot Drinks,West Inc,250.00,250.00,0.0,700,10,20",
+    ]
+    cleaned = [
+        "7,oat milk,dairy & more,North Co,80.05,100.10,20.0,9,5,50,20.05", "8,rice,staples,South-East Ltd,0.99,1.00,1.0,365,1,2,0.01",
+        "9,tea bags,hot drinks,West Inc,250.00,250.00,0.0,700,10,20,0.00",
+    ]
+    for name, lines in (("in", [columns, *delivered]), ("out", [f"{columns},profit", *cleaned])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    ours = ingest.read_cleaned(spark, "products", str(tmp_path / "in.csv"))
+    want = files.load_csv(spark, str(tmp_path / "out.csv"), f"{schemas.PRODUCTS}, profit decimal(18,2)")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, want.select(ours.columns).collect()))
+
+
+def test_analyses_run_on_stored_tables(spark, tmp_path):
+    """Those that read only the six tables find them; the others are named in NEED_RAW."""
+    given = RetailTables(spark, "/root/testdata/sf0.001")
+    for name, df in {"orders": given.orders, "customers": given.customers, "feedback": given.feedback, "products": given.products,
+                     "order_items": given.items, "delivery": given.delivery}.items():
+        df.write.parquet(str(tmp_path / name))
+    stored = ingest.StoredTables(spark, str(tmp_path))
+    for name, job in catalog.JOBS.items():
+        if name not in catalog.NEED_RAW | catalog.EAGER:
+            assert job(stored).schema is not None, name
