@@ -195,10 +195,13 @@ def duplicates(docs: DataFrame, *, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents, unchanged, that own their text: exactly one of equal ones."""
+    """The documents, unchanged, that own their text: exactly one of equal ones.
+
+    Columns of any name and number are kept as they are.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = duplicates(docs).filter("kept").select(key.alias("_key"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumns({"_key": key, "_sha": F.sha2(normalised(), 256)})
-    once = Window.partitionBy("_key", "_sha").orderBy("_sha")
-    found = marked.join(kept, ["_key", "_sha"], "left_semi").withColumn("_copy", F.row_number().over(once))
-    return found.filter("_copy = 1").select(*docs.columns)
+    kept = duplicates(docs).filter("kept").select(key.alias("key"), F.col("text_sha256").alias("sha"))
+    marked = docs.select(F.struct("*").alias("row"), key.alias("key"), F.sha2(normalised(), 256).alias("sha"))
+    once = Window.partitionBy("key", "sha").orderBy("sha")
+    found = marked.join(kept, ["key", "sha"], "left_semi").withColumn("copy", F.row_number().over(once))
+    return found.filter("copy = 1").select("row.*")

@@ -123,21 +123,24 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
 def mixed(docs: DataFrame, **options: int) -> DataFrame:
     """The mixture itself: the columns of ``docs``, a row for every use of a document.
 
-    A part of a document is its words joined by one space. A column n_chars follows the text.
+    A part of a document is its words joined by one space. A column n_chars follows the text;
+    all other columns, whatever their names, are kept as they are.
     """
-    size = word_count("text")
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_size", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    plan = mix(docs, **options).filter("taken > 0").withColumnRenamed("size", "_size").withColumn("_key", key)
-    plan = plan.withColumn("_plan_copy", copy).select("_key", "_plan_copy", F.col("uses").alias("_uses"), F.col("from_word").alias("_from"), F.col("n_words").alias("_words"))
-    rows = docs.withColumn("_size", size).withColumn("_key", key).withColumn("_copy", copy)
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    plan = mix(docs, **options).filter("taken > 0").withColumn("key", key)
+    plan = plan.withColumn("plan_copy", copy).select(F.col("key").alias("plan_key"), "plan_copy", "uses", "from_word", "n_words")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count("text").alias("size")).select("row", key.alias("key"))
+    rows = rows.withColumn("copy", copy)
     # Repeated rows pair off; the copies are compared without being a key, which would deal all rows anew.
-    found = rows.join(plan, (rows["_key"] == plan["_key"]) & (F.abs(F.col("_copy") - F.col("_plan_copy")) < 1))
-    uses = F.explode(F.sequence(F.lit(1), (F.col("_uses") + (F.col("_words") > 0).cast("int")).cast("int")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.slice(F.concat(words, words), (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
-    cut = F.col("_use") > F.col("_uses")
-    out = found.select(*[rows[c] for c in docs.columns], "_uses", "_from", "_words", uses.alias("_use")).withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    found = rows.join(plan, (F.col("key") == F.col("plan_key")) & (F.abs(F.col("copy") - F.col("plan_copy")) < 1))
+    uses = F.explode(F.sequence(F.lit(1), (F.col("uses") + (F.col("n_words") > 0).cast("int")).cast("int")))
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
+    part = F.array_join(F.slice(F.concat(words, words), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
+    cut = F.col("use") > F.col("uses")
+    out = found.select("row", "uses", "from_word", "n_words", uses.alias("use")).withColumn("text", F.when(cut, part).otherwise(F.col("row.text")))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n_chars = F.when(cut, F.length("text")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")

@@ -245,5 +245,5 @@ def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_
     Rows that share a doc_id stay or go together; rows without one stay.
     """
     found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    copies = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy"))
+    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti")

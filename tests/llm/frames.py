@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Extra columns named like columns that operators use inside.
-CLASHING = "kept, size, uid, hash, sha, fp, slot, shard, taken, node, order, slice, coarse, body, words, piece, n_words, _key, key, component_id"
+CLASHING = "kept, size, uid, hash, sha, fp, slot, shard, taken, node, order, slice, coarse, body, words, piece, n_words, _key, key, _sha, _copy, copy, uses, use, row, a.b, component_id"
 
 
 def documents(spark: SparkSession, rows: list[tuple], clashing: bool = False) -> DataFrame:
