@@ -10,15 +10,19 @@ rank. Later passes filter by literal bounds, which reach the file scan.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, floor, inf, isfinite, nan
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
 FEW_ROWS = 1_000_000
+#: Searches that run side by side; each reads its own columns only.
+AT_ONCE = 8
 
 
 @dataclass
@@ -74,7 +78,9 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int, int], list[
         if depth == 0:
             size, low, high, rows_in_all = every.agg(F.count(value), F.min(d), F.max(d), F.count(F.lit(1))).first()
             wanted = ranks(size, rows_in_all - size)
-            if size and not (isfinite(low) and isfinite(high)):
+            if size <= FEW_ROWS:
+                return _of_few(data, order, wanted)
+            if not (isfinite(low) and isfinite(high)):
                 return _ends_apart(data, order, wanted)
             searches = [_Search(r, (), low, high, size) for r in wanted]
             tied, groups = data.withColumn("tie", F.lit(0)), [()]
@@ -125,6 +131,15 @@ def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int, int], list[
     return [s.found for s in searches]
 
 
+def _of_few(data: DataFrame, order: list[str], wanted: list[int]) -> list[tuple]:
+    """The same for at most ``FEW_ROWS`` rows, which one task may sort."""
+    if not wanted:
+        return []
+    placed = data.withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
+    found = {r["_place"]: tuple(r)[:-1] for r in placed.filter(F.col("_place").isin(*wanted)).collect()}
+    return [found[r] for r in wanted]
+
+
 def _ends_apart(data: DataFrame, order: list[str], wanted: list[int]) -> list[tuple]:
     """The same when infinities or NaN (the greatest value) are there: only finite values have bins."""
     d = F.col(order[0]).cast("double")
@@ -145,6 +160,19 @@ def _ends_apart(data: DataFrame, order: list[str], wanted: list[int]) -> list[tu
     return [found[r] for r in wanted]
 
 
+def _side_by_side(df: DataFrame, search: Callable, wanted: list) -> list:
+    """Results of ``search`` for each of ``wanted``: their Spark jobs share the cluster."""
+    if len(wanted) < 2:
+        return [search(w) for w in wanted]
+    with ThreadPoolExecutor(min(AT_ONCE, len(wanted))) as threads:
+        return list(threads.map(inheritable_thread_target(df.sparkSession)(search), wanted))
+
+
+def quantiles_of_columns(rows: DataFrame, columns: list[str], probs: list[float]) -> list[list[float | None]]:
+    """``exact_quantiles`` of each column."""
+    return _side_by_side(rows, lambda column: exact_quantiles(rows, column, probs), columns)
+
+
 def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Linearly interpolated quantiles of the non-null values; None if there are none."""
     where: list[float] = []
@@ -159,13 +187,19 @@ def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[fl
     return [lo if lo == hi else lo + (hi - lo) * (w - floor(w)) for w, lo, hi in zip(where, found[::2], found[1::2])]
 
 
-def with_tile(df: DataFrame, tiles: int, value: str, unique_id: str, name: str) -> DataFrame:
+def with_tiles(df: DataFrame, tiles: int, names: dict[str, str], unique_id: str) -> DataFrame:
     """Number rows 1..tiles in equal shares, by value descending and then id ascending.
 
-    The first (rows mod tiles) tiles hold one row more. Only the first row of each tile is
-    looked for; a row's tile is then the count of tile starts it has reached. Rows without a
-    value come last, by id. Runs Spark jobs while it is defined.
+    ``names`` maps each value column to the name of its tile. The first (rows mod tiles) tiles
+    hold one row more. Only the first row of each tile is looked for; a row's tile is then the
+    count of tile starts it has reached. Rows without a value come last, by id. Runs Spark jobs
+    while it is defined, those of all values side by side.
     """
+    found = _side_by_side(df, lambda value: _tile(df, tiles, value, unique_id), list(names))
+    return df.withColumns(dict(zip(names.values(), found)))
+
+
+def _tile(df: DataFrame, tiles: int, value: str, unique_id: str) -> Column:
     among_missing: list[int] = []
 
     def starts(size: int, missing: int) -> list[int]:
@@ -184,4 +218,4 @@ def with_tile(df: DataFrame, tiles: int, value: str, unique_id: str, name: str)
         absent = df.filter(F.col(value).isNull()).select(F.col(unique_id).alias("id"))
         for (i,) in rows_at(absent, ["id"], lambda *_: among_missing):
             tile = tile + F.when(F.col(value).isNull() & (F.col(unique_id) >= F.lit(i)), 1).otherwise(0)
-    return df.withColumn(name, tile)
+    return tile

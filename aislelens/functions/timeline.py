@@ -88,6 +88,12 @@ def deal_slices(sliced: DataFrame, key: list[str]) -> DataFrame:
     return sliced.repartition(*key, SLICE)
 
 
+def slice_if_large(df: DataFrame, size: Column, by: Column) -> DataFrame:
+    """Slice all rows by a column when a key may have as many rows as ``size`` says, else none."""
+    sliced = df.withColumn(HOT, F.when(size > MIN_ROWS, True))
+    return sliced.withColumn(SLICE, F.when(F.col(HOT), by))
+
+
 def with_next(sliced: DataFrame, key: list[str], order: list[str], take: dict[str, str]) -> DataFrame:
     """Add, per key, values of the following row: ``take`` maps new column -> source column.
 

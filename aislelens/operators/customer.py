@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
-from aislelens.functions.order_statistics import with_tile
+from aislelens.functions.order_statistics import with_tiles
 from aislelens.sources.files import cut_lineage
 
 
@@ -78,8 +78,7 @@ def rfm_ntile_segments(orders: DataFrame, customers: DataFrame, tiles: int = 5)
     scored = rfm.withColumn(
         "recency_score", L.band("recency", L.RECENCY_QUINTILE_BANDS, L.RECENCY_QUINTILE_OTHER)
     )
-    for measure in ("frequency", "monetary"):
-        scored = with_tile(scored, tiles, measure, "customer_id", f"{measure}_score")
+    scored = with_tiles(scored, tiles, {m: f"{m}_score" for m in ("frequency", "monetary")}, "customer_id")
     segment = F.lit(L.RFM_SEGMENT_OTHER)
     for r, f, m, label in reversed(L.RFM_SEGMENTS):
         meets = (F.col("recency_score") >= r) & (F.col("frequency_score") >= f) & (F.col("monetary_score") >= m)

@@ -9,7 +9,7 @@ from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
 from aislelens.functions.order_statistics import exact_quantiles
-from aislelens.functions.timeline import HOT, SLICE, with_position
+from aislelens.functions.timeline import slice_if_large, with_position
 
 
 def _sold(orders: DataFrame, items: DataFrame, *columns: str | Column, how: str = "inner") -> DataFrame:
@@ -120,11 +120,12 @@ def area_product_rank(
 ) -> DataFrame:
     """Products ordered more than once in an area, ranked there by average order value.
 
-    The ranking is sliced by cent, so a large catalogue in one area is not sorted by one
-    task even though averages of many orders lie close together. Products without any order
-    value come last.
+    An area has as many rows as there are products at most. The ranking in a large catalogue
+    is sliced by cent, so that one area is not sorted by one task even though averages of many
+    orders lie close together. Products without any order value come last.
     """
     worth = N.ratio("value", "paid")
+    catalogue = products.agg(F.count("product_id")).scalar()
     cells = (
         _sold(orders, items, "customer_id")
         .join(customers.select("customer_id", "area"), "customer_id")
@@ -132,9 +133,9 @@ def area_product_rank(
         .filter("n > 1")
         .join(products.select("product_id", "product_name"), "product_id")
         .withColumns({"order_size": F.col("n"), "aov": N.half_up(worth), "_worth": -N.half_up(worth, 6)})
-        .withColumns({HOT: F.lit(True), SLICE: F.coalesce(F.floor(F.col("_worth") * 100), F.lit(2**62))})
     )
-    return with_position(cells, ["area"], ["_worth"], "aov_rnk", dense=True).select(
+    sliced = slice_if_large(cells, catalogue, F.coalesce(F.floor(F.col("_worth") * 100), F.lit(2**62)))
+    return with_position(sliced, ["area"], ["_worth"], "aov_rnk", dense=True).select(
         "area", "product_id", "product_name", "order_size", "aov", "aov_rnk"
     )
 

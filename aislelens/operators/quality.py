@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislelens.functions import numeric as N
-from aislelens.functions.order_statistics import exact_quantiles
+from aislelens.functions.order_statistics import quantiles_of_columns
 from aislelens.functions.timeline import slice_counted, with_position
 
 
@@ -167,16 +167,16 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         measure(F.col(c).cast("double")).alias(f"{name} {c}") for c in columns for name, measure in moments.items()
     ])
 
-    def line(column: str) -> Column:
-        # the quartiles are single numbers by now, found by exact distributed counting
-        quartiles = zip(("q25", "q50", "q75"), exact_quantiles(df, column, [0.25, 0.5, 0.75]))
+    def line(column: str, quartiles: list[float | None]) -> Column:
         return F.struct(
             F.lit(column).alias("column_name"),
             *[F.col(f"{name} {column}").alias(name) for name in moments],
-            *[F.lit(value).cast("double").alias(name) for name, value in quartiles],
+            *[F.lit(value).cast("double").alias(name) for name, value in zip(("q25", "q50", "q75"), quartiles)],
         )
 
-    return wide.select(F.inline(F.array(*[line(c) for c in columns]))).select(
+    # the quartiles are single numbers by now, found by exact distributed counting
+    found = quantiles_of_columns(df, columns, [0.25, 0.5, 0.75])
+    return wide.select(F.inline(F.array(*map(line, columns, found)))).select(
         "column_name", "count", *[N.half_up(c, 6).alias(c) for c in ("mean", "std")], "min",
         *[N.half_up(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max",
     )

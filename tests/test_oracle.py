@@ -33,7 +33,7 @@ def test_same_as_sql(spark, db, name):
 SLICED = """next_product_symmetry next_category_propensity next_category_demand next_product_value
 triple_repeat_product same_product_gap product_reorder_gap late_penalty churn_after_delivery
 revenue_leakage delay_vs_next_value recovered_delivery_pct churn_after_bad_review
-dup_feedback_customer""".split()
+dup_feedback_customer area_product_rank""".split()
 
 
 @pytest.mark.parametrize("name", SLICED)

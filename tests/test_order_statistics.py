@@ -53,7 +53,7 @@ def test_tiles(spark, monkeypatch, rows, distinct, few_rows):
     rnd = random.Random(rows * distinct)
     data = [(i, Decimal(rnd.randrange(distinct)) / 100) for i in range(rows)]
     df = spark.createDataFrame(data, "id bigint, v decimal(18,2)").repartition(3)
-    got = {r["id"]: r["tile"] for r in stats.with_tile(df, 5, "v", "id", "tile").collect()}
+    got = {r["id"]: r["tile"] for r in stats.with_tiles(df, 5, {"v": "tile"}, "id").collect()}
     small, more = divmod(rows, 5)
     sizes = [small + (t < more) for t in range(5)]
     tiles = [t + 1 for t, size in enumerate(sizes) for _ in range(size)]

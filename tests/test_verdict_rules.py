@@ -111,7 +111,7 @@ def test_tiles_place_rows_without_value_last(spark, monkeypatch, few):
     monkeypatch.setattr(order_statistics, "FEW_ROWS", few)
     for n, missing, tiles in ((10, 5, 5), (3, 9, 4), (0, 4, 3), (7, 1, 3)):
         rows = [(i, float(i * 3 % 7)) for i in range(n)] + [(100 + i, None) for i in range(missing)]
-        df = order_statistics.with_tile(spark.createDataFrame(rows, "id int, v double"), tiles, "v", "id", "tile")
+        df = order_statistics.with_tiles(spark.createDataFrame(rows, "id int, v double"), tiles, {"v": "tile"}, "id")
         ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
         small, more = divmod(len(rows), tiles)
         wanted, at = {}, 0
