@@ -49,8 +49,9 @@ def train(
     """Dictionaries from at most ``sample_docs`` different documents of every language.
 
     Rows without text or language teach nothing; a repeated text counts once. The sample is
-    the documents with the smallest content hashes, so reruns agree. Ties in size later go
-    to the language with more labelled rows, then by name.
+    the documents with the smallest content hashes, so reruns agree. No document teaches more
+    than ``dictionary_bytes`` characters, so what reaches the driver is bounded however long
+    texts are. Ties in size later go to the language with more labelled rows, then by name.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -61,7 +62,11 @@ def train(
     # About 16 times the sample passes the hash filter; only that is ranked.
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 16 * sample_docs / n))])
     key = F.xxhash64("text")
-    drawn = labelled.withColumn("key", key).filter((key / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
+    drawn = (
+        labelled.withColumn("key", key)
+        .filter((F.col("key") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
+        .withColumn("text", F.substring("text", 1, dictionary_bytes))
+    )
     first = Window.partitionBy("lang").orderBy("key")
     sample = (
         drawn.dropDuplicates(["lang", "key"])

@@ -49,3 +49,9 @@ def test_equal_dictionaries_are_rejected(spark):
     docs = documents(spark, [(i, WORDS["en"], ("en", "fr")[i % 2]) for i in range(30)])
     assert all(r.rejected and r.margin == 0 for r in language.identify(docs).collect())
     assert language.accepted(docs).count() == 0
+
+
+def test_a_long_document_teaches_a_bounded_part(spark):
+    docs = documents(spark, [(i, (WORDS["en"] + " ") * 5_000, "en") for i in range(5)] + [(100 + i, WORDS["de"], "de") for i in range(5)])
+    model = language.train(docs, dictionary_bytes=1_000)
+    assert set(model.dictionaries) == {"en", "de"} and all(0 < len(d) <= 1_000 for d in model.dictionaries.values())
