@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 TRIE_BYTES = 48_000_000
 #: Bytes of text in one Arrow batch that leaves a task.
 BATCH_BYTES = 4_000_000
+#: Rows that a task remembers to drop repeats before the shuffle.
+SEEN = 100_000
 _PER_ROW = 120  # bytes of Python objects that a row takes besides its text
 
 LOCAL = pa.schema([
@@ -194,14 +197,29 @@ def duplicates(docs: DataFrame, *, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     )
 
 
+def _new_in_task(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """False for rows that repeat one of the last rows of the task; other repeats are met after the shuffle."""
+    seen: set[tuple] = set()
+    for keys, shas in batches:
+        new = []
+        for pair in zip(keys, shas):
+            new.append(pair not in seen)
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(pair)
+        yield pd.Series(new, dtype=bool)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents, unchanged, that own their text: exactly one of equal ones.
 
-    Columns of any name and number are kept as they are.
+    Columns of any name and number are kept as they are. Rows that share both id and text
+    (or have no id) leave a task once, however many there are.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     kept = duplicates(docs).filter("kept").select(key.alias("key"), F.col("text_sha256").alias("sha"))
     marked = docs.select(F.struct("*").alias("row"), key.alias("key"), F.sha2(normalised(), 256).alias("sha"))
     once = Window.partitionBy("key", "sha").orderBy("sha")
-    found = marked.join(kept, ["key", "sha"], "left_semi").withColumn("copy", F.row_number().over(once))
+    new = F.pandas_udf(_new_in_task, "boolean").asNondeterministic()  # it has a state: not to be moved
+    found = marked.filter(new("key", "sha")).join(kept, ["key", "sha"], "left_semi").withColumn("copy", F.row_number().over(once))
     return found.filter("copy = 1").select("row.*")

@@ -55,6 +55,14 @@ def test_one_document_of_each_text_stays_whole(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == owners
 
 
+@pytest.mark.parametrize("seen", [exact_dedup.SEEN, 2])
+def test_repeated_rows_stay_once(spark, monkeypatch, seen):
+    monkeypatch.setattr(exact_dedup, "SEEN", seen)
+    rows = [(None, "no id")] * 300 + [(7, "twice  over")] * 200 + [(8, "twice over")] * 3 + [(None, None)] * 50 + [(9, f"text {i % 5}") for i in range(100)]
+    kept = Counter((r.doc_id, normal(r.text)) for r in exact_dedup.deduplicated(documents(spark, rows, clashing=True)).collect())
+    assert kept == {(None, "no id"): 1, (7, "twice over"): 1, (None, ""): 1, **{(9, f"text {i}"): 1 for i in range(5)}}
+
+
 def test_empty_table(spark):
     assert exact_dedup.duplicates(documents(spark, [(1, "a")]).limit(0)).count() == 0
 
