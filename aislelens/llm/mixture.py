@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislelens.llm.prefix import WORD, seeded_order, seeded_slices, with_prefix, word_count
+from aislelens.llm.prefix import WORD, row_identity, seeded_order, seeded_slices, with_prefix, word_count
 from aislelens.sources.files import cut_lineage
 
 # Weights by rank of the source, share of all words, uses of one document.
@@ -86,10 +86,9 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
     block of a source may be short, so taken words miss the target by less than two blocks.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    order = seeded_order(seed, F.col("doc_id"))
+    order = seeded_order(seed, row_identity())
     rows = cut_lineage(
-        docs.select("doc_id", "source", word_count("text").alias("size"))
-        .select("doc_id", "source", "size", key.alias("key"), order.alias("order"))
+        docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("key"), order.alias("order"))
         .withColumns(seeded_slices("order"))
     )
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))

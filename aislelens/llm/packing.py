@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislelens.llm.prefix import seeded_order, seeded_slices, with_prefix, word_count
+from aislelens.llm.prefix import row_identity, seeded_order, seeded_slices, with_prefix, word_count
 from aislelens.sources.files import cut_lineage
 
 #: Longest piece in words, words in a batch with padding, buckets, seed of the order.
@@ -59,14 +59,14 @@ def pack(
 
     The histogram over all rows has at most ``max_words`` entries; it alone reaches the driver.
     """
-    words = docs.select("doc_id", word_count("text").alias("words"))
+    words = docs.select("doc_id", row_identity().alias("identity"), word_count("text").alias("words"))
     last = F.floor(F.greatest(F.col("words") - 1, F.lit(0)) / max_words)
-    pieces = words.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    pieces = words.select("doc_id", "identity", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
     pieces = pieces.withColumn("first_word", F.col("piece") * max_words)
     pieces = pieces.withColumn("n_words", F.least(F.col("words") - F.col("first_word"), F.lit(max_words)))
-    order = seeded_order(seed, F.col("doc_id"), F.col("piece"))
+    order = seeded_order(seed, F.col("identity"), F.col("piece"))
     pieces = cut_lineage(
-        pieces.withColumn("order", order).withColumns(seeded_slices("order")).drop("words")
+        pieces.withColumn("order", order).withColumns(seeded_slices("order")).drop("words", "identity")
     )
     histogram = {r.n_words: r.n for r in pieces.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
     bounds = bucket_bounds(histogram, buckets)

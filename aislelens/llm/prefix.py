@@ -22,6 +22,15 @@ def seeded_order(seed: int, *columns: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
 
 
+def row_identity(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row's place in a seeded order is drawn from: its id, or a hash of its text if it has none.
+
+    Any share of the rows may lack an id and still spreads over all slices.
+    """
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.coalesce(F.col(doc_id).cast("string"), unnamed)
+
+
 def seeded_slices(order: str) -> dict[str, Column]:
     """Slices of rows sorted by ``seeded_order``: fine ones, and 256 coarse ones that hold them."""
     return {"slice": F.substring(order, 1, SLICE_DIGITS), "coarse": F.substring(order, 1, 2)}

@@ -79,7 +79,7 @@ FROM texts WINDOW same AS (PARTITION BY body)
     "op5_source_mix": r"""
 WITH docs AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-           md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS place
+           md5('42:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS place
     FROM documents
 ), sources AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source

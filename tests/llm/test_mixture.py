@@ -98,6 +98,14 @@ def test_empty_table(spark):
     assert mixture.mix(empty).count() == 0 and mixture.mixed(empty).count() == 0
 
 
+def test_rows_without_id_spread_over_slices(spark):
+    docs = [(None, f"text {i} of many", None, "a") for i in range(300)] + [(i, "w " * 5, None, "b") for i in range(30)]
+    frame = documents(spark, docs)
+    places = frame.filter("doc_id is null").select(prefix.seeded_order(1, prefix.row_identity()).alias("o"))
+    assert places.distinct().count() == 300
+    check(mixture.mix(frame).collect(), docs)
+
+
 def test_prefix_sums(spark):
     draw = random.Random(1)
     rows = [(draw.choice("ab"), f"{draw.randrange(16**6):06x}", draw.randrange(9)) for _ in range(500)]
