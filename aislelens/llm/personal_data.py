@@ -36,7 +36,10 @@ _SPELLED_AT = re.compile(r" ?[\[(]at[\])] ?| at (?=[\w-]{2,63} dot )", re.I)
 _SPELLED_DOMAIN = re.compile(r"[\w-]{2,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[a-z]{2,24})+", re.I)
 _SPELLED_LOCAL = re.compile(r"[\w.%+-]{1,64}$")
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")
-_NATIONAL = re.compile(r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
+_NATIONAL = re.compile(
+    r"(?<![0-9A-Za-z+.(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
+)
+_GROUPED = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])")
 _SHORT_CARD = (13, 15)
 
 # Gazetteers and context words.
@@ -121,8 +124,11 @@ def _loose(text: str) -> Iterator[tuple[int, int, int]]:
         for m in _IP6.finditer(text):
             yield 1, *m.span()
     for m in _CARD.finditer(text):
-        if _SHORT_CARD[0] <= len(_digits(m[0])) <= _SHORT_CARD[1]:
+        alone = not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum())
+        if alone and _SHORT_CARD[0] <= len(_digits(m[0])) <= _SHORT_CARD[1]:
             yield 2, *m.span()
+    for m in _GROUPED.finditer(text):  # next to other digits, so that the strict pattern took too many
+        yield 2, *m.span()
     for m in _NATIONAL.finditer(text):
         yield 3, *m.span()
 

@@ -72,6 +72,18 @@ def test_added_spans_keep_the_base_and_leave_prose_alone(spark):
     assert rows[102].spans == ""
 
 
+def test_spans_beside_other_digits(spark):
+    strict = [(i, f"card 4111 1111 1111 1111 and call +1 (678) 555-52{i:02d} from 10.0.{i}.7") for i in range(60)]
+    beside = [
+        (100, "call +1 (826) 555-4081 190.137.20.4 now"), (101, "paid 7 4111 1111 1111 1111 today"),
+        (102, "5d190bd7c06284de91015a36974748794293dd8a"), (103, "ref 1234 1234 1234 1234 1234 1234"), (104, "x4111 1111 1111 1111 1"),
+    ]
+    rows = {r.doc_id: r for r in personal_data.digest(personal_data.scan(documents(spark, strict + beside))).collect()}
+    assert rows[100].spans == "ip:23:35,phone:5:22" and rows[100].n_phone == 0
+    assert rows[101].spans == "card:7:26" and rows[101].n_card == 0
+    assert {rows[i].spans for i in (102, 103, 104)} == {""}
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     draw = random.Random(3)
     counts = Counter()
