@@ -38,6 +38,8 @@ _ROLES = frozenset(
     "social comment comments disqus respond reply replies footer header masthead topbar newsletter subscribe subscription signup "
     "login search related recommended widget widgets toolbar contentinfo complementary skip".split()
 )
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_PROSE = frozenset("p blockquote pre".split())
 _NEVER_ROLE = frozenset("html body article main".split())
 
 _TOKEN = re.compile(
@@ -160,7 +162,9 @@ def _measure(nodes: list[_Node]) -> None:
 def _chosen(nodes: list[_Node]) -> set[_Node]:
     """The container with the largest sum, and those that reach the threshold of its path to the body.
 
-    Paragraphs and inline elements are not chosen by themselves: their container is.
+    The largest one stands for its whole article or main element, and brings the headings and
+    prose around it along. Paragraphs and inline elements are not chosen by density: their
+    container is.
     """
     kept = [n for n in nodes if not n.dropped]
     body = next((n for n in kept if n.name == "body"), kept[0])
@@ -171,12 +175,88 @@ def _chosen(nodes: list[_Node]) -> set[_Node]:
             own = best[node] = node
         if own is not None and (up := node.parent) is not None and (up not in best or own.total > best[up].total):
             best[up] = own
-    top, threshold = best[body], float("inf")
+    top, threshold, path = best[body], float("inf"), set()
     node = top
     while node is not None:
         threshold = min(threshold, node.density)
+        path.add(node)
         node = None if node is body else node.parent
-    return {top} | {best[n] for n in kept if n.name in _CONTAINER and n.density >= threshold and n.density > 0}
+    dense = {n for n in kept if n.name in _CONTAINER and n not in path and n.density >= threshold and n.density > 0}
+    whole = _whole(top)
+    return {whole} | {_article(n) or n for n in dense} | _around(kept, top, whole)
+
+
+def _article(node: _Node) -> _Node | None:
+    """The outermost article around a node, or itself."""
+    found = None
+    up: _Node | None = node
+    while up is not None:
+        found = up if up.name == "article" else found
+        up = up.parent
+    return found
+
+
+def _whole(top: _Node) -> _Node:
+    """The outermost article, else the nearest main element, else the container itself."""
+    up: _Node | None = top
+    while up is not None and up.name != "main":
+        up = up.parent
+    return _article(top) or up or top
+
+
+def _unlinked(node: _Node) -> int:
+    return node.chars - node.link_chars
+
+
+def _around(kept: list[_Node], top: _Node, whole: _Node) -> set[_Node]:
+    """Headings and prose beside the chosen container or beside what holds it.
+
+    Outside of an article or main element only the h1, if there is none inside, and the prose
+    between it and the element. A container beside counts as prose if it holds a paragraph,
+    more text than links, and at least half the text for each tag that the largest one has;
+    unlike the density, that does not grow with the number of tags.
+    """
+    holds_prose, holds_title = set(), set()
+    for node in kept:
+        marks = (holds_prose,) if node.name in _PROSE and _unlinked(node) else (holds_title,) if node.name == "h1" and node.chars else ()
+        for mark in marks:
+            up: _Node | None = node
+            while up is not None and up not in mark:
+                mark.add(up)
+                up = up.parent
+    rate = _unlinked(top) / max(1, top.tags) / 2
+
+    def is_prose(node: _Node) -> bool:
+        if 2 * node.link_chars >= node.chars or node not in holds_prose:
+            return False
+        return node.name in _PROSE or (node.name in _CONTAINER and _unlinked(node) / max(1, node.tags) >= rate)
+
+    found: set[_Node] = set()
+    child, up = whole, whole.parent
+    bounded, titled = whole.name in ("article", "main"), whole in holds_title
+    inside_main = whole.name == "article" and _inside(whole, "main")
+    while up is not None:
+        beside = [p for p in up.parts if not isinstance(p, str) and not p.dropped and p.chars]
+        if not bounded or inside_main:
+            found |= {p for p in beside if p is not child and (p.name in _HEADING or is_prose(p))}
+        elif not titled:
+            before = beside[: beside.index(child)] if child in beside else []
+            first = next((i for i, p in enumerate(before) if p.name in ("h1", "hgroup") and p in holds_title), None)
+            if first is not None:
+                found |= {p for p in before[first:] if p.name in _HEADING or is_prose(p)}
+                titled = True
+        if up.name == "main":
+            inside_main, bounded = False, True
+            titled = titled or up in holds_title
+        child, up = up, up.parent
+    return found
+
+
+def _inside(node: _Node, name: str) -> bool:
+    up = node.parent
+    while up is not None and up.name != name:
+        up = up.parent
+    return up is not None
 
 
 def main_text(html: str | None) -> str:
@@ -214,7 +294,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page, one row per input row: page_id, url, text, n_chars.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-    are left out by element and by class, id or role; what is left is chosen by density.
+    are left out by element and by class, id or role; what is left is chosen by density, as
+    whole articles with the headings and paragraphs beside them.
     Null or empty html, or a page without text, gives an empty text. Character references are
     decoded and white space inside a block is one space.
     """

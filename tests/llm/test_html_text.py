@@ -36,6 +36,31 @@ def test_headings_lists_and_open_tags_stay_in_order():
     assert html_text.main_text(page(body)) == "Title é\n\nOne\n\nTwo lines\n\na\n\nb\n\nc d\n\ne f\n\ntail"
 
 
+def test_a_title_beside_the_densest_container():
+    before, after = "".join(FURNITURE[:5]), "".join(FURNITURE[5:])
+    prose = [*PROSE, "A third one ends the matter, as far as there is more to say about it today."]
+    wanted = "\n\n".join(["Title", "A lead in a few words.", WANTED, prose[2]])
+    inner, lead = f"<div>{paragraphs(prose)}</div>", "<h1>Title</h1><p>A lead in a few words.</p>"
+    for main in (f"<article>{lead}{inner}</article>", f"<main>{lead}{inner}</main>", f"<div>{lead}{inner}</div>", f"{lead}{inner}",
+                 f"<main>{lead}<article>{inner}</article></main>", f"<div>{lead}<article>{inner}</article></div>",
+                 f"<article><div>{lead}</div><div><div>{inner}</div></div></article>"):
+        assert html_text.main_text(page(before + main + after)) == wanted
+
+
+def test_long_and_short_sections():
+    long, short = paragraphs(["word " * 39 + "words"] * 9), paragraphs(["other " * 33 + "ends"])
+    for outer in ("article", "main", "div"):
+        text = html_text.main_text(f"<body><{outer}><section>{long}</section><section>{short}</section></{outer}></body>")
+        assert text.count("words") == 9 and text.count("ends") == 1
+    assert html_text.main_text(f"<body><section>{long}</section><section>{short}</section></body>").count("ends") == 1
+
+
+def test_unmarked_furniture_beside_the_text():
+    links = "<ul>" + "<li><a href='/x'>Something else to see</a></li>" * 5 + "</ul>"
+    bare = f"<div>{links}</div><article><h1>Title</h1>{paragraphs(PROSE * 3)}</article><p>Made by us</p>"
+    assert html_text.main_text(f"<body>{bare}</body>") == "\n\n".join(["Title", *[WANTED] * 3])
+
+
 def test_awkward_pages():
     main = html_text.main_text
     assert main(None) == main("") == main("<p>") == main("<script>x") == main("<!-- x") == main("<html><body></body></html>") == ""
