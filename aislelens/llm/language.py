@@ -10,9 +10,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -49,39 +50,51 @@ def train(
     """Dictionaries from at most ``sample_docs`` different documents of every language.
 
     Rows without text or language teach nothing; a repeated text counts once. The sample is
-    the documents with the smallest content hashes, so reruns agree. No document teaches more
+    the documents with the smallest content hashes, so reruns agree; however often texts are
+    copied, the sample is full if the language has so many different ones. No document teaches more
     than ``dictionary_bytes`` characters, so what reaches the driver is bounded however long
     texts are. Ties in size later go to the language with more labelled rows, then by name.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    keyed = labelled.withColumn("key", F.xxhash64("text"))
+    parts = keyed.select("lang", "key").mapInPandas(_smallest(sample_docs), "lang string, n bigint, keys array<bigint>")
+    keys = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))), 1, sample_docs)
+    found = parts.groupBy("lang").agg(F.sum("n").alias("n"), keys.alias("keys")).collect()
+    counts = {r.lang: r.n for r in found}
     if not counts:
         return LanguageModel({})
-    # About 16 times the sample passes the hash filter; only that is ranked.
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 16 * sample_docs / n))])
-    key = F.xxhash64("text")
-    drawn = (
-        labelled.withColumn("key", key)
-        .filter((F.col("key") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
-        .withColumn("text", F.substring("text", 1, dictionary_bytes))
-    )
-    first = Window.partitionBy("lang").orderBy("key")
+    wanted = docs.sparkSession.createDataFrame([(r.lang, k) for r in found for k in r["keys"]], "lang string, key bigint")
     sample = (
-        drawn.dropDuplicates(["lang", "key"])
-        .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= sample_docs)
-        .select("lang", "rank", "text")
+        keyed.join(F.broadcast(wanted), ["lang", "key"])
+        .groupBy("lang", "key")
+        .agg(F.min(F.substring("text", 1, dictionary_bytes)).alias("text"))
         .collect()
     )
     pieces: dict[str, list[str]] = {l: [] for l in sorted(counts, key=lambda l: (-counts[l], l))}
-    for row in sorted(sample, key=lambda r: (r.lang, r.rank)):
+    for row in sorted(sample, key=lambda r: (r.lang, r.key)):
         if words := normalise(row.text):
             pieces[row.lang].append(words)
     return LanguageModel({l: _dictionary(p, dictionary_bytes) for l, p in pieces.items() if p})
 
 
+def _smallest(size: int):
+    """Of each task: every language's rows and its ``size`` smallest different hashes."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: dict[str, int] = {}
+        smallest: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, keys in batch.groupby("lang")["key"]:
+                rows[lang] = rows.get(lang, 0) + len(keys)
+                smallest[lang] = np.unique(np.append(smallest.get(lang, np.zeros(0, np.int64)), keys.to_numpy()))[:size]
+        if rows:
+            yield pd.DataFrame({"lang": list(rows), "n": list(rows.values()), "keys": [smallest[l] for l in rows]})
+
+    return scan
+
+
 def _dictionary(texts: list[str], size: int) -> bytes:
     """An equal share of every text; what short ones leave goes to the others."""
     encoded = sorted((t.encode() for t in texts), key=len)

@@ -55,3 +55,12 @@ def test_a_long_document_teaches_a_bounded_part(spark):
     docs = documents(spark, [(i, (WORDS["en"] + " ") * 5_000, "en") for i in range(5)] + [(100 + i, WORDS["de"], "de") for i in range(5)])
     model = language.train(docs, dictionary_bytes=1_000)
     assert set(model.dictionaries) == {"en", "de"} and all(0 < len(d) <= 1_000 for d in model.dictionaries.values())
+
+
+def test_copies_leave_the_sample_whole(spark):
+    texts = [f"{WORDS['de']} {chr(97 + i)}{chr(110 + j)}" for i in range(10) for j in range(10)]
+    copies = spark.range(400_000).selectExpr("id as doc_id", "'immer wieder der gleiche text' as text", "'de' as lang")
+    docs = copies.union(spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string"))
+    few = docs.dropDuplicates(["text"])
+    model = language.train(docs)
+    assert model == language.train(few) and sum(language.normalise(t).encode() in model.dictionaries["de"] for t in texts) >= 63
