@@ -160,8 +160,12 @@ def _template_grams(templates: list) -> list[tuple[int, int, int]]:
 
 # ---- verification --------------------------------------------------------------------
 
-def _verify(body: bytes | None, spans: list, templates: list) -> tuple:
-    """Compare every span's words with its template; count the base places."""
+def _verify(body: bytes | None, spans: list, templates: list, slack: int) -> tuple:
+    """Compare every span's words with its template; count the base places.
+
+    ``low`` and ``high`` are the first and last diagonal, where the template would begin. All
+    its words are looked for from there on, also those outside the matching grams.
+    """
     if body is None or not len(spans):
         return 0, None, None, "", "", 0.0
     words = _WORD.findall(body)
@@ -175,7 +179,7 @@ def _verify(body: bytes | None, spans: list, templates: list) -> tuple:
                 base.add(label)
                 score = 1.0
             continue
-        cover = _in_order(wanted, words[max(0, low) : high]) / len(wanted)
+        cover = _in_order(wanted, words[max(0, low - slack) : high + len(wanted) + slack]) / len(wanted)
         if cover >= MIN_COVER:
             labels.add(label)
             score = max(score, cover)
@@ -218,12 +222,12 @@ def scan(
     start = F.when(of_phrase, F.col("at")).otherwise(F.col("at") - F.greatest(F.col("n_words") - (PHRASE_GRAM - 1), F.lit(0)))
     hits = places.join(grams, "gram").select(
         "uid", "doc_id", "n_words", F.when(end, F.col("body")).alias("body"), "template",
-        F.when(end, 0).otherwise(start - F.col("place")).alias("diagonal"), start.alias("start"),
+        F.when(end, 0).otherwise(start - F.col("place")).alias("diagonal"),
     )
 
     votes = hits.groupBy("uid", "template", "diagonal").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("body").alias("body"),
-        F.count("*").alias("votes"), F.min("start").alias("low"), F.max("start").alias("high"),
+        F.count("*").alias("votes"),
     )
     by_diagonal = Window.partitionBy("uid", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(by_diagonal)
@@ -234,8 +238,7 @@ def scan(
         .groupBy("uid", "template", "island")
         .agg(
             F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("body").alias("body"),
-            F.min(F.when(of_phrase, F.col("diagonal")).otherwise(F.col("low"))).alias("low"),
-            (F.max("high") + NOTICE_GRAM).alias("high"),
+            F.min("diagonal").alias("low"), F.max("diagonal").alias("high"),
         )
     )
     span = F.when(~end, F.struct("template", "low", "high"))
@@ -245,7 +248,7 @@ def scan(
 
     @F.pandas_udf(FOUND)
     def verified(bodies: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        found = [_verify(b, s, templates) for b, s in zip(bodies, spans)]
+        found = [_verify(b, s, templates, slack) for b, s in zip(bodies, spans)]
         out = pd.DataFrame(found, columns=["n_base", "first_word", "last_word", "base_labels", "labels", "score"])
         return out.astype({"first_word": "Int64", "last_word": "Int64"})
 

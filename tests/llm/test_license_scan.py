@@ -53,6 +53,28 @@ def test_notices_survive_small_changes(spark):
     assert rows[1].score == 1 and 0.8 <= rows[3].score < 1 and rows[1].n_base == 0
 
 
+def test_any_changed_word_leaves_the_other_words(spark):
+    texts, wanted = [], []
+    for label, notice in license_scan.NOTICES:
+        words = notice.split()
+        for i in range(len(words) if len(words) >= 10 else 0):
+            texts.append((len(texts), " ".join([*words[:i], "zzz", *words[i + 1 :]])))
+            wanted.append((label, 1 - 1 / len(words)))
+    rows = sorted(license_scan.scan(documents(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert len(wanted) > 100
+    assert all(l in r.labels.split(",") and (r.n_base or abs(r.score - score) < 1e-9) for r, (l, score) in zip(rows, wanted))
+
+
+def test_a_changed_word_in_running_text(spark):
+    words = next(n for l, n in license_scan.NOTICES if l == "mpl").split()
+    docs = documents(spark, [
+        (1, " ".join([*["before"] * 40, *words[:4], "zzz", *words[5:], *["after"] * 40])),
+        (2, " ".join([*["before"] * 40, *words[:2], "put", "in", *words[2:9], "zzz", *words[10:], *["after"] * 40])),
+    ])
+    rows = license_scan.scan(docs).collect()
+    assert [(r.labels, r.score) for r in rows] == [("mpl", 13 / 14)] * 2
+
+
 def test_empty_table(spark):
     assert license_scan.scan(documents(spark, [(1, "a")]).limit(0)).count() == 0
 
