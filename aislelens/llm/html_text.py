@@ -38,6 +38,20 @@ _ROLES = frozenset(
     "social comment comments disqus respond reply replies footer header masthead topbar newsletter subscribe subscription signup "
     "login search related recommended widget widgets toolbar contentinfo complementary skip".split()
 )
+# Roles that are never the page itself, and roles that also occur in names of other things ("social-issues").
+_COMMENT = frozenset("comment comments disqus respond reply replies".split())
+_NOTICE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter".split())
+_VAGUE = frozenset(
+    "side social search notice notices related respond reply replies skip header alert share sharing comment subscribe login promotion "
+    "recommended banner menu pager overlay subscription signup widget widgets".split()
+)
+# Words beside a vague role in the name of a part of the layout; words that say something else about a part.
+_PARTS = frozenset(
+    "a to site page top bottom left right main global primary secondary box bar list item items block wrapper wrap container section "
+    "panel area inner outer link links form button buttons icon icons text body title post posts article articles story stories entry "
+    "content row col column group toggle".split()
+)
+_TURNS = frozenset("with without has have no non not and or by is of above below before after under enabled disabled open closed show hide".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _PROSE = frozenset("p blockquote pre".split())
 _NEVER_ROLE = frozenset("html body article main".split())
@@ -46,48 +60,128 @@ _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|\baria-hidden\s*=\s*[\"']?true", re.I)
+_MARKED = re.compile(r"class|id|role|hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"']++)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "in_link")
+    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "kind", "in_link")
 
-    def __init__(self, name: str, parent: _Node | None, dropped: bool) -> None:
-        self.name, self.parent, self.parts, self.dropped = name, parent, [], dropped
+    def __init__(self, name: str, parent: _Node | None, kind: str) -> None:
+        self.name, self.parent, self.parts, self.kind, self.dropped = name, parent, [], kind, False
         self.in_link = name == "a" or (parent is not None and parent.in_link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_boilerplate(name: str, attributes: str, parent: _Node) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name, the first of each; empty if none of them can matter."""
+    out: dict[str, str] = {}
+    if _MARKED.search(raw):
+        for name, double, single, bare in _ATTRIBUTE.findall(raw):
+            out.setdefault(name.lower(), double or single or bare)
+    return out
+
+
+def _kind(name: str, raw: str, parent: _Node) -> str:
+    """Why an element is furniture: hidden, fixed, comment, notice or part; ``reply`` is an article that is a comment; else empty."""
+    attributes = _attributes(raw) if raw else {}
+    if name in ("article", "main"):
+        return "reply" if name == "article" and _role(name, attributes, _COMMENT) else ""
+    if name in _NEVER_ROLE:
+        return ""
+    if attributes.get("hidden", "until-found").lower() != "until-found" or _NOT_SHOWN.search(attributes.get("style", "")):
+        return "hidden"
     if name in _BOILERPLATE:
-        return True
+        return "part" if name in ("nav", "footer", "aside", "form", "dialog") else "fixed"
     if name != "header" and not attributes:
-        return False
+        return ""
     up = parent
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
-    roles = _ROLES if up is None else _ROLES - {"header"}  # the header of an article belongs to it
     if name == "header" and up is None:
-        return True
-    if name in _NEVER_ROLE:
-        return False
-    for found in _MARKS.findall(attributes):
-        if not roles.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(found)).lower())):
-            return True
-    return _HIDDEN.search(attributes) is not None
+        return "part"
+    if attributes.get("aria-hidden", "").strip().lower() == "true":
+        return "part"
+    return _role(name, attributes, _ROLES if up is None else _ROLES - {"header"})  # the header of an article belongs to it
+
+
+def _role(name: str, attributes: dict[str, str], roles: frozenset) -> str:
+    """What the element's class names, id and role make it; the id of a heading is a place to link to."""
+    for key in ("class", "id", "role"):
+        for word in attributes.get(key, "").split() if key != "id" or name not in _HEADING else ():
+            tokens = {word.lower()} if key == "role" else set(re.findall("[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", word).lower()))
+            found = tokens & roles
+            if found and not tokens & _TURNS and (found - _VAGUE or tokens <= roles | _PARTS):
+                return "comment" if found & _COMMENT else "notice" if found & _NOTICE else "part"
+    return ""
+
+
+def _drop(nodes: list[_Node]) -> None:
+    """Mark furniture and all inside it, unless it is the page itself.
+
+    Without an article or main element outside of furniture, furniture that holds one stays,
+    but for what is inside it. A part of the layout that holds over half of the text, links left
+    out, stays if it is in an article or main element or if no such element holds text. Hidden
+    elements and comments always go.
+    """
+    for node in nodes:
+        node.chars = sum(len(_WHITE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
+    if any(n.kind not in ("", "reply") for n in nodes):
+        _keep_page(nodes)
+    for node in nodes:
+        node.dropped = node.kind not in ("", "reply") or (node.parent is not None and node.parent.dropped)
+
+
+def _keep_page(nodes: list[_Node]) -> None:
+    near: dict[_Node, _Node | None] = {}  # the furniture that a node is or is in
+    never: set[_Node] = set()  # what can't be the page
+    filled, text, shown = {}, {}, {}  # characters of a subtree: all, those that may be the page's without links, those outside furniture in it
+    for node in nodes:
+        up = node.parent
+        near[node] = node if node.kind not in ("", "reply") else near[up] if up is not None else None
+        if node.kind in ("hidden", "fixed", "comment", "reply") or up in never:
+            never.add(node)
+        filled[node] = shown[node] = node.chars
+        text[node] = 0 if node.in_link or node.kind == "notice" or node in never else node.chars
+    for node in reversed(nodes):
+        if (up := node.parent) is not None:
+            filled[up] += filled[node]
+            text[up] += 0 if node.kind == "notice" else text[node]
+            shown[up] += shown[node] if near[node] is not node else 0
+    pages = [n for n in nodes if n.name in ("article", "main") and n not in never and shown[n]]
+    if pages and not any(near[n] is None for n in pages):
+        direct = {near[n] for n in pages}
+        holding: set[_Node] = set()
+        for up in direct:
+            while up is not None and up not in holding:
+                holding.add(up)
+                up = up.parent
+        stays: set[_Node] = set()  # furniture inside the page that was found
+        for node in nodes:
+            if node.parent in stays or (node.parent in direct and not node.parent.kind):
+                stays.add(node)
+            if node in holding and node.kind and node not in stays:
+                node.kind = ""
+    whole = text[next((n for n in nodes if n.name == "body" and n not in never), nodes[0])]
+    inside: set[_Node] = set()
+    for node in nodes:
+        if node.name in ("article", "main") or node.parent in inside:
+            inside.add(node)
+        if node.kind == "part" and (node in inside or not pages) and node not in never and 2 * text[node] > whole:
+            node.kind = ""
 
 
 def _tree(html: str) -> list[_Node]:
-    """All nodes, parents first; dropped ones hold no text."""
-    root = _Node("html", None, False)
+    """All nodes, parents first, furniture marked."""
+    root = _Node("html", None, "")
     nodes, node, at, length, body = [root], root, 0, len(html), False
     while at < length:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else length]
-        if text and not node.dropped:
+        if text:
             node.parts.append(unescape(text))
         if not m:
             break
@@ -118,12 +212,12 @@ def _tree(html: str) -> list[_Node]:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else length
             continue
-        child = _Node(name, node, node.dropped or _is_boilerplate(name, attributes, node))
+        child = _Node(name, node, _kind(name, attributes, node))
         nodes.append(child)
-        if not node.dropped:
-            node.parts.append(child)
+        node.parts.append(child)
         if name not in _VOID and not attributes.rstrip().endswith("/"):
             node = child
+    _drop(nodes)
     return nodes
 
 
@@ -137,10 +231,9 @@ def _closed(node: _Node, ends: frozenset, border: frozenset) -> _Node:
 
 
 def _measure(nodes: list[_Node]) -> None:
-    """Characters, tags and densities of every kept node, children first."""
+    """Characters, tags and densities of every kept node, children first; ``chars`` are its own before."""
     kept = [n for n in nodes if not n.dropped]
     for node in kept:
-        node.chars = sum(len(_WHITE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
         node.link_chars = node.chars if node.in_link else 0
     for node in reversed(kept):
         if (up := node.parent) is not None:
@@ -294,7 +387,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page, one row per input row: page_id, url, text, n_chars.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-    are left out by element and by class, id or role; what is left is chosen by density, as
+    are left out by element and by class, id or role, unless they hold the page; what is left is chosen by density, as
     whole articles with the headings and paragraphs beside them.
     Null or empty html, or a page without text, gives an empty text. Character references are
     decoded and white space inside a block is one space.

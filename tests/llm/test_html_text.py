@@ -61,6 +61,45 @@ def test_unmarked_furniture_beside_the_text():
     assert html_text.main_text(f"<body>{bare}</body>") == "\n\n".join(["Title", *[WANTED] * 3])
 
 
+MARKS = [
+    "style='overflow:hidden'", "class='overflow-hidden'", "aria-hidden='false'", "data-id='search-1'", "class='content with-sidebar'", "id='header-and-content'",
+    "class='side-by-side'", "hidden=until-found", "data-x='a hidden thing' title='class=ad'", "class='no-comments'", "data-style='display:none'",
+]
+
+
+def test_marks_of_other_things_drop_nothing():
+    for mark in MARKS:
+        assert html_text.main_text(page(f"<div {mark}>{paragraphs(PROSE)}</div>")) == WANTED
+        assert html_text.main_text(page(f"<article><div {mark}><p>{PROSE[0]}</p></div><p>{PROSE[1]}</p></article>")) == WANTED
+    link = PROSE[0].replace("'/x'", "'/the-hidden-truth?id=search class=ad'")
+    assert html_text.main_text(page(f"<article>{paragraphs([link, PROSE[1]])}</article>")) == WANTED
+    assert html_text.main_text(page(f"<article><h2 id=comments>Comments</h2>{paragraphs(PROSE)}</article>")) == "Comments\n\n" + WANTED
+
+
+def test_furniture_around_the_page_is_the_page():
+    before, after = "".join(FURNITURE[:5]), "".join(FURNITURE[5:])
+    for tag in ("form action='/x'", "div class=sidebar", "div id=search", "div aria-hidden=true", "div class='page-header'", "header"):
+        for main in (f"<article>{paragraphs(PROSE * 4)}</article>", f"<div>{paragraphs(PROSE * 4)}</div>", f"<main><form>{paragraphs(PROSE * 4)}</form></main>"):
+            body = f"<{tag}>{before}{main}{after}</{tag.split()[0]}>"
+            assert html_text.main_text(page(body)) == "\n\n".join([WANTED] * 4)
+            assert html_text.main_text(page(f"<form>{body}</form>")) == "\n\n".join([WANTED] * 4)
+
+
+    body = f"<article><h1>Title</h1><form>{paragraphs(PROSE)}</form></article><div class=sidebar><p>Short words.</p></div>"
+    assert html_text.main_text(page(body)) == "Title\n\n" + WANTED
+
+
+def test_marked_furniture_goes():
+    main = f"<div>{paragraphs(PROSE)}</div>"
+    reply = "<article class=comment><p>A reader says a lot about the text above, and more than that.</p></article>" * 9
+    for mark in ("hidden", "hidden=hidden", "HIDDEN", "style='color:red; Display : none'", "aria-hidden=true", "class='cookieNotice'", "class='x sidebar-left'",
+                 "class='related-posts'", "role=navigation", "id=site-footer", "class='search-box'"):
+        assert html_text.main_text(page(f"<div {mark}><p>Words of another kind.</p></div>{main}")) == WANTED
+    for mark in ("id=comments", "class='ad'", "hidden", "style='display:none'"):
+        assert html_text.main_text(page(f"{main}<div {mark}>{paragraphs(PROSE * 9)}</div>")) == WANTED
+    assert html_text.main_text(page(f"{main}<div id=comments>{reply}</div>")) == WANTED
+
+
 def test_awkward_pages():
     main = html_text.main_text
     assert main(None) == main("") == main("<p>") == main("<script>x") == main("<!-- x") == main("<html><body></body></html>") == ""
