@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aislelens.llm import embedding_dedup, exact_dedup, html_text, language, license_scan, mixture, packing, personal_data, sharding, simhash
+from aislelens.llm import centroids, embedding_dedup, exact_dedup, html_text, language, license_scan, mixture, packing, personal_data, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,18 +58,54 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     **{
         f.__name__: f
         for f in (
             op1_language_id, op2_license_scan, op3_personal_data, op4_exact_dedup, op5_source_mix, op6_sharding, op7_embedding_dedup,
-            op8_packing, op9_simhash, op10_html_text,
+            op8_packing, op9_simhash, op10_html_text, op13_centroid_clusters,
         )
     },
 }
 
+
+def _clusters_sql(centroids: int = 16, rounds: int = 3) -> str:
+    """Rounds of nearest centroids as one statement per step."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL
+    QUALIFY c < {centroids}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+    SELECT rid, any_value(k.v) AS v, any_value(vec_id) AS vec_id,
+           min(struct_pack(d := (list_inner_product(k.v, k.v) + list_inner_product(m.v, m.v) - 2 * list_inner_product(k.v, m.v))::BIGINT, c := c)) AS best
+    FROM kept k CROSS JOIN c{r} m GROUP BY rid
+), sums{r} AS (
+    SELECT c, i, floor(sum(x) / count(*)) AS x
+    FROM (SELECT best.c AS c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM near{r}) GROUP BY c, i
+), c{r + 1} AS MATERIALIZED (
+    SELECT m.c, coalesce(any_value(n.v), any_value(m.v)) AS v
+    FROM c{r} m LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM sums{r} GROUP BY c) n ON n.c = m.c GROUP BY m.c
+)""")
+    return ", ".join(steps) + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(m.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM near{rounds} JOIN c{rounds} m ON m.c = best.c
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_centroid_clusters": _clusters_sql(),
     "op4_exact_dedup": r"""
 WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept,
