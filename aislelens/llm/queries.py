@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aislelens.llm import centroids, embedding_dedup, exact_dedup, html_text, language, license_scan, mixture, packing, personal_data, sharding, simhash
+from aislelens.llm import centroids, embedding_dedup, exact_dedup, html_text, language, license_scan, merkle, mixture, packing, personal_data, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir), claim=merkle.tampered_claim())
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -68,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             op1_language_id, op2_license_scan, op3_personal_data, op4_exact_dedup, op5_source_mix, op6_sharding, op7_embedding_dedup,
-            op8_packing, op9_simhash, op10_html_text, op13_centroid_clusters,
+            op8_packing, op9_simhash, op10_html_text, op11_merkle_manifest, op13_centroid_clusters,
         )
     },
 }
@@ -104,7 +108,59 @@ FROM near{rounds} JOIN c{rounds} m ON m.c = best.c
 """
 
 
+def _manifest_sql(levels: int = 10, root_levels: int = 4) -> str:
+    """The tree level by level: each level is one grouping, each path one join a level."""
+
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda x: xor(x >> 1, (x & 1) * 3988292384))"
+    others = "left(s, 64 * (i % 8)) || {} || substr(s, 64 * (i % 8) + 65)"
+    steps = [f"""
+WITH crc AS (SELECT {table} AS t), docs AS (
+    SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS drawn,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+    FROM documents, crc
+), leaves AS (
+    SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN drawn AND text IS NOT NULL THEN {leaf("lowered")} END AS claim FROM docs
+), a0 AS (
+    SELECT row_number() OVER () AS rid, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+           count(*) OVER (PARTITION BY lang) AS n, leaf AS h, coalesce(claim, leaf) AS cur, '' AS proof
+    FROM leaves
+), t0 AS (SELECT lang, i, n, h FROM a0)"""]
+    for k in range(levels):
+        steps.append(f"""r{k} AS MATERIALIZED (SELECT lang, i // 8 AS r, string_agg(h, '' ORDER BY i) AS s, any_value(n) AS n FROM t{k} GROUP BY lang, r)""")
+        steps.append(f"""t{k + 1} AS (SELECT lang, r AS i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(s) ELSE s END AS h FROM r{k})""")
+        steps.append(f"""a{k + 1} AS MATERIALIZED (
+    SELECT a.* EXCLUDE (i, n, cur, proof), i // 8 AS i, (r.n + 7) // 8 AS n, CASE WHEN r.n > 1 THEN sha256({others.format("cur")}) ELSE cur END AS cur,
+           CASE WHEN r.n > 1 THEN proof || {others.format("''")} ELSE proof END AS proof
+    FROM a{k} a JOIN r{k} r ON a.lang IS NOT DISTINCT FROM r.lang AND a.i // 8 = r.r
+)""")
+    steps.append(f"""b0 AS (
+    SELECT h AS subroot, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h, '' AS proof FROM t{levels}
+), u0 AS (SELECT i, n, h FROM b0), c0 AS (
+    SELECT a.* EXCLUDE (i, n), b.subroot, b.i, b.n FROM a{levels} a JOIN b0 b ON a.lang IS NOT DISTINCT FROM b.lang
+)""")
+    for k in range(root_levels):
+        steps.append(f"""v{k} AS MATERIALIZED (SELECT i // 8 AS r, string_agg(h, '' ORDER BY i) AS s, any_value(n) AS n FROM u{k} GROUP BY r)""")
+        steps.append(f"""u{k + 1} AS (SELECT r AS i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(s) ELSE s END AS h FROM v{k})""")
+        steps.append(f"""c{k + 1} AS MATERIALIZED (
+    SELECT c.* EXCLUDE (i, n, cur, proof), i // 8 AS i, (v.n + 7) // 8 AS n, CASE WHEN v.n > 1 THEN sha256({others.format("cur")}) ELSE cur END AS cur,
+           CASE WHEN v.n > 1 THEN proof || {others.format("''")} ELSE proof END AS proof
+    FROM c{k} c JOIN v{k} v ON c.i // 8 = v.r
+)""")
+    return ", ".join(steps) + f"""
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u.h AS verified
+FROM c{root_levels}, u{root_levels} u
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": _manifest_sql(),
     "op13_centroid_clusters": _clusters_sql(),
     "op4_exact_dedup": r"""
 WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
