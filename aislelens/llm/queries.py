@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aislelens.llm import centroids, embedding_dedup, exact_dedup, html_text, language, license_scan, merkle, mixture, packing, personal_data, sharding, simhash
+from aislelens.llm import centroids, embedding_dedup, exact_dedup, html_text, language, license_scan, merkle, mixture, packing, personal_data, sharding, simhash, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_documents(spark, sf_dir), claim=merkle.tampered_claim())
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(_documents(spark, sf_dir))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -72,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             op1_language_id, op2_license_scan, op3_personal_data, op4_exact_dedup, op5_source_mix, op6_sharding, op7_embedding_dedup,
-            op8_packing, op9_simhash, op10_html_text, op11_merkle_manifest, op13_centroid_clusters,
+            op8_packing, op9_simhash, op10_html_text, op11_merkle_manifest, op12_token_files, op13_centroid_clusters,
         )
     },
 }
