@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 from math import e, log
 
@@ -49,9 +49,13 @@ _VAGUE = frozenset(
 _PARTS = frozenset(
     "a to site page top bottom left right main global primary secondary box bar list item items block wrapper wrap container section "
     "panel area inner outer link links form button buttons icon icons text body title post posts article articles story stories entry "
-    "content row col column group toggle".split()
+    "content row col column group toggle tool tools count counts us this".split()
 )
 _TURNS = frozenset("with without has have no non not and or by is of above below before after under enabled disabled open closed show hide".split())
+# Words that name who wrote a part; words in names of what readers wrote, which also name other things.
+_SIGNATURE = frozenset("author user username nick nickname poster commenter avatar byline signed timestamp permalink".split())
+_READERS = frozenset("discussion discussions reaction reactions response responses feedback opinions thread threads conversation talk talkback community readers".split())
+_ENTRY = frozenset("li div article section".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _PROSE = frozenset("p blockquote pre".split())
 _NEVER_ROLE = frozenset("html body article main".split())
@@ -67,11 +71,19 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "kind", "in_link")
+    __slots__ = (
+        "name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "kind", "in_link", "in_page",
+        "article", "label", "depth",
+    )
 
-    def __init__(self, name: str, parent: _Node | None, kind: str) -> None:
+    def __init__(self, name: str, parent: _Node | None, kind: str, label: str = "") -> None:
         self.name, self.parent, self.parts, self.kind, self.dropped = name, parent, [], kind, False
+        self.label = label  # class names and id
+        self.depth = 0 if parent is None else parent.depth + 1
         self.in_link = name == "a" or (parent is not None and parent.in_link)
+        self.in_page = name in ("article", "main") or (parent is not None and parent.in_page)
+        above = parent.article if parent is not None else None
+        self.article = above or (self if name == "article" else None)  # the outermost one around it
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -85,9 +97,8 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _kind(name: str, raw: str, parent: _Node) -> str:
+def _kind(name: str, attributes: dict[str, str], parent: _Node) -> str:
     """Why an element is furniture: hidden, fixed, comment, notice or part; ``reply`` is an article that is a comment; else empty."""
-    attributes = _attributes(raw) if raw else {}
     if name in ("article", "main"):
         return "reply" if name == "article" and _role(name, attributes, _COMMENT) else ""
     if name in _NEVER_ROLE:
@@ -98,14 +109,11 @@ def _kind(name: str, raw: str, parent: _Node) -> str:
         return "part" if name in ("nav", "footer", "aside", "form", "dialog") else "fixed"
     if name != "header" and not attributes:
         return ""
-    up = parent
-    while up is not None and up.name not in ("article", "main"):
-        up = up.parent
-    if name == "header" and up is None:
+    if name == "header" and not parent.in_page:
         return "part"
     if attributes.get("aria-hidden", "").strip().lower() == "true":
         return "part"
-    return _role(name, attributes, _ROLES if up is None else _ROLES - {"header"})  # the header of an article belongs to it
+    return _role(name, attributes, _ROLES - {"header"} if parent.in_page else _ROLES)  # the header of an article belongs to it
 
 
 def _role(name: str, attributes: dict[str, str], roles: frozenset) -> str:
@@ -129,12 +137,69 @@ def _drop(nodes: list[_Node]) -> None:
     """
     for node in nodes:
         node.chars = sum(len(_WHITE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
+    _mark_threads(nodes)
     if any(n.kind not in ("", "reply") for n in nodes):
         _keep_page(nodes)
     for node in nodes:
         node.dropped = node.kind not in ("", "reply") or (node.parent is not None and node.parent.dropped)
 
 
+def _mark_threads(nodes: list[_Node]) -> None:
+    """Mark what readers wrote as comments, whatever its name.
+
+    That are two or more neighbouring elements of one name and class, each with a signature (a
+    time, a citation or a class that names an author) and none with a heading, after more prose than they hold
+    themselves. If a part of the page is named for its readers, neither two of them nor the
+    prose is needed. The element that holds little else goes as a whole.
+    """
+    filled = dict.fromkeys(nodes, 0)
+    signed: set[_Node] = set()
+    headed: set[_Node] = set()
+    prose, prose_before = 0, {}
+    for node in nodes:
+        prose_before[node] = prose
+        filled[node] = node.chars
+        if node.name in _PROSE or (node.parent is not None and node.parent.name in _PROSE):
+            prose += node.chars
+    words = {n: set(re.findall("[a-z]+", n.label)) for n in nodes if n.label}
+    for node in reversed(nodes):
+        if node.name in ("time", "cite") or words.get(node, _READERS) & _SIGNATURE:
+            signed.add(node)
+        if node.name in _HEADING:
+            headed.add(node)
+        if (up := node.parent) is not None:
+            filled[up] += filled[node]
+            if node in signed:
+                signed.add(up)
+            if node in headed:
+                headed.add(up)
+    if len(signed) < 2:
+        return
+    for node in nodes:
+        entries: dict[tuple[str, str], list[_Node]] = {}
+        for part in node.parts:
+            if not isinstance(part, str) and part.name in _ENTRY and part in signed and part not in headed and not part.kind and filled[part]:
+                entries.setdefault((part.name, re.sub(r"[0-9]+", "", part.label)), []).append(part)
+        for own in entries.values():
+            text, named = sum(filled[n] for n in own), _for_readers(node, words)
+            if not named and (len(own) < 2 or prose_before[own[0]] <= text):
+                continue
+            if 3 * text < 2 * filled[node] or node.name in _NEVER_ROLE:
+                for entry in own:
+                    entry.kind = "comment"
+                continue
+            while node.parent is not None and node.parent.name not in _NEVER_ROLE and 3 * text >= 2 * filled[node.parent]:
+                node = node.parent
+            node.kind = node.kind or "comment"
+            break
+
+
+def _for_readers(node: _Node, words: dict[_Node, set[str]]) -> bool:
+    """Whether the element or the one around it is named for what readers wrote."""
+    around = (node, node.parent) if node.parent is not None else (node,)
+    return any(words.get(n, frozenset()) & _READERS for n in around if n.name not in _NEVER_ROLE)
+
+
 def _keep_page(nodes: list[_Node]) -> None:
     near: dict[_Node, _Node | None] = {}  # the furniture that a node is or is in
     never: set[_Node] = set()  # what can't be the page
@@ -174,15 +239,45 @@ def _keep_page(nodes: list[_Node]) -> None:
             node.kind = ""
 
 
+class _Open:
+    """The open elements, found by their names."""
+
+    def __init__(self, root: _Node) -> None:
+        self.path, self.by_name = [root], {root.name: [root]}
+
+    def top(self) -> _Node:
+        return self.path[-1]
+
+    def nearest(self, names: Iterable[str]) -> _Node | None:
+        """The innermost open element of one of the names, besides the root."""
+        found = [own[-1] for n in names if (own := self.by_name.get(n)) and own[-1].depth]
+        return max(found, key=lambda n: n.depth, default=None)
+
+    def push(self, node: _Node) -> None:
+        self.path.append(node)
+        self.by_name.setdefault(node.name, []).append(node)
+
+    def close(self, node: _Node | None) -> None:
+        """Close an element and all inside it."""
+        while node is not None and len(self.path) > node.depth:
+            self.by_name[self.path.pop().name].pop()
+
+    def close_within(self, ends: frozenset, border: frozenset) -> None:
+        """Close the innermost of ``ends`` unless an element of ``border`` is open inside it."""
+        end, stop = self.nearest(ends), self.nearest(border)
+        if end is not None and (stop is None or stop.depth < end.depth):
+            self.close(end)
+
+
 def _tree(html: str) -> list[_Node]:
     """All nodes, parents first, furniture marked."""
     root = _Node("html", None, "")
-    nodes, node, at, length, body = [root], root, 0, len(html), False
+    nodes, opened, at, length, body = [root], _Open(root), 0, len(html), False
     while at < length:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else length]
         if text:
-            node.parts.append(unescape(text))
+            opened.top().parts.append(unescape(text))
         if not m:
             break
         at = m.end()
@@ -190,46 +285,34 @@ def _tree(html: str) -> list[_Node]:
         if not name:
             continue
         if html[m.start() + 1] == "/":
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            opened.close(opened.nearest([name]))
             continue
         if name == "html" or (name == "body" and body):
             continue
         body = body or name == "body"
-        if name in _CLOSES or name in _CLOSES_P:
-            ends, border = _CLOSES.get(name, (frozenset(), frozenset()))
-            if name in _CLOSES_P:
-                node = _closed(node, frozenset(["p"]), _P_BORDER)
-            if ends:
-                node = _closed(node, ends, border)
-        if name == "body" and node.name == "head":
-            node = node.parent
-        attributes = m[2] or m[4] or ""
-        if name in _SKIPPED and not attributes.rstrip().endswith("/"):
+        if name in _CLOSES_P:
+            opened.close_within(frozenset(["p"]), _P_BORDER)
+        if name in _CLOSES:
+            opened.close_within(*_CLOSES[name])
+        if name == "body" and opened.top().name == "head":
+            opened.close(opened.top())
+        raw = m[2] or m[4] or ""
+        empty = raw.rstrip().endswith("/")
+        if name in _SKIPPED and not empty:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else length
             continue
-        child = _Node(name, node, _kind(name, attributes, node))
+        attributes, parent = _attributes(raw) if raw else {}, opened.top()
+        label = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip().lower() if attributes else ""
+        child = _Node(name, parent, _kind(name, attributes, parent), label)
         nodes.append(child)
-        node.parts.append(child)
-        if name not in _VOID and not attributes.rstrip().endswith("/"):
-            node = child
+        parent.parts.append(child)
+        if name not in _VOID and not empty:
+            opened.push(child)
     _drop(nodes)
     return nodes
 
 
-def _closed(node: _Node, ends: frozenset, border: frozenset) -> _Node:
-    up = node
-    while up.parent is not None and up.name not in border:
-        if up.name in ends:
-            return up.parent
-        up = up.parent
-    return node
-
-
 def _measure(nodes: list[_Node]) -> None:
     """Characters, tags and densities of every kept node, children first; ``chars`` are its own before."""
     kept = [n for n in nodes if not n.dropped]
@@ -276,17 +359,7 @@ def _chosen(nodes: list[_Node]) -> set[_Node]:
         node = None if node is body else node.parent
     dense = {n for n in kept if n.name in _CONTAINER and n not in path and n.density >= threshold and n.density > 0}
     whole = _whole(top)
-    return {whole} | {_article(n) or n for n in dense} | _around(kept, top, whole)
-
-
-def _article(node: _Node) -> _Node | None:
-    """The outermost article around a node, or itself."""
-    found = None
-    up: _Node | None = node
-    while up is not None:
-        found = up if up.name == "article" else found
-        up = up.parent
-    return found
+    return {whole} | {n.article or n for n in dense} | _around(kept, top, whole)
 
 
 def _whole(top: _Node) -> _Node:
@@ -294,7 +367,7 @@ def _whole(top: _Node) -> _Node:
     up: _Node | None = top
     while up is not None and up.name != "main":
         up = up.parent
-    return _article(top) or up or top
+    return top.article or up or top
 
 
 def _unlinked(node: _Node) -> int:

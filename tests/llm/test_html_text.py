@@ -1,6 +1,10 @@
 import re
+import time
 from html import escape
 
+import pytest
+from frames import CLASHING
+
 from aislelens.llm import html_text, queries
 
 SF = "/root/testdata/sf0.01"
@@ -113,6 +117,37 @@ def test_awkward_pages():
     assert main(many).count("\n\n") == 2_999
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<div class=a>", "<p>", "<li>", "<ul><li>", "<b>", "<table><tr><td>", "</p>", "<div></span>", "<article>", "<a href=x>", "<x '>", '<a b="', "<p class=a>x</q>"])
+def test_time_grows_with_the_page(unit):
+    """A megabyte of tags that are never closed, or never opened."""
+    start = time.process_time()
+    assert html_text.main_text(page(unit * (1_000_000 // len(unit)) + f"<article>{paragraphs(PROSE)}</article>")) is not None
+    assert time.process_time() - start < 30
+
+
+ENTRY = "<{0} class='x'><span class='author'>Kim</span><{1}>Well said, I thought the same when I read it.</{1}></{0}>"
+
+
+@pytest.mark.parametrize("name", ["section id=discussion", "div class=reactions", "div class=b7", "ul", "section"])
+@pytest.mark.parametrize("entry", [ENTRY.format("div", "p"), ENTRY.format("li", "span"), "<div><p>Rubbish, all of it.</p><p><time>12:30</time></p></div>", "<article><cite>Lou</cite><p>No, it is not so.</p></article>"])
+def test_comments_without_a_listed_name(name, entry):
+    thread, prose = f"<{name}><h3>What you said</h3>{entry * 3}</{name.split()[0]}>", paragraphs(PROSE * 6)
+    wanted = "\n\n".join(["Title", *[WANTED] * 6])
+    for body in (f"<article><h1>Title</h1>{prose}{thread}</article>", f"<div><h1>Title</h1>{prose}{thread}</div>", f"<main><h1>Title</h1>{prose}<div>{thread}</div></main>"):
+        assert html_text.main_text(page(body)) == wanted
+
+
+def test_signed_parts_of_an_article_stay():
+    live = "".join(f"<section class=x><h2>At {i}</h2><time>{i}:00</time><p>{PROSE[1]}</p></section>" for i in range(4))
+    assert html_text.main_text(page(f"<article><h1>Title</h1>{paragraphs(PROSE * 9)}{live}</article>")).count("At ") == 4
+    section = f"<section id=discussion><h2>Discussion</h2>{paragraphs(PROSE)}</section>"
+    assert "Discussion" in html_text.main_text(page(f"<article><h1>Title</h1>{paragraphs(PROSE * 3)}{section}</article>"))
+    quotes = "".join(f"<blockquote><p>{PROSE[1]}</p><cite>A. Writer</cite></blockquote>" for _ in range(3))
+    assert html_text.main_text(page(f"<article><h1>Title</h1><p>Three quotes.</p>{quotes}</article>")).count("A. Writer") == 3
+    byline = "<p class=byline>By <span class=author>Kim</span></p>"
+    assert "By Kim" in html_text.main_text(page(f"<article><h1>Title</h1>{byline}{paragraphs(PROSE)}</article>"))
+
+
 def test_all_pages_give_their_article(spark):
     """The articles of the given pages hold only headings, paragraphs, bold text and line breaks."""
     rows = queries.op10_html_text(spark, SF).collect()
@@ -129,3 +164,7 @@ def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", page(paragraphs(PROSE)), "x"), (1, "u", None, "x"), (None, None, escape("<p>"), "x")], "page_id bigint, url string, html string, text string")
     assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "<p>", 3), (1, "", 0), (1, WANTED, len(WANTED))]
     assert html_text.extract(pages.limit(0)).count() == 0
+    for name in CLASHING.split(", "):
+        if name != "a.b":
+            pages = pages.selectExpr("*", f"'x' as `{name}`")
+    assert html_text.extract(pages).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(pages).count() == 3
