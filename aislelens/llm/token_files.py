@@ -15,12 +15,16 @@ A reader takes the last bytes of a file first and then only the frames that it n
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,8 @@ from aislelens.sources.files import cut_lineage, shared_folder
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 # Fixed values of the seekable format: magic numbers of the two skippable frames and of the end, flag for checksums.
 DIRECTORY_MAGIC, SEEK_MAGIC, END_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Ids of a data frame, compression level, known pieces of text per task, characters encoded at a time.
-FRAME_IDS, LEVEL, KNOWN_PIECES, BATCH_CHARACTERS = 1 << 18, 3, 400_000, 1 << 19
+#: Ids of a data frame, compression level, known pieces of text per process.
+FRAME_IDS, LEVEL, KNOWN_PIECES = 1 << 18, 3, 500_000
 
 INDEX = "doc_id bigint, file string, part int, first bigint, n_tokens bigint"
 
@@ -52,44 +56,104 @@ class DamagedFile(ValueError):
 
 # ---- tokens --------------------------------------------------------------------------------
 
-#: A space between two characters that are not white space. The vocabulary's words hold a space
-#: at most at their beginning, so no word reaches over such a place and texts can be cut there.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where white space begins after another character. Words of a byte-level vocabulary hold a
+#: space at most at their beginning, so none reaches over such a place and texts can be cut there.
+_CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+#: A space at an end of the text or beside other white space.
+_ODD_SPACE = re.compile(r" (?:(?<=\s )|(?=\s|\Z))|\A ")
+#: Pieces that are one word of the vocabulary's rules (Latin letters or digits; others are left to
+#: its own rules), a word and then a sign, and a line's end before a word.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_WORD, _SIGN_AFTER_WORD, _WORD_OF_LINE = re.compile(f" ?(?:{_LETTERS}|[0-9]+)"), re.compile(f" ?{_LETTERS}[.,;:!?]"), re.compile(f"\n{_LETTERS}")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible ones as in Latin-1, the others as the letters from 256 on."""
+    others = iter(range(256, 512))
+    return {b: chr(b if 33 <= b <= 126 or (161 <= b <= 255 and b != 173) else next(others)) for b in range(256)}
 
 
 def id_width(tokenizer: Tokenizer, end_id: int) -> int:
     return 2 if max(tokenizer.get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
 
 
+def can_be_cut(vocabulary: str) -> bool:
+    """Whether a text's ids are those of its pieces: byte-level words, nothing changed before, no added token with white space."""
+    rules = json.loads(vocabulary)
+    words = rules["pre_tokenizer"] or {}
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in rules["added_tokens"])
+    return plain and not rules["normalizer"] and words.get("type") == "ByteLevel" and words["use_regex"] and not words["add_prefix_space"]
+
+
+class Pieces(dict):
+    """Ids of pieces of texts as bytes, looked up once and then remembered.
+
+    When there are ``KNOWN_PIECES``, those not met again before there are as many new ones are forgotten.
+    """
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        self.find, self.before = find, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KNOWN_PIECES:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.find(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts as bytes; remembers the ids of pieces that it has met."""
+    """Ids of texts as bytes."""
 
     def __init__(self, vocabulary: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
         self.width = id_width(self.tokenizer, end_id)
         self.kind = f"<u{self.width}"
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            first, *rest = _CUT.split(text or "")
-            pieces = [first, *(" " + piece for piece in rest)]
-            if len(self.known) > KNOWN_PIECES:
-                self.known.clear()
-            self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-            yield b"".join([*map(self.known.__getitem__, pieces), self.end])
-
-    def _learn(self, pieces: list[str]) -> None:
-        held, size = [], 0
-        for i, piece in enumerate(pieces):
-            held.append(piece)
-            size += len(piece)
-            if size >= BATCH_CHARACTERS or i == len(pieces) - 1:
-                for p, found in zip(held, self.tokenizer.encode_batch_fast(held, add_special_tokens=False)):
-                    self.known[p] = np.array(found.ids, self.kind).tobytes()
-                held, size = [], 0
+        self.code = "H" if self.width == 2 else "I"
+        self.end = self._packed([end_id])
+        self.cut = can_be_cut(vocabulary)
+        self.letters = _byte_letters()
+        self.pieces = Pieces(self._piece)
+        self.after_space = Pieces(lambda rest: self._piece(" " + rest))
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if _WORD.fullmatch(piece):  # no rule can split it
+            written = piece.encode().decode("latin-1").translate(self.letters)
+            return self._packed([t.id for t in self.model.tokenize(written)])
+        if _SIGN_AFTER_WORD.fullmatch(piece):  # a word of letters ends before the sign
+            word = self.after_space[piece[1:-1]] if piece[0] == " " else self.pieces[piece[:-1]]
+            return word + self.pieces[piece[-1]]
+        if _WORD_OF_LINE.fullmatch(piece):
+            return self.pieces["\n"] + self.pieces[piece[1:]]
+        parts = _CUT.split(piece)
+        return b"".join(map(self.pieces.__getitem__, parts)) if len(parts) > 1 else self._whole(piece)
+
+    def encode(self, text: str | None) -> bytes:
+        if not self.cut or not text:
+            return self._whole(text or "") + self.end
+        if _ODD_SPACE.search(text):
+            return b"".join([*map(self.pieces.__getitem__, _CUT.split(text)), self.end])
+        first, *rest = text.split(" ")
+        return b"".join([self.pieces[first], *map(self.after_space.__getitem__, rest), self.end])
+
+
+def kept_encoder(name: str, vocabulary: Callable[[], str], end_id: int) -> Encoder:
+    """The worker process's encoder: what it has learned serves its later tasks too."""
+    kept = sys.modules.setdefault("_kept_encoders", ModuleType("_kept_encoders")).__dict__
+    if (name, end_id) not in kept:
+        kept[name, end_id] = Encoder(vocabulary(), end_id)
+    return kept[name, end_id]
 
 
 # ---- the file ------------------------------------------------------------------------------
@@ -207,7 +271,7 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 
 # ---- Spark -----------------------------------------------------------------------------------
 
-def _written(folder: str, vocabulary, end_id: int):
+def _written(folder: str, vocabulary, name_of_vocabulary: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name = f"part-{part:06}-{uuid.uuid4().hex}.tokens"  # an attempt that is lost leaves a file that no index names
@@ -220,10 +284,10 @@ def _written(folder: str, vocabulary, end_id: int):
                 system, path = open_folder(folder)
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(f"{path}/{name}")
-                encoder = Encoder(vocabulary.value, end_id)
+                encoder = kept_encoder(name_of_vocabulary, lambda: vocabulary.value, end_id)
                 writer = TokenWriter(out, encoder.width)
             counts = np.empty(batch.num_rows, np.int64)
-            for i, (doc_id, ids) in enumerate(zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() for t in batch.column(1)))):
+            for i, (doc_id, ids) in enumerate(zip(batch.column(0).to_pylist(), (encoder.encode(t.as_py()) for t in batch.column(1)))):
                 writer.add(doc_id, ids)
                 counts[i] = len(ids) // encoder.width
             starts = first + np.cumsum(counts) - counts
@@ -252,11 +316,12 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
     """
     spark = docs.sparkSession
     with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
-        vocabulary = spark.sparkContext.broadcast(file.read())  # a few MB
+        rules = file.read()
+    vocabulary, name = spark.sparkContext.broadcast(rules), hashlib.sha256(rules.encode()).hexdigest()  # a few MB
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     rows = rows.withColumns({"hash": F.xxhash64("text"), "task": F.spark_partition_id()})
     dealt = rows.repartitionByRange(F.asc_nulls_first("doc_id"), "hash", "task").sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash")
-    return cut_lineage(dealt.select("doc_id", "text").mapInArrow(_written(folder, vocabulary, end_id), INDEX))
+    return cut_lineage(dealt.select("doc_id", "text").mapInArrow(_written(folder, vocabulary, name, end_id), INDEX))
 
 
 def _places(index: DataFrame) -> DataFrame:

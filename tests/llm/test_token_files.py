@@ -45,19 +45,29 @@ def test_all_documents(spark, tokenizer):
 
 def test_pieces_give_the_ids_of_the_whole_text(tokenizer):
     draw = random.Random(12)
-    signs = [*"ab A'9.,!\n\t\r\x0b\x0c\x1c\x1f\x85", " ", " ", "　", "​", "᠎", "﻿", "é", "é", "字", "👩‍👩‍👧", " ", " ", "  ", "'s", "<|endoftext|>"]
-    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(4000)] + ["", " ", "  a", "a  ", "a b", "<|endoftext|> x <|endoftext|>"]
+    signs = [*"ab A'9.,!\n\t\r\x0b\x0c\x1c\x1f\x85", " ", " ", "　", "​", "᠎", "﻿", "é", "é", "字", "👩‍👩‍👧", " ", " ", "  ", "'s", "<|endoftext|>", "a", "b", "cd", "é", ".", "?", ";", "'t", "x.y", "ß", "ǆ"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(8000)] + ["", " ", "  a", "a  ", "a b", "<|endoftext|> x <|endoftext|>"]
     encoder = token_files.Encoder(open(FILE, encoding="utf-8").read(), 2)
-    for text, got in zip(texts, encoder.encode(texts)):
+    for text in texts:
+        got = encoder.encode(text)
         assert np.frombuffer(got, encoder.kind).tolist() == ids_of(tokenizer, text), repr(text)
 
 
 def test_forgetting_pieces_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "KNOWN_PIECES", 3)
-    monkeypatch.setattr(token_files, "BATCH_CHARACTERS", 5)
     encoder = token_files.Encoder(open(FILE, encoding="utf-8").read(), 2)
     texts = [f"some words {i} and some more words {i}" for i in range(20)] + [None]
-    assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)] == [ids_of(tokenizer, t) for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in map(encoder.encode, texts)] == [ids_of(tokenizer, t) for t in texts]
+
+
+def test_vocabularies_whose_texts_cannot_be_cut():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    body, tokenizer = open(file, encoding="utf-8").read(), Tokenizer.from_file(file)
+    assert token_files.can_be_cut(open(FILE, encoding="utf-8").read()) and not token_files.can_be_cut(body)
+    texts = ["Some  words\nand more", " ", "", "a b\n c"]
+    encoder = token_files.Encoder(body, 49407)
+    wanted = [[*tokenizer.encode(t, add_special_tokens=False).ids, 49407] for t in texts]
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in map(encoder.encode, texts)] == wanted
 
 
 def written(docs, width=2):
