@@ -45,6 +45,21 @@ def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
+LOOKUP = "n_words bigint, group int, bucket_words bigint, room int, batches_before bigint"
+
+
+def _lookup(histogram: dict[int, int], bounds: list[int], batch_words: int) -> list[tuple]:
+    """For every length that occurs its bucket (-1 for no words), padded length, pieces in a batch and batches of the buckets before."""
+    rows, batches, low = [(0, -1, None, 1, 0)], 0, 0
+    for i, bound in enumerate(bounds):
+        inside = [l for l in histogram if low < l <= bound]
+        held = max(1, batch_words // bound)
+        rows += [(l, i, bound, held, batches) for l in inside]
+        batches += -(-sum(histogram[l] for l in inside) // held)
+        low = bound
+    return rows
+
+
 def pack(
     docs: DataFrame, *, max_words: int = MAX_WORDS, batch_words: int = BATCH_WORDS, buckets: int = BUCKETS, seed: int = SEED,
 ) -> DataFrame:
@@ -59,6 +74,7 @@ def pack(
 
     The histogram over all rows has at most ``max_words`` entries; it alone reaches the driver.
     """
+    spark = docs.sparkSession
     words = docs.select("doc_id", row_identity().alias("identity"), word_count("text").alias("words"))
     last = F.floor(F.greatest(F.col("words") - 1, F.lit(0)) / max_words)
     pieces = words.select("doc_id", "identity", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
@@ -71,22 +87,12 @@ def pack(
     histogram = {r.n_words: r.n for r in pieces.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
     bounds = bucket_bounds(histogram, buckets)
 
-    bucket, padded, room, before = F.lit(None).cast("int"), F.lit(None).cast("bigint"), F.lit(1), F.lit(0)
-    batches, low = 0, 0
-    for i, bound in enumerate(bounds):
-        inside = F.col("n_words").between(low + 1, bound)
-        held = max(1, batch_words // bound)
-        bucket, padded = F.when(inside, i).otherwise(bucket), F.when(inside, F.lit(bound).cast("bigint")).otherwise(padded)
-        room, before = F.when(inside, held).otherwise(room), F.when(inside, F.lit(batches).cast("bigint")).otherwise(before)
-        batches += -(-sum(n for l, n in histogram.items() if low < l <= bound) // held)
-        low = bound
-    sorted_in = pieces.withColumns({
-        "bucket": bucket, "bucket_words": padded, "room": room, "batches_before": before, "group": F.coalesce(bucket, F.lit(-1)), "one": F.lit(1),
-    })
+    facts = spark.createDataFrame(_lookup(histogram, bounds, batch_words), LOOKUP)  # one row per length
+    sorted_in = pieces.join(F.broadcast(facts), "n_words").withColumn("one", F.lit(1))
     placed = with_prefix(sorted_in, ["group"], ["slice", "coarse"], ["order", "n_words"], {"row": "one"})
-    packed = F.col("bucket").isNotNull()
+    packed = F.col("group") >= 0
     return placed.select(
-        "doc_id", "piece", "first_word", "n_words", "bucket", "bucket_words",
+        "doc_id", "piece", "first_word", "n_words", F.when(packed, F.col("group")).alias("bucket"), "bucket_words",
         F.when(packed, F.col("batches_before") + F.expr("row div room")).alias("batch"),
         F.when(packed, F.col("row") % F.col("room")).cast("int").alias("slot"),
     )

@@ -11,9 +11,17 @@ SLICE_DIGITS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+
+
 def word_count(text: str) -> Column:
-    """Words between white space; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    """Words between white space; 0 for null.
+
+    Each word and the space after it becomes one sign: counting matches would hold every word
+    of a text as an object.
+    """
+    marks = F.regexp_replace(F.btrim(F.col(text), F.lit(WHITE_SPACE)), WORD + r"[\x20\x09-\x0D]*", "x")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("bigint")
 
 
 def seeded_order(seed: int, *columns: Column) -> Column:
