@@ -65,20 +65,20 @@ def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
         stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(_other_key("u"), F.least("u", "m").alias("m"))
-    upper = both.filter(F.col("v") > F.col("u")).select(_other_key("u"), F.col("v").alias("hi"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(other_key("u"), F.least("u", "m").alias("m"))
+    upper = both.filter(F.col("v") > F.col("u")).select(other_key("u"), F.col("v").alias("hi"))
     moved = upper.join(least, "key").select("hi", F.col("m").alias("lo"))
     return moved.distinct()  # a node's neighbours mostly move to the same one
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("hi").agg(F.min("lo").alias("m"))
-    lower, minima = links.select(_other_key("hi"), "lo"), least.select(_other_key("hi"), "m")
+    lower, minima = links.select(other_key("hi"), "lo"), least.select(other_key("hi"), "m")
     moved = lower.join(minima, "key").filter(F.col("lo") > F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionAll(least.select("hi", F.col("m").alias("lo")))
 
 
-def _other_key(node: str) -> Column:
+def other_key(node: str) -> Column:
     """One to one with the node's number, but not the key by which minima are grouped.
 
     A join by that key would reuse their partitions; by this one both sides are shuffled for

@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislelens.llm.components import Forest, components
+from aislelens.llm.components import Forest, components, other_key
 from aislelens.sources.files import cut_lineage
 
 # Words in a shingle, seed of the hash, differing bits of a link.
@@ -21,11 +22,15 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: and every choice of that many segments is one key.
 SEGMENTS = 6
 #: Fingerprints of one key that are compared as one tile.
-TILE = 4_096
+TILE = 32_768
+#: Candidates per fingerprint and key above which finer segments are taken.
+CANDIDATES = 64
 _CELLS = 1_000_000  # pairs compared at a time
 _HASHED = 8_192  # shingles counted at a time
+#: Tasks over which pairs of tiles are dealt.
+MOST_TASKS = 100_000
 
-LINKS = "a bigint, b bigint, slot int, value bigint, tile int, members array<bigint>"
+LINKS = "a bigint, b bigint, slot int, value bigint, tile bigint, members array<bigint>"
 
 
 # ---- fingerprints --------------------------------------------------------------------
@@ -73,6 +78,14 @@ def segment_masks(segments: int = SEGMENTS) -> list[int]:
     return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
 
 
+def segments_for(rows: int, max_bits: int = MAX_BITS) -> int:
+    """Segments with which a key has some ``CANDIDATES`` of ``rows`` random fingerprints at most; links don't depend on it."""
+    segments = max_bits + 2
+    while rows >> (64 * (segments - max_bits) // segments) > CANDIDATES:
+        segments += 1
+    return segments
+
+
 def on_ring(differing: np.ndarray, max_bits: int, segments: int = SEGMENTS) -> np.ndarray:
     """Pairs that may be close, given the bits in which they differ.
 
@@ -93,49 +106,52 @@ def on_ring(differing: np.ndarray, max_bits: int, segments: int = SEGMENTS) -> n
     return passing
 
 
-def _close(x: np.ndarray, max_bits: int) -> np.ndarray:
+def _close(x: np.ndarray, max_bits: int, segments: int) -> np.ndarray:
     """Rows of ``x`` (differing bits) that pass the ring and then the full count."""
-    near = np.nonzero(on_ring(x, max_bits))[0]
+    near = np.nonzero(on_ring(x, max_bits, segments))[0]
     return near[np.bitwise_count(x[near]) <= max_bits]
 
 
-def _link_runs(run: np.ndarray, fps: np.ndarray, forest: Forest, max_bits: int) -> None:
+def _link_runs(run: np.ndarray, fps: np.ndarray, forest: Forest, bits: tuple[int, int]) -> None:
     """Compare the rows of each run with each other; runs are sorted and short."""
     i, lag = np.arange(len(run)), 1
     while len(i := i[i + lag < len(run)]) and len(i := i[run[i] == run[i + lag]]):
-        close = i[_close(fps[i] ^ fps[i + lag], max_bits)]
+        close = i[_close(fps[i] ^ fps[i + lag], *bits)]
         forest.link(close, close + lag)
         lag += 1
 
 
-def _link_blocks(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, forest: Forest, max_bits: int) -> None:
+def _link_blocks(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, forest: Forest, bits: tuple[int, int]) -> None:
     """Compare all of ``a`` with all of ``b``, some rows at a time."""
     step = max(1, _CELLS // max(1, len(b)))
     for i in range(0, len(a), step):
         x = (a[i : i + step, None] ^ b[None, :]).ravel()
-        close = _close(x, max_bits)
+        close = _close(x, *bits)
         forest.link(at_a + i + close // len(b), at_b + close % len(b))
 
 
 def _links(pairs: dict[str, np.ndarray]) -> pa.RecordBatch:
     n = len(pairs["a"])
-    empty = {"slot": pa.int32(), "value": pa.int64(), "tile": pa.int32(), "members": pa.list_(pa.int64())}
+    empty = {"slot": pa.int32(), "value": pa.int64(), "tile": pa.int64(), "members": pa.list_(pa.int64())}
     return pa.RecordBatch.from_pydict(
         {"a": pa.array(pairs["a"]), "b": pa.array(pairs["b"]), **{c: pa.nulls(n, t) for c, t in empty.items()}}
     )
 
 
-def _tiles(slot: int, value: int, tiles: list[np.ndarray], first: int) -> pa.RecordBatch:
-    n = len(tiles)
+def _tiles(slot: int, value: int, members: np.ndarray, number: int) -> pa.RecordBatch:
+    none = pa.nulls(1, pa.int64())
     return pa.RecordBatch.from_pydict({
-        "a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64()), "slot": pa.array([slot] * n, pa.int32()),
-        "value": pa.array([value] * n, pa.int64()), "tile": pa.array(range(first, first + n), pa.int32()),
-        "members": pa.array([t.tolist() for t in tiles], pa.list_(pa.int64())),
+        "a": none, "b": none, "slot": pa.array([slot], pa.int32()), "value": pa.array([value], pa.int64()),
+        "tile": pa.array([number], pa.int64()), "members": pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), pa.array(members)),
     })
 
 
-def _compare_runs(max_bits: int, tile: int):
-    """Rows come sorted by key. Links within every key; of a long key, links in each tile, and the tiles."""
+def _compare_runs(bits: tuple[int, int], tile: int):
+    """Rows come sorted by key: links within every key, or within each tile of a long key.
+
+    Rows of one key may lie in several tasks, and only a task's first and last key can go on in
+    another one; those and the tiles of long keys are handed on to be compared with each other.
+    """
 
     def block(slots: np.ndarray, values: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         run = np.concatenate([[0], np.cumsum((np.diff(slots) != 0) | (np.diff(values) != 0))])
@@ -144,82 +160,106 @@ def _compare_runs(max_bits: int, tile: int):
         first = np.concatenate([[0], np.cumsum(sizes)])
         for r in np.nonzero(sizes > 64)[0]:
             own = fps[first[r] : first[r + 1]]
-            _link_blocks(own, own, first[r], first[r], forest, max_bits)
+            _link_blocks(own, own, first[r], first[r], forest, bits)
         few = np.nonzero((sizes <= 64)[run])[0]
         part = Forest(len(few))
-        _link_runs(run[few], fps[few], part, max_bits)
+        _link_runs(run[few], fps[few], part, bits)
         forest.link(*(few[rows] for rows in part.spanning()))
         a, b = forest.spanning()
         return _links({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # of the next tile
         held = [np.zeros(0, np.int64)] * 3  # the key at the end of the batch, and its rows
-        sent = 0  # tiles of that key that went out already
+        shared = True  # the first key, and every key of which a tile went out
         for batch in batches:
             rows = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
             slots, values, fps = rows
             if not len(fps):
                 continue
-            other = np.nonzero((slots != slots[-1]) | (values != values[-1]))[0]
-            cut = other[-1] + 1 if len(other) else 0
-            if cut and sent:  # the long key has ended: its rest is its last tile
-                end = int(np.nonzero((slots != slots[0]) | (values != values[0]))[0][0])
+            ends = np.nonzero((np.diff(slots) != 0) | (np.diff(values) != 0))[0] + 1
+            if len(ends) and shared:  # that key has ended: its rest is a tile
+                end = int(ends[0])
                 yield block(slots[:end], values[:end], fps[:end].view(np.uint64))
-                yield _tiles(int(slots[0]), int(values[0]), [fps[:end]], sent)
-                slots, values, fps, cut, sent = slots[end:], values[end:], fps[end:], cut - end, 0
-            if cut:
+                yield _tiles(int(slots[0]), int(values[0]), fps[:end], number)
+                number, shared = number + 1, False
+                slots, values, fps, ends = slots[end:], values[end:], fps[end:], ends[1:] - end
+            if len(ends):
+                cut = int(ends[-1])
                 yield block(slots[:cut], values[:cut], fps[:cut].view(np.uint64))
                 slots, values, fps = slots[cut:], values[cut:], fps[cut:]
             while len(fps) > tile:
                 yield block(slots[:tile], values[:tile], fps[:tile].view(np.uint64))
-                yield _tiles(int(slots[0]), int(values[0]), [fps[:tile]], sent)
-                slots, values, fps, sent = slots[tile:], values[tile:], fps[tile:], sent + 1
+                yield _tiles(int(slots[0]), int(values[0]), fps[:tile], number)
+                slots, values, fps, number, shared = slots[tile:], values[tile:], fps[tile:], number + 1, True
             held = [slots, values, fps]
         slots, values, fps = held
         if len(fps):
             yield block(slots, values, fps.view(np.uint64))
-            if sent:
-                yield _tiles(int(slots[0]), int(values[0]), [fps], sent)
+            yield _tiles(int(slots[0]), int(values[0]), fps, number)
 
     return compare
 
 
-def _compare_tiles(max_bits: int):
+def _compare_tiles(bits: tuple[int, int]):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1)):
                 fps = np.concatenate([left.values.to_numpy(), right.values.to_numpy()])
                 forest, n = Forest(len(fps)), len(left.values)
-                _link_blocks(fps[:n].view(np.uint64), fps[n:].view(np.uint64), 0, n, forest, max_bits)
+                _link_blocks(fps[:n].view(np.uint64), fps[n:].view(np.uint64), 0, n, forest, bits)
                 a, b = forest.spanning()
                 yield pa.RecordBatch.from_pydict({"a": pa.array(fps[a]), "b": pa.array(fps[b])})
 
     return compare
 
 
-def links(fps: DataFrame, *, max_bits: int = MAX_BITS, segments: int = SEGMENTS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, *, max_bits: int = MAX_BITS, segments: int | None = None, tile: int = TILE) -> DataFrame:
     """Links (a, b) that join all fingerprints within ``max_bits`` of each other, directly or by others.
 
     ``fps`` has one column of different values. Two of them share at least
     ``segments - max_bits`` segments, so they meet under one of the keys made of that many;
     there the ring is tried before the bits are counted. Of each group of linked rows a
-    spanning tree is returned, not all pairs. A key with more than ``tile`` values is cut into
-    tiles that are compared two by two, each two in a row of their own.
+    spanning tree is returned, not all pairs. Unless given, the number of segments follows
+    from the number of fingerprints.
+
+    Keys are dealt out by ranges, so a frequent key lies in several tasks. What a task has of
+    its first and last key, and at most ``tile`` values of a longer key, is a tile; tiles of
+    one key are compared two by two, each two in a row of their own.
     """
     name = fps.columns[0]
+    segments = segments or segments_for(fps.count(), max_bits)
     masks = segment_masks(segments)
     keys = [sum(masks[i] for i in c) for c in combinations(range(segments), segments - max_bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in keys]
     slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(name).bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
     keyed = fps.select(F.explode(slots).alias("k"), F.col(name).alias("fp")).select("k.slot", "k.value", "fp")
-    dealt = keyed.repartition("slot", "value").sortWithinPartitions("slot", "value")
-    found = cut_lineage(dealt.mapInArrow(_compare_runs(max_bits, tile), LINKS))
-    tiles = found.filter("tile is not null").select("slot", "value", "tile", "members")
-    other = tiles.select("slot", "value", F.col("tile").alias("later"), F.col("members").alias("others"))
-    pairs = tiles.join(other, ["slot", "value"]).filter("tile < later")
-    dealt_pairs = pairs.repartition("slot", "value", "tile", "later").select("members", "others")
-    across = dealt_pairs.mapInArrow(_compare_tiles(max_bits), "a bigint, b bigint")
-    return found.filter("a is not null").select("a", "b").unionAll(across)
+    dealt = keyed.repartitionByRange("slot", "value", "fp").sortWithinPartitions("slot", "value")
+    found = cut_lineage(dealt.mapInArrow(_compare_runs((max_bits, segments), tile), LINKS))
+    named = found.filter("tile is not null").select("slot", "value", "tile")
+    later = named.select("slot", "value", F.col("tile").alias("later"))
+    pairs = cut_lineage(named.join(later, ["slot", "value"]).filter("tile < later").select("tile", "later"))
+    own = found.filter("a is not null").select("a", "b")
+    if not (n := pairs.count()):
+        return own
+    members = found.filter("tile is not null").select("tile", "members")
+    others = members.select(F.col("tile").alias("later"), F.col("members").alias("others"))
+    both = pairs.join(members, "tile").join(others, "later")
+    dealt_pairs = both.repartition(min(n, MOST_TASKS), "tile", "later").select("members", "others")
+    return own.unionAll(dealt_pairs.mapInArrow(_compare_tiles((max_bits, segments)), "a bigint, b bigint"))
+
+
+def _fingerprinted(docs: DataFrame, shingle: int, *more: Column) -> DataFrame:
+    return cut_lineage(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint_column(F.col("text"), shingle).alias("fp"), *more
+    ))
+
+
+def _rooted(fps: DataFrame, max_bits: int, *least: Column) -> DataFrame:
+    """Every different fingerprint with the smallest fingerprint of its group as ``root``, and aggregates over its rows."""
+    nodes = fps.groupBy("fp").agg(*least)
+    roots = components(links(cut_lineage(fps.select("fp").distinct()), max_bits=max_bits)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -229,21 +269,28 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     be reached by links, itself included; null if no document of the group has an id. Null
     text has no words. Documents with equal fingerprints are one node of the link graph.
     """
-    fps = cut_lineage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint_column(F.col("text"), shingle).alias("fp")))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), max_bits=max_bits)).withColumnRenamed("node", "fp")
-    grouped = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = grouped.join(least, "root").select("fp", "component_id")
+    fps = _fingerprinted(docs, shingle)
+    grouped = _rooted(fps, max_bits, F.min("doc_id").alias("least"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id")).select(other_key("root"), "component_id")
+    members = grouped.select("fp", other_key("root")).join(least, "key").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(members, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, unchanged, without near duplicates: the smallest doc_id of each group stays.
+    """The documents, unchanged, without near duplicates: one document of each group stays.
 
-    Rows that share a doc_id stay or go together; rows without one stay.
+    That is the one with the smallest doc_id; documents without an id come after all others,
+    and those of one id are ordered by a hash of their text. A document is its id and its
+    text, so of rows with one id and different texts each is judged by itself, and rows that
+    repeat id and text stay or go together.
     """
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy"))
-    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti")
+    text_hash = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    fps = _fingerprinted(docs, shingle, text_hash.alias("hash"))
+    document = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    grouped = _rooted(fps, max_bits, F.min(document).alias("least"))
+    owners = grouped.groupBy("root").agg(F.min("least").alias("owner")).select(other_key("root"), "owner")
+    owned = grouped.select("fp", other_key("root")).join(owners, "key").select("fp", "owner")
+    others = fps.join(owned, "fp").filter(document != F.col("owner")).select(F.col("doc_id").alias("_copy"), F.col("hash").alias("_hash"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(others["_copy"]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == others["_hash"])
+    return docs.join(others.distinct(), same, "left_anti")

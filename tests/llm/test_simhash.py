@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -68,6 +69,46 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.text for r in kept.collect()) == sorted([text, "other text", "no id"])
 
 
+def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
+    """The smallest id of a group stays; without ids the smallest hash of a text; no clean text goes."""
+    near = [" ".join([*(f"w{i}" for i in range(400)), f"end{n}"]) for n in range(6)]
+    rows = [(1, near[0]), (2, near[1]), (2, "a clean text of its own"), (None, near[2]), (None, "another clean text"), (3, "third"), (3, "fourth")]
+    kept = Counter((r.doc_id, r.text) for r in simhash.one_of_each(documents(spark, rows, clashing=True)).collect())
+    assert kept == Counter([rows[0], rows[2], rows[4], rows[5], rows[6]])
+    unnamed = [(None, t) for t in near[:4]] + [(None, None)]
+    kept = [r.text for r in simhash.one_of_each(documents(spark, unnamed)).collect()]
+    assert len(kept) == 2 and None in kept and min(near[:4], key=lambda t: hashlib.md5(t.encode()).hexdigest()) in kept
+    alone = [(9, near[0]), (9, near[1]), (9, near[1])]  # one id, near copies: one of its texts stays
+    kept = {r.text for r in simhash.one_of_each(documents(spark, alone)).collect()}
+    assert len(kept) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_a_frequent_key_lies_in_several_tasks(spark, parts):
+    """Fingerprints that share their low 42 bits: with so many partitions their keys go over their ends."""
+    draw = random.Random(parts)
+    values = sorted({draw.getrandbits(9) << 55 | 0x155555 for _ in range(300)})
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp bigint").repartition(3)
+        found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, tile=50).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    close = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4]
+    assert groups(values, found) == groups(values, close)
+
+
+@pytest.mark.parametrize("segments", [6, 7, 8])
+def test_links_do_not_depend_on_the_segments(spark, segments):
+    draw = random.Random(11)
+    values = sorted({c ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(7))) for c in (draw.getrandbits(64) for _ in range(20)) for _ in range(9)})
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp bigint")
+    found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, segments=segments).collect()]
+    close = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4]
+    assert groups(values, found) == groups(values, close)
+    assert [simhash.segments_for(n) for n in (0, 10**6, 10**8, 10**9, 10**10)] == [6, 6, 6, 7, 8]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [(1, "a")]).limit(0)).count() == 0
 
