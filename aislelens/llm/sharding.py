@@ -52,21 +52,25 @@ def assign(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
     return slots.select(*_KEY, "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS) -> None:
-    """Write the documents, all columns, as ``path/shard=<n>/``: each shard in order, over as many files as it needs.
+def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS, column: str = "shard") -> None:
+    """Write the documents, all columns, as ``path/<column>=<n>/``: each shard in order, over as many files as it needs.
 
     The first document of every shard (one row each reaches the driver) decides by
-    comparison; identical rows stay together.
+    comparison; identical rows stay together. A column of that name in the documents is
+    refused: give another name.
     """
+    if column.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the documents have a column {column} themselves")
     firsts = sorted(assign(docs, shards=shards).filter("slot = 0").collect(), key=lambda r: r.shard)
-    marked = docs.withColumn("_key", F.struct(*[c.alias(n) for n, c in zip("abcd", _key_columns())]))
+    key = F.struct(*[c.alias(n) for n, c in zip("abcd", _key_columns())])
+    marked = docs.select(F.struct("*").alias("row"), key.alias("key"))
     shard = F.lit(firsts[0].shard if firsts else 0)
     for row in firsts[1:]:
         numbers = [F.lit(x).cast("bigint").alias(n) for n, x in zip("bcd", (row.doc_id or 0, row.size, row.text_crc32))]
         start = F.struct(F.lit(row.doc_id is None).alias("a"), *numbers)
-        shard = F.when(F.col("_key") >= start, row.shard).otherwise(shard)
-    dealt = marked.withColumn("shard", shard).repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key")
-    dealt.drop("_key").write.partitionBy("shard").parquet(path)
+        shard = F.when(F.col("key") >= start, row.shard).otherwise(shard)
+    dealt = marked.withColumn("shard", shard).repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    dealt.select("row.*", F.col("shard").alias(column)).write.partitionBy(column).parquet(path)
 
 
 def _key_columns() -> list[Column]:

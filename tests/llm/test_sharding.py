@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import pytest
 from frames import AWKWARD, documents
 
 from aislelens.llm import queries, sharding
@@ -41,9 +42,13 @@ def test_empty_table(spark):
 
 def test_written_shards(spark, tmp_path):
     rows = [(i, "word " * (i % 40)) for i in range(200)] + [(None, "x")]
-    docs = documents(spark, rows, clashing=True).drop("shard")
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=7)
-    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    docs = documents(spark, rows, clashing=True)
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(docs, str(tmp_path / "no"), shards=7)
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=7, column="place")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "place"}
     wanted = {(i, c): s for i, _, c, s, _ in plain(rows, 7)}
-    assert len(back) == len(rows)
-    assert all(r.shard == wanted[(r.doc_id, zlib.crc32(r.text.encode()))] for r in back)
+    found = back.collect()
+    assert len(found) == len(rows)
+    assert all(r.place == wanted[(r.doc_id, zlib.crc32(r.text.encode()))] and r.shard == r._key == r.key == "x" for r in found)
