@@ -75,7 +75,7 @@ def _overlap(low: Column, high: Column) -> Column:
 def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """What the mixture takes of every document, one row per input row.
 
-    Columns: doc_id, source, size (words, 0 for null text), source_size, target (its
+    Columns: doc_id, identity (the id, or a hash of the text), source, size (words, 0 for null text), source_size, target (its
     source's), taken, uses (times the whole document is taken), from_word and n_words (the
     part taken once more: words after the first ``from_word``, from its beginning again where
     the part passes the end; at most the two documents at the ends of a source's run are cut), shard (of its first block; null if nothing is
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     order = seeded_order(seed, row_identity())
     rows = cut_lineage(
-        docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("key"), order.alias("order"))
+        docs.select("doc_id", "source", row_identity().alias("identity"), word_count("text").alias("size"), key.alias("key"), order.alias("order"))
         .withColumns(seeded_slices("order"))
     )
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
     whole = (F.col("size") > 0) & (once_more == F.col("size"))
     taken = F.col("passes") * F.col("size") + once_more
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
+        "doc_id", "identity", "source", "size", "source_size", "target", taken.alias("taken"),
         (F.col("passes") + whole.cast("bigint")).alias("uses"),
         F.when(whole | (once_more == 0), 0).when(F.col("tail") > 0, F.greatest(F.lit(0), low - F.col("start"))).otherwise(F.lit(0)).alias("from_word"),
         F.when(whole, 0).otherwise(once_more).alias("n_words"),
@@ -119,20 +119,29 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: int
     )
 
 
+def _document_key() -> Column:
+    """Rows with the same key are the same to the mixture: id (or text), size and source."""
+    return F.concat_ws(":", "identity", "size", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+
+
 def mixed(docs: DataFrame, **options: int) -> DataFrame:
     """The mixture itself: the columns of ``docs``, a row for every use of a document.
 
     A part of a document is its words joined by one space. A column n_chars follows the text;
-    all other columns, whatever their names, are kept as they are.
+    all other columns, whatever their names, are kept as they are. Rows of one key are numbered and take
+    the uses that the mixture has for them in turn: few different ones, as only the documents at
+    the ends of a run are cut.
     """
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    copy = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    plan = mix(docs, **options).filter("taken > 0").withColumn("key", key)
-    plan = plan.withColumn("plan_copy", copy).select(F.col("key").alias("plan_key"), "plan_copy", "uses", "from_word", "n_words")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count("text").alias("size")).select("row", key.alias("key"))
-    rows = rows.withColumn("copy", copy)
-    # Repeated rows pair off; the copies are compared without being a key, which would deal all rows anew.
-    found = rows.join(plan, (F.col("key") == F.col("plan_key")) & (F.abs(F.col("copy") - F.col("plan_copy")) < 1))
+    plan = mix(docs, **options).filter("taken > 0").withColumn("key", _document_key())
+    kinds = plan.groupBy("key", "uses", "from_word", "n_words").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("uses", "from_word", "n_words").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("after", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    by_key = kinds.groupBy("key").agg(F.collect_list(F.struct("after", "n", "uses", "from_word", "n_words")).alias("kinds"))
+    rows = docs.select(F.struct("*").alias("row"), row_identity().alias("identity"), "source", word_count("text").alias("size"))
+    rows = rows.select("row", _document_key().alias("key"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text"))))
+    own = F.filter("kinds", lambda k: (F.col("copy") > k["after"]) & (F.col("copy") <= k["after"] + k["n"]))
+    found = rows.join(by_key, "key").withColumn("own", F.get(own, F.lit(0))).filter("own is not null").select("row", "own.uses", "own.from_word", "own.n_words")
     uses = F.explode(F.sequence(F.lit(1), (F.col("uses") + (F.col("n_words") > 0).cast("int")).cast("int")))
     words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.slice(F.concat(words, words), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")

@@ -106,6 +106,26 @@ def test_rows_without_id_spread_over_slices(spark):
     check(mixture.mix(frame).collect(), docs)
 
 
+def test_repeated_ids_and_a_third_of_rows_without_id(spark):
+    """Every row is used as often as the plan says for its id (or text) and size; nothing is joined with its like."""
+    draw = random.Random(3)
+    docs = [(None, f"word {i} " + "x " * 8, None, "a") for i in range(200)] + [(i % 40, f"own {i} " + "y " * 8, None, "a") for i in range(200)]
+    docs += [(i, "z " * draw.randrange(1, 200), None, "bc"[i % 2]) for i in range(1000, 1200)] + [(7, "same text", None, "b")] * 50
+    frame = documents(spark, docs)
+    found = mixture.mixed(frame)
+    plan = mixture.mix(frame).collect()
+    words = Counter()
+    for r in found.collect():
+        words[r.doc_id, r.source] += len(r.text.split())
+    wanted = Counter()
+    for r in plan:
+        wanted[r.doc_id, r.source] += r.taken
+    assert words == Counter({k: n for k, n in wanted.items() if n})
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, mixture.mixed(frame.repartition(7)).collect()), key=str)
+    plan_text = found._jdf.queryExecution().executedPlan().toString()
+    assert "abs(" not in plan_text and "NestedLoop" not in plan_text and "Cartesian" not in plan_text
+
+
 def test_prefix_sums(spark):
     draw = random.Random(1)
     rows = [(draw.choice("ab"), f"{draw.randrange(16**6):06x}", draw.randrange(9)) for _ in range(500)]
