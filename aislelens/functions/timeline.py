@@ -8,6 +8,9 @@ tiny window over one summary row per slice links each slice to the next.
 Ordinary keys have a NULL slice, so they go through the very same single shuffle whole.
 Rows without a time, and NULLs in any ordering column, come last; a hot key's rows without
 a time have a slice of their own. The result does not depend on which keys are hot.
+
+Tables that are stored for such lookups carry their slices: ``slice_equally`` cuts hot keys by
+rank when they are written, and nothing is counted when they are read.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislelens.sources.files import cut_lineage
+
 SLICE = "_slice"
 HOT = "_hot"
 
@@ -72,9 +77,37 @@ def add_slices(marked: DataFrame, ts: str) -> DataFrame:
 
 
 def slice_hot_keys(df: DataFrame, key: list[str], ts: str) -> DataFrame:
+    """``df`` with its hot keys marked and cut; rows that carry marks and slices already stay as they are."""
+    if carried(df):
+        return df
     return add_slices(mark_hot_keys(df, key), ts)
 
 
+def carried(df: DataFrame) -> list[str]:
+    """The columns of marks and slices, if ``df`` was stored with them."""
+    return [HOT, SLICE] if {HOT, SLICE} <= set(df.columns) else []
+
+
+def slice_equally(df: DataFrame, key: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """Mark hot keys and cut them into slices of about ``rows`` rows each, by rank instead of by the clock.
+
+    The rows of hot keys are range-partitioned by key and ``order`` and written down, so a slice
+    is a partition that stays what it is: rows of one minute are cut like any others, and only
+    rows that are equal in ``order`` stay together. Spark cuts by a sample; a slice is rarely
+    above twice the size. Runs Spark jobs while it is defined: it is made for storing tables.
+    """
+    rows = rows or MIN_ROWS
+    marked = mark_hot_keys(df, key)
+    hot = marked.filter(HOT).drop("_n")
+    none = F.lit(None).cast("int")
+    rest = marked.filter(F.col(HOT).isNull()).drop("_n").withColumn(SLICE, none)
+    n = hot.count()
+    if not n:
+        return rest
+    cut = hot.repartitionByRange(-(-n // rows), *key, *_nulls_last(order)).withColumn(SLICE, F.spark_partition_id())
+    return rest.unionByName(cut_lineage(cut))
+
+
 def slice_counted(df: DataFrame, key: list[str], ts: str) -> DataFrame:
     """The same for rows that already carry the size of their key in ``_n``."""
     return deal_slices(add_slices(df.withColumn(HOT, F.col("_n") > MIN_ROWS), ts), key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
-from aislelens.functions.timeline import slice_hot_keys, with_next
+from aislelens.functions.timeline import carried, slice_hot_keys, with_next
 
 ORDER = ["order_date", "order_id"]
 AHEAD = "gap_between_promised_actual_time"
@@ -22,7 +22,7 @@ def _overall(column: str) -> Column:
 def _timeline(orders: DataFrame, columns: list[str], take: dict[str, str]) -> DataFrame:
     """Orders (only the columns needed) with values of the customer's next order."""
     needed = list(dict.fromkeys(["customer_id", *ORDER, *columns, *take.values()]))
-    narrow = orders.select(*needed)
+    narrow = orders.select(*needed, *carried(orders))
     sliced = slice_hot_keys(narrow, ["customer_id"], "order_date")
     return with_next(sliced, ["customer_id"], ORDER, take)
 

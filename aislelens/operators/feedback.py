@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
-from aislelens.functions.timeline import slice_hot_keys, with_next
+from aislelens.functions.timeline import carried, slice_hot_keys, with_next
 from aislelens.operators.delivery import share_by
 
 
@@ -78,7 +78,7 @@ def monthly_feedback_ratio(orders: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def churn_after_bad_review(orders: DataFrame, feedback: DataFrame) -> DataFrame:
     """Customers whose last reviewed order was reviewed badly, per month of that order."""
-    timeline = slice_hot_keys(orders.select("order_id", "customer_id", "order_date"), ["customer_id"], "order_date")
+    timeline = slice_hot_keys(orders.select("order_id", "customer_id", "order_date", *carried(orders)), ["customer_id"], "order_date")
     reviewed = timeline.join(feedback.select("order_id", "feedback_id", "sentiment"), "order_id")
     followed = with_next(
         reviewed, ["customer_id"], ["order_date", "order_id", "feedback_id"], {"next_date": "order_date"}

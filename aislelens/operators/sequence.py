@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aislelens.functions import calendar as cal
 from aislelens.functions import numeric as N
-from aislelens.functions.timeline import HOT, SLICE, add_slices, deal_slices, mark_hot_keys, slice_hot_keys, with_next
+from aislelens.functions.timeline import HOT, SLICE, add_slices, carried, deal_slices, mark_hot_keys, slice_hot_keys, with_next
 
 ORDER = ["order_date", "order_id", "product_id"]
 
@@ -24,7 +24,7 @@ def purchase_lines(
     They are sliced for lookups along each customer's timeline, which is decided on the
     orders alone, before any join.
     """
-    narrow = orders.select("order_id", "customer_id", "order_date", "order_total")
+    narrow = orders.select("order_id", "customer_id", "order_date", "order_total", *carried(orders))
     lines = (
         slice_hot_keys(narrow, ["customer_id"], "order_date")
         .join(items.select("order_id", "product_id"), "order_id", how)

@@ -102,6 +102,11 @@ class RetailTables:
     def orders(self) -> DataFrame:
         return cleaning.clean_orders(self.orders_raw)
 
+    @property
+    def timeline(self) -> DataFrame:
+        """The orders for lookups along a customer's timeline."""
+        return self.orders
+
     @cached_property
     def products(self) -> DataFrame:
         return cleaning.clean_products(self.products_raw)
