@@ -1,190 +1,137 @@
-"""Exact quantiles and tiles without sorting everything into one task.
-
-To find the rows at a few ranks, the interval each rank lies in is narrowed: count rows
-per equal-width bin (a grouped count, combined on the map side), go on with the bin the
-rank falls in, and stop when an interval holds few rows or a single value. Every pass is
-an ordinary distributed aggregate; what returns to the driver is one small row per wanted
-rank. Later passes filter by literal bounds, which reach the file scan.
+"""Exact quantiles and tiles as lazy plans, without sorting everything into one task.
+
+To find the rows at a few ranks, rows are counted per part of their range (a grouped count,
+combined on the map side), the part that each rank falls in is picked, and the values in that
+part are counted; ties go on with the unique id in the same way. The number of steps is fixed,
+so all of them are one plan: nothing runs while it is defined, and the result always follows
+the data. Parts are shares of a doubling, ``PARTS`` of them to each: a step sorts the counts of
+some doublings, or the different values of one part, and only one row per wanted rank goes from
+step to step. Of a table that Spark estimates at ``SMALL_BYTES`` or less, one task sorts the
+different values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import reduce
-from math import ceil, floor, inf, isfinite, nan
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, NumericType
+
+#: Parts of a doubling: integers below 2 ** 38 have at most some millions of values in one part.
+PARTS = 1 << 16
+#: Estimated size up to which one task may sort all values.
+SMALL_BYTES = 64 << 20
+#: Above and below the logarithms of all doubles.
+LOG_RANGE = 1_100.0
+
+
+# ---- parts -----------------------------------------------------------------------------
+
+def _part(x: Column) -> Column:
+    """A number that rises with a double; infinities lie beyond all others and NaN above them."""
+    size = F.least(F.log2(F.abs(x)), F.lit(LOG_RANGE - 1)) + LOG_RANGE
+    placed = F.when(F.isnan(x), F.lit(3 * LOG_RANGE)).when(x == 0, F.lit(0.0)).when(x < 0, -size).otherwise(size)
+    return F.floor(placed * PARTS)
+
+
+def _common_type(kinds: list[DataType]) -> str:
+    """The type in which values of several columns are compared."""
+    if any(isinstance(k, (DoubleType, FloatType)) for k in kinds):
+        return "double"
+    scales = [k.scale for k in kinds if isinstance(k, DecimalType)]
+    return f"decimal(38,{max(scales)})" if scales else "bigint"
 
-BINS = 4096
-FEW_ROWS = 1_000_000
-#: Searches that run side by side; each reads its own columns only.
-AT_ONCE = 8
 
+#: Steps in which a value is settled; rows without a value come last.
+VALUE_STEPS = [["absent", "part"], ["exact"]]
+#: Ties: the parts of ids are counted with the values, few of which share a part.
+TIE_STEPS = [["absent", "part"], ["exact", "id_part"], ["id"]]
 
-@dataclass
-class _Search:
-    """Where one wanted rank is known to lie."""
 
-    rank: int  # counted from the start of the interval
-    found: tuple  # values of the ordering columns settled so far
-    low: float
-    high: float
-    rows: int
+def _ordered(x: Column, kind: DataType, common: str, descending: bool = False) -> dict[str, Column]:
+    """Columns that together have the order of a value, NULLs last."""
+    if not isinstance(kind, NumericType):
+        raise TypeError(f"no quantiles of {kind.simpleString()}")
+    part, exact = _part(x.cast("double")), x.cast(common)
+    if descending:
+        part, exact = -part, F.bitwise_not(exact) if common == "bigint" else -exact
+    return {"absent": x.isNull(), "part": F.coalesce(part, F.lit(0).cast("bigint")), "exact": F.coalesce(exact, F.lit(0).cast(common))}
 
 
-def _split(df: DataFrame, name: str, tests: list[Column]) -> DataFrame:
-    """Rows for which one of the (exclusive) tests holds, with the number of that test.
+def _few(rows: DataFrame) -> bool:
+    """Whether one task may sort the rows; the estimate runs no job."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
 
-    The disjunction is a filter of its own because a scan can use it, unlike the CASE.
+
+# ---- ranks -----------------------------------------------------------------------------
+
+def _rows_at(keyed: DataFrame, steps: list[list[str]], ranks: Callable[[Column], Column], payload: list[str]) -> DataFrame:
+    """Per measure the rows at some 0-based ranks, with the columns of ``steps`` and ``payload``.
+
+    ``keyed`` has a column ``measure``. ``ranks`` maps the number of a measure's rows to an
+    array of structs whose field ``rank`` says which rows are wanted; its other fields come
+    with the rows found.
     """
-    number = F.when(tests[0], F.lit(0))
-    for n, test in enumerate(tests[1:], 1):
-        number = number.when(test, F.lit(n))
-    return df.filter(reduce(Column.__or__, tests)).withColumn(name, number)
-
-
-def _hits(counts: DataFrame, step: str, searches: list[_Search], path_of: list[int]) -> list:
-    """For every search, the ``step`` group its rank falls in and the rows before it."""
-    before = Window.partitionBy("path").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    cumulative = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    wanted = [
-        (F.col("path") == p) & (F.col("before") <= s.rank) & (F.col("before") + F.col("n") > s.rank)
-        for s, p in zip(searches, path_of)
-    ]
-    groups = cumulative.filter(reduce(Column.__or__, wanted)).collect()  # at most one row per search
-    return [
-        next(g for g in groups if g["path"] == p and g["before"] <= s.rank < g["before"] + g["n"])
-        for s, p in zip(searches, path_of)
+    path = ["measure"]
+    state = None
+    for step in steps:
+        last = step is steps[-1]
+        rows = keyed if state is None else keyed.join(F.broadcast(state), path)  # at most one row per wanted rank
+        held = [] if state is None else ["wanted"]
+        counts = rows.groupBy(*path, *held, *step).agg(
+            F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in payload if last]
+        )
+        in_path = Window.partitionBy(*path)
+        before = F.coalesce(F.sum("n").over(in_path.orderBy(*step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("before", before)
+        if state is None:
+            placed = placed.withColumn("wanted", ranks(F.sum("n").over(in_path)))
+        here = F.filter("wanted", lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n")))
+        left = F.transform(here, lambda w: w.withField("rank", w["rank"] - F.col("before")))
+        path = [*path, *step]
+        kept = [*path, *[c for c in payload if last]]
+        state = placed.select(*kept, left.alias("wanted")).filter(F.size("wanted") > 0)
+    return state.select(*kept, F.inline("wanted"))
+
+
+def _measures(rows: DataFrame, values: list[str], descending: bool, others: list[str], more: dict[str, Column]) -> DataFrame:
+    """One row per row and value column, with the column's number as ``measure``: all columns are read in one pass."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    common = _common_type([kinds[c] for c in values])
+    structs = [
+        F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value"), *[
+            d.alias(name) for name, d in {**_ordered(F.col(c), kinds[c], common, descending), **more}.items()
+        ])
+        for n, c in enumerate(values)
     ]
+    return rows.select(*others, *values).select(F.inline(F.array(*structs)))
 
 
-def rows_at(rows: DataFrame, order: list[str], ranks: Callable[[int, int], list[int]]) -> list[tuple]:
-    """Values of the ``order`` columns in the rows at some 0-based ascending ranks.
+def quantiles(rows: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Linearly interpolated quantiles of each column's non-null values, as (column_name, q0, q1, ...).
 
-    Rows compare by the first column, ties by the second, and so on; rows with a NULL in the
-    first are left out. ``ranks`` gets the number of rows, and of those left out, and names
-    the wanted ones.
+    A column without values has no row. Infinities and NaN (the greatest value) take part.
     """
-    every = rows.select(*order)
-    data = every.filter(F.col(order[0]).isNotNull())
-    searches: list[_Search] = []
-    for depth, column in enumerate(order):
-        value = F.col(column)
-        d = value.cast("double")  # bins only have to be monotone
-        if depth == 0:
-            size, low, high, rows_in_all = every.agg(F.count(value), F.min(d), F.max(d), F.count(F.lit(1))).first()
-            wanted = ranks(size, rows_in_all - size)
-            if size <= FEW_ROWS:
-                return _of_few(data, order, wanted)
-            if not (isfinite(low) and isfinite(high)):
-                return _ends_apart(data, order, wanted)
-            searches = [_Search(r, (), low, high, size) for r in wanted]
-            tied, groups = data.withColumn("tie", F.lit(0)), [()]
-            if not searches:
-                return []
-        else:
-            groups = sorted({s.found for s in searches})
-            tied = _split(data, "tie", [
-                reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in zip(order, g)]) for g in groups
-            ])
-            if any(s.rows > FEW_ROWS for s in searches):
-                extent = tied.groupBy("tie").agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
-                of_tie = {e["tie"]: e for e in extent.collect()}  # one row per tie
-                for s in searches:
-                    s.low, s.high = of_tie[groups.index(s.found)][1:]
-
-        def inside(key: tuple) -> Column:
-            tie, low, high = key
-            return (F.col("tie") == tie) & (d >= F.lit(low)) & (d <= F.lit(high))
-
-        rounds = 0
-        while True:
-            intervals = list(dict.fromkeys((groups.index(s.found), s.low, s.high) for s in searches))
-            path_of = [intervals.index((groups.index(s.found), s.low, s.high)) for s in searches]
-            if depth == rounds == 0:  # a single interval holds everything
-                narrowed = tied.withColumn("path", F.lit(0))
-            else:
-                narrowed = _split(tied, "path", [inside(i) for i in intervals])
-            wide = [s for s in searches if s.rows > FEW_ROWS and s.high > s.low]
-            if not wide:
-                break
-            rounds += 1
-            start, end = (F.element_at(F.array(*map(F.lit, ends)), F.col("path") + 1) for ends in list(zip(*intervals))[1:])
-            bin_ = F.width_bucket(d, start, end, F.lit(BINS))  # NULL for an interval of one value
-            counts = narrowed.groupBy("path", bin_.alias("bin")).agg(
-                F.count(F.lit(1)).alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi")
-            )
-            progress = False
-            for s, hit in zip(searches, _hits(counts, "bin", searches, path_of)):
-                progress = progress or hit["n"] < s.rows
-                s.rank, s.low, s.high, s.rows = s.rank - hit["before"], hit["lo"], hit["hi"], hit["n"]
-            if not progress:
-                break
-        counts = narrowed.groupBy("path", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        for s, hit in zip(searches, _hits(counts, "value", searches, path_of)):
-            s.rank, s.rows, s.found = s.rank - hit["before"], hit["n"], (*s.found, hit["value"])
-            s.low, s.high = -inf, inf
-    return [s.found for s in searches]
-
-
-def _of_few(data: DataFrame, order: list[str], wanted: list[int]) -> list[tuple]:
-    """The same for at most ``FEW_ROWS`` rows, which one task may sort."""
-    if not wanted:
-        return []
-    placed = data.withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
-    found = {r["_place"]: tuple(r)[:-1] for r in placed.filter(F.col("_place").isin(*wanted)).collect()}
-    return [found[r] for r in wanted]
-
-
-def _ends_apart(data: DataFrame, order: list[str], wanted: list[int]) -> list[tuple]:
-    """The same when infinities or NaN (the greatest value) are there: only finite values have bins."""
-    d = F.col(order[0]).cast("double")
-    tests = [(-inf, d == -inf), (None, (d > -inf) & (d < inf)), (inf, d == inf), (nan, F.isnan(d))]
-    sizes = data.agg(*[F.count_if(test) for _, test in tests]).first()
-    found: dict[int, tuple] = {}
-    start = 0
-    for (value, test), size in zip(tests, sizes):
-        own = [r for r in wanted if start <= r < start + size]
-        inner = [r - start for r in own]
-        if value is None and own:
-            found |= zip(own, rows_at(data.filter(test), order, lambda *_: inner))
-        elif own and len(order) > 1:
-            found |= {r: (value, *rest) for r, rest in zip(own, rows_at(data.filter(test), order[1:], lambda *_: inner))}
-        else:
-            found |= {r: (value,) for r in own}
-        start += size
-    return [found[r] for r in wanted]
-
-
-def _side_by_side(df: DataFrame, search: Callable, wanted: list) -> list:
-    """Results of ``search`` for each of ``wanted``: their Spark jobs share the cluster."""
-    if len(wanted) < 2:
-        return [search(w) for w in wanted]
-    with ThreadPoolExecutor(min(AT_ONCE, len(wanted))) as threads:
-        return list(threads.map(inheritable_thread_target(df.sparkSession)(search), wanted))
-
-
-def quantiles_of_columns(rows: DataFrame, columns: list[str], probs: list[float]) -> list[list[float | None]]:
-    """``exact_quantiles`` of each column."""
-    return _side_by_side(rows, lambda column: exact_quantiles(rows, column, probs), columns)
-
-
-def exact_quantiles(rows: DataFrame, column: str, probs: list[float]) -> list[float | None]:
-    """Linearly interpolated quantiles of the non-null values; None if there are none."""
-    where: list[float] = []
-
-    def ranks(size: int, _: int) -> list[int]:
-        where.extend(p * (size - 1) for p in probs if size)
-        return [r for w in where for r in (floor(w), ceil(w))]
-
-    found = [float(v) for (v,) in rows_at(rows, [column], ranks)]
-    if not found:
-        return [None] * len(probs)
-    return [lo if lo == hi else lo + (hi - lo) * (w - floor(w)) for w, lo, hi in zip(where, found[::2], found[1::2])]
+    def wanted(size: Column) -> Column:
+        structs = []
+        for n, p in enumerate(probs):
+            at = F.lit(float(p)) * (size - 1)
+            for side, rank in enumerate((F.floor(at), F.ceil(at))):
+                structs.append(F.struct(F.lit(2 * n + side).alias("no"), rank.cast("bigint").alias("rank"), (at - F.floor(at)).alias("share")))
+        return F.array(*structs)
+
+    keyed = _measures(rows, columns, False, [], {}).filter(~F.col("absent"))
+    found = _rows_at(keyed, [["exact"]] if _few(rows) else VALUE_STEPS, wanted, ["value"])
+
+    def one(n: int) -> Column:
+        low, high = (F.max(F.when(F.col("no") == 2 * n + side, F.col("value"))) for side in (0, 1))
+        share = F.max(F.when(F.col("no") == 2 * n, F.col("share")))
+        return F.when(low == high, low).otherwise(low + (high - low) * share).alias(f"q{n}")
+
+    names = F.array(*map(F.lit, columns))
+    per_measure = found.groupBy("measure").agg(*[one(n) for n in range(len(probs))])
+    return per_measure.select(F.element_at(names, F.col("measure") + 1).alias("column_name"), *[f"q{n}" for n in range(len(probs))])
 
 
 def with_tiles(df: DataFrame, tiles: int, names: dict[str, str], unique_id: str) -> DataFrame:
@@ -192,30 +139,41 @@ def with_tiles(df: DataFrame, tiles: int, names: dict[str, str], unique_id: str)
 
     ``names`` maps each value column to the name of its tile. The first (rows mod tiles) tiles
     hold one row more. Only the first row of each tile is looked for; a row's tile is then the
-    count of tile starts it has reached. Rows without a value come last, by id. Runs Spark jobs
-    while it is defined, those of all values side by side.
+    count of tile starts it has reached. Rows without a value come last, by id, an integer.
+    A small table is numbered by a window over all its rows.
     """
-    found = _side_by_side(df, lambda value: _tile(df, tiles, value, unique_id), list(names))
-    return df.withColumns(dict(zip(names.values(), found)))
-
-
-def _tile(df: DataFrame, tiles: int, value: str, unique_id: str) -> Column:
-    among_missing: list[int] = []
-
-    def starts(size: int, missing: int) -> list[int]:
-        small, more = divmod(size + missing, tiles)
-        every = [r for t in range(1, tiles) if (r := t * small + min(t, more)) < size + missing]
-        among_missing.extend(r - size for r in every if r >= size)
-        return [r for r in every if r < size]
-
-    keys = df.select((-F.col(value)).alias("value"), F.col(unique_id).alias("id"))
-    tile = F.lit(1)
-    for v, i in rows_at(keys, ["value", "id"], starts):
-        lower = F.col(value) < F.lit(-v)
-        tie = (F.col(value) == F.lit(-v)) & (F.col(unique_id) >= F.lit(i))
-        tile = tile + F.when(lower | tie | F.col(value).isNull(), 1).otherwise(0)
-    if among_missing:
-        absent = df.filter(F.col(value).isNull()).select(F.col(unique_id).alias("id"))
-        for (i,) in rows_at(absent, ["id"], lambda *_: among_missing):
-            tile = tile + F.when(F.col(value).isNull() & (F.col(unique_id) >= F.lit(i)), 1).otherwise(0)
-    return tile
+    if _few(df):
+        return df.withColumns({
+            name: F.ntile(tiles).over(Window.orderBy(F.desc_nulls_last(value), unique_id)) for value, name in names.items()
+        })
+    def starts(size: Column) -> Column:
+        more = size % tiles
+        every = [
+            F.struct(F.lit(t).alias("no"), (t * F.floor(size / tiles) + F.least(F.lit(t), more)).cast("bigint").alias("rank")) for t in range(1, tiles)
+        ]
+        return F.filter(F.array(*every), lambda w: w["rank"] < size)
+
+    if tiles < 2:
+        return df.withColumns({name: F.lit(1) for name in names.values()})
+    kinds = {f.name: f.dataType for f in df.schema}
+    common = _common_type([kinds[c] for c in names])
+    own_id = F.col(unique_id).cast("bigint")
+    keyed = _measures(df, list(names), True, [unique_id], {"id_part": _part(own_id.cast("double")), "id": own_id})
+    found = _rows_at(keyed, TIE_STEPS, starts, []).groupBy().agg(
+        F.collect_list(F.struct("measure", F.struct("absent", "part", "exact", "id").alias("at"))).alias("_starts")
+    )
+
+    def tile(number: int, column: str) -> Column:
+        ordered = _ordered(F.col(column), kinds[column], common, True)
+        own = F.struct(*[c.alias(n) for n, c in {**ordered, "id": own_id}.items()])
+        reached = F.filter("_starts", lambda s: (s["measure"] == number) & (s["at"] <= own))
+        return 1 + F.coalesce(F.size(reached), F.lit(0))
+
+    started = df.join(F.broadcast(found))  # one row, with an entry per tile
+    return started.withColumns({name: tile(n, column) for n, (column, name) in enumerate(names.items())}).drop("_starts")
+
+
+def with_quantiles(df: DataFrame, column: str, names: dict[str, float]) -> DataFrame:
+    """The rows with quantiles of one of their columns; no rows if it has no values."""
+    found = quantiles(df, [column], list(names.values())).select(*[F.col(f"q{n}").alias(name) for n, name in enumerate(names)])
+    return df.join(F.broadcast(found))  # one row

@@ -10,16 +10,19 @@ from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
 
 
-def _active_customers(orders: DataFrame) -> DataFrame:
-    """Distinct active customers per (birth month, months since).
-
-    One shuffle by customer carries the set of months each customer ordered in. The set
-    is merged on the map side and bounded by the calendar, however many orders there are,
-    and after it a plain count replaces the distinct count.
-    """
-    months = orders.filter("customer_id is not null").groupBy("customer_id").agg(
+def active_months(orders: DataFrame) -> DataFrame:
+    """The set of months each customer ordered in: bounded by the calendar, however many orders there are."""
+    return orders.filter("customer_id is not null").groupBy("customer_id").agg(
         F.collect_set(cal.month_start("order_date")).alias("months")
     )
+
+
+def _active_customers(months: DataFrame) -> DataFrame:
+    """Distinct active customers per (birth month, months since), from every customer's set of months.
+
+    One shuffle by customer carried the sets, merged on the map side; after it a plain count
+    replaces the distinct count.
+    """
     active = months.select(
         F.array_min("months").alias("birth_month"), F.explode("months").alias("month")
     )
@@ -29,15 +32,20 @@ def _active_customers(orders: DataFrame) -> DataFrame:
     )
 
 
-def cohort_retention(orders: DataFrame) -> DataFrame:
+def retention_of(months: DataFrame) -> DataFrame:
+    """Retention from every customer's set of months, as ``active_months`` gives or a merged state holds it."""
     by_month = Window.partitionBy("birth_month").orderBy("month_number")
     return (
-        _active_customers(orders)
+        _active_customers(months)
         .withColumn("first_month_customer_cnt_locked", F.first("customer_cnt").over(by_month))
         .withColumn("retention_rate", N.percent("customer_cnt", "first_month_customer_cnt_locked"))
     )
 
 
+def cohort_retention(orders: DataFrame) -> DataFrame:
+    return retention_of(active_months(orders))
+
+
 def cohort_avg_retention(orders: DataFrame, digits: int = 3) -> DataFrame:
     return cohort_retention(orders).groupBy("month_number").agg(
         N.half_up(F.avg("retention_rate"), digits).alias("avg_retention_rate")
@@ -52,7 +60,7 @@ def cohort_avg_retention_excl_100(orders: DataFrame) -> DataFrame:
 
 def cohort_month_change(orders: DataFrame) -> DataFrame:
     by_month = Window.partitionBy("cohort_month").orderBy("month_number")
-    cells = _active_customers(orders).select(
+    cells = _active_customers(active_months(orders)).select(
         F.col("birth_month").alias("cohort_month"), "month_number", F.col("customer_cnt").alias("active_customers")
     )
     previous = F.col("prev_active_customer_count")

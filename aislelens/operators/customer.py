@@ -9,10 +9,9 @@ from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
 from aislelens.functions.order_statistics import with_tiles
-from aislelens.sources.files import cut_lineage
 
 
-def _spending(orders: DataFrame) -> DataFrame:
+def spending(orders: DataFrame) -> DataFrame:
     return orders.groupBy("customer_id").agg(
         cal.day_of(F.max("order_date")).alias("last_day"),
         F.count("order_id").alias("frequency"),
@@ -33,7 +32,17 @@ def rfm_fixed_bins(
     frequency: list[L.Band] = L.FREQUENCY_BANDS,
     monetary: list[L.Band] = L.MONETARY_BANDS,
 ) -> DataFrame:
-    spending = _spending(orders)
+    return rfm_bins_of(spending(orders), customers, recency, frequency, monetary)
+
+
+def rfm_bins_of(
+    spending: DataFrame,
+    customers: DataFrame,
+    recency: list[L.Band] = L.RECENCY_BANDS,
+    frequency: list[L.Band] = L.FREQUENCY_BANDS,
+    monetary: list[L.Band] = L.MONETARY_BANDS,
+) -> DataFrame:
+    """The bins from one row per customer, as ``spending`` gives or a merged state holds it."""
     everyone = spending.agg(F.count("customer_id")).scalar()
     known = _recency(spending).join(customers.select("customer_id"), "customer_id", "left_semi")
     scored = known.withColumns({
@@ -69,12 +78,9 @@ def rfm_ntile_segments(orders: DataFrame, customers: DataFrame, tiles: int = 5)
     """Segments from recency bands and exact quintiles of frequency and spend.
 
     The first customer of each quintile is found by counting, so no task ever sorts all
-    customers; the per-customer table is written out once because several passes read it.
-    Runs Spark jobs while it is defined: the quintiles are those of the orders at that time.
+    customers.
     """
-    rfm = cut_lineage(
-        _recency(_spending(orders)).join(customers.select("customer_id"), "customer_id", "left_semi")
-    )
+    rfm = _recency(spending(orders)).join(customers.select("customer_id"), "customer_id", "left_semi")
     scored = rfm.withColumn(
         "recency_score", L.band("recency", L.RECENCY_QUINTILE_BANDS, L.RECENCY_QUINTILE_OTHER)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislelens.functions import calendar as cal
 from aislelens.functions import labels as L
 from aislelens.functions import numeric as N
-from aislelens.functions.order_statistics import exact_quantiles
+from aislelens.functions.order_statistics import with_quantiles
 from aislelens.functions.timeline import slice_if_large, with_position
 
 
@@ -260,23 +260,11 @@ def valid_orders_filter(
 
 
 def iqr_inliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """Rows strictly inside the quartiles widened by k interquartile ranges.
-
-    Runs Spark jobs while it is defined: the exact quartiles are known before the rows are read again, so the bounds are plain
-    literals and the file scan can skip what lies outside.
-    """
-    q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
-    iqr = None if q1 is None else q3 - q1
-    bounds = {
-        "q1": q1, "q3": q3,
-        "lower_bound": None if q1 is None else q1 - k * iqr,
-        "upper_bound": None if q1 is None else q3 + k * iqr,
-        "iqr": iqr,
-    }
-    inside = df.filter(
-        (F.col(column) > F.lit(bounds["lower_bound"])) & (F.col(column) < F.lit(bounds["upper_bound"]))
-    )
-    return inside.withColumns({name: F.lit(v).cast("double") for name, v in bounds.items()})
+    """Rows strictly inside the quartiles widened by k interquartile ranges."""
+    q1, q3 = F.col("q1"), F.col("q3")
+    limited = with_quantiles(df, column, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", q3 - q1)
+    limited = limited.withColumns({"lower_bound": q1 - k * F.col("iqr"), "upper_bound": q3 + k * F.col("iqr")})
+    return limited.filter((F.col(column) > F.col("lower_bound")) & (F.col(column) < F.col("upper_bound")))
 
 
 def category_avg_mrp(products: DataFrame) -> DataFrame:

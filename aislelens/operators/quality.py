@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from aislelens.functions import numeric as N
-from aislelens.functions.order_statistics import quantiles_of_columns
+from aislelens.functions.order_statistics import quantiles
 from aislelens.functions.timeline import slice_counted, with_position
 
 
@@ -151,34 +152,60 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def row_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """How many rows repeat an earlier one, over all columns or a subset."""
-    groups = df.groupBy(*(subset or df.columns)).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"))
+def _told(value: Column, kind: DataType) -> list[Column]:
+    """What a hash must see to tell a value from all others: Spark's hashes pass over NULLs, also inside of arrays."""
+    if isinstance(kind, MapType):
+        entries = F.array_sort(F.map_entries(value))
+        return _told(entries, ArrayType(StructType([StructField("key", kind.keyType), StructField("value", kind.valueType)])))
+    if isinstance(kind, ArrayType):
+        return [value.isNull(), F.size(value), F.transform(value, lambda x: F.xxhash64(*_told(x, kind.elementType)))]
+    if isinstance(kind, StructType):
+        return [value.isNull(), *[part for f in kind for part in _told(value.getField(f.name), f.dataType)]]
+    return [value.isNull(), value]
 
 
-def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles per column.
+def _fingerprint(df: DataFrame, columns: list[str], seed: int) -> Column:
+    """64 bits of a row."""
+    return F.xxhash64(F.lit(seed), *[part for c in columns for part in _told(F.col(f"`{c}`"), df.schema[c].dataType)])
+
 
-    Runs Spark jobs while it is defined: the quartiles are those of the rows at that time.
+#: Seeds of the fingerprints by which rows are grouped, and of those that tell different rows apart.
+GROUPED_BY, TOLD_BY = (0, 1), (2, 3)
+
+
+def row_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+    """How many rows repeat an earlier one, over all columns or a subset.
+
+    Rows are counted by a fingerprint of 128 bits, so what is shuffled does not grow with the
+    width of a row. A second, independent fingerprint tells whether different rows share the
+    first; only such rows, if there are any, are compared by all their columns.
     """
+    columns = subset or df.columns
+    keys = [f"_print{i}" for i in GROUPED_BY]
+    marked = df.withColumns({k: _fingerprint(df, columns, i) for k, i in zip(keys, GROUPED_BY)})
+    ends = {f"_{name}{i}": end(_fingerprint(df, columns, i)) for i in TOLD_BY for name, end in (("low", F.min), ("high", F.max))}
+    groups = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in ends.items()])
+    one_row = reduce(Column.__and__, [F.col(f"_low{i}") == F.col(f"_high{i}") for i in TOLD_BY])
+    alike = groups.filter(one_row).agg(F.sum(F.col("n") - 1).alias("n"))
+    shared = marked.join(groups.filter(~one_row).select(*keys), keys, "left_semi")
+    compared = shared.groupBy(*[f"`{c}`" for c in columns]).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("n"))
+    return alike.unionByName(compared).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_count"))
+
+
+def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles per column."""
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*[
         measure(F.col(c).cast("double")).alias(f"{name} {c}") for c in columns for name, measure in moments.items()
     ])
 
-    def line(column: str, quartiles: list[float | None]) -> Column:
-        return F.struct(
-            F.lit(column).alias("column_name"),
-            *[F.col(f"{name} {column}").alias(name) for name in moments],
-            *[F.lit(value).cast("double").alias(name) for name, value in zip(("q25", "q50", "q75"), quartiles)],
-        )
+    def line(column: str) -> Column:
+        return F.struct(F.lit(column).alias("column_name"), *[F.col(f"{name} {column}").alias(name) for name in moments])
 
-    # the quartiles are single numbers by now, found by exact distributed counting
-    found = quantiles_of_columns(df, columns, [0.25, 0.5, 0.75])
-    return wide.select(F.inline(F.array(*map(line, columns, found)))).select(
+    lines = wide.select(F.inline(F.array(*map(line, columns))))
+    return lines.join(quantiles(df, columns, [0.25, 0.5, 0.75]), "column_name", "left").select(
         "column_name", "count", *[N.half_up(c, 6).alias(c) for c in ("mean", "std")], "min",
-        *[N.half_up(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max",
+        *[N.half_up(q, 6).alias(c) for c, q in (("q25", "q0"), ("q50", "q1"), ("q75", "q2"))], "max",
     )
 
 

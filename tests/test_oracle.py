@@ -42,10 +42,9 @@ def test_same_as_sql_when_every_repeated_key_is_hot(spark, db, name, monkeypatch
     assert compare.differences(QUERIES[name](spark, SF), db, SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", ["rfm_ntile_segments", "iqr_inliers", "describe_numeric"])
-def test_same_as_sql_when_ranks_are_narrowed(spark, db, name, monkeypatch):
-    monkeypatch.setattr(order_statistics, "FEW_ROWS", 5)
-    monkeypatch.setattr(order_statistics, "BINS", 16)
+@pytest.mark.parametrize("name", ["rfm_ntile_segments", "iqr_inliers", "describe_numeric", "describe_delivery", "iqr_inliers_orders"])
+def test_same_as_sql_when_ranks_are_found_in_steps(spark, db, name, monkeypatch):
+    monkeypatch.setattr(order_statistics, "SMALL_BYTES", 0)
     assert compare.differences(QUERIES[name](spark, SF), db, SQL[name]) == []
 
 

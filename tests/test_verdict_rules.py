@@ -4,15 +4,15 @@ import datetime as dt
 import random
 import re
 from decimal import Decimal
-from math import inf, nan
 
 import pytest
 from pyspark.sql import functions as F
 
 from aislelens.functions import labels as L
-from aislelens.functions import numeric, order_statistics, timeline
+from aislelens.functions import numeric, timeline
 from aislelens.operators import cohort, customer, product, quality, sequence
 from aislelens.plans import catalog
+from aislelens.sources.retail import RetailTables
 
 START = dt.datetime(2024, 1, 1)
 ORDERS = "order_id bigint, customer_id bigint, order_date timestamp_ntz, order_total decimal(18,2)"
@@ -106,40 +106,12 @@ def test_products_without_a_value_rank_last(spark):
     assert {r.product_id: r.aov_rnk for r in got} == {2: 1, 1: 2, 0: 3}
 
 
-@pytest.mark.parametrize("few", [10**6, 3])
-def test_tiles_place_rows_without_value_last(spark, monkeypatch, few):
-    monkeypatch.setattr(order_statistics, "FEW_ROWS", few)
-    for n, missing, tiles in ((10, 5, 5), (3, 9, 4), (0, 4, 3), (7, 1, 3)):
-        rows = [(i, float(i * 3 % 7)) for i in range(n)] + [(100 + i, None) for i in range(missing)]
-        df = order_statistics.with_tiles(spark.createDataFrame(rows, "id int, v double"), tiles, {"v": "tile"}, "id")
-        ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
-        small, more = divmod(len(rows), tiles)
-        wanted, at = {}, 0
-        for t in range(tiles):
-            for r in ordered[at : at + small + (t < more)]:
-                wanted[r[0]] = t + 1
-            at += small + (t < more)
-        assert {r.id: r.tile for r in df.collect()} == wanted
-
-
-def test_quantiles_with_infinities_and_nan_do_not_gather_all_values(spark, monkeypatch):
-    monkeypatch.setattr(order_statistics, "FEW_ROWS", 10)
-    monkeypatch.setattr(order_statistics, "BINS", 64)
-    most = []
-    hits = order_statistics._hits
-    monkeypatch.setattr(order_statistics, "_hits", lambda counts, *a: most.append(counts.count()) or hits(counts, *a))
-    values = [float(i) for i in range(5000)] + [inf, -inf, nan]
-    random.Random(1).shuffle(values)
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = order_statistics.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
-    assert got[:4] == [-inf, 1249.5, 2500.0, 3750.5] and got[4] != got[4]
-    assert max(most) <= 4 * 66
-
-
-def test_frozen_jobs_are_no_views(spark):
-    with pytest.raises(ValueError, match="describe_numeric"):
-        catalog.register_views(None, ["describe_numeric"])
+def test_jobs_that_write_files_are_no_views(spark):
+    with pytest.raises(ValueError, match="load_append"):
+        catalog.register_views(None, ["load_append"])
     assert catalog.EAGER < set(catalog.JOBS) and catalog.NEED_RAW < set(catalog.JOBS)
+    catalog.register_views(RetailTables(spark, "/root/testdata/sf0.001"), ["rfm_ntile_segments", "describe_numeric"])
+    assert spark.sql("select count(*) from vw_describe_numeric").first()[0] == 3
 
 
 def test_null_and_key_violations(spark):
