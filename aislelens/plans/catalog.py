@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislelens.functions import labels as L
-from aislelens.operators import cleaning, cohort, customer, delivery, feedback, growth, product, quality, sequence
-from aislelens.sources import files
+from aislelens.operators import cleaning, cohort, customer, delivery, feedback, growth, product, quality, sequence, state
+from aislelens.sources import files, loads
 from aislelens.sources.retail import RetailTables
 
 Job = Callable[[RetailTables], DataFrame]
@@ -45,6 +45,38 @@ def _append_in_two_loads(t: RetailTables) -> DataFrame:
     return t.spark.read.parquet(target)
 
 
+def _loads_run_again(t: RetailTables) -> DataFrame:
+    """The feedback table after two loads of which one had run before, with other rows."""
+    target = files.shared_folder(t.spark, "feedback-loads")
+    negative = F.col("sentiment").eqNullSafe(L.NEGATIVE)
+    for name, rows in (("first", F.lit(True)), ("second", ~negative), ("first", negative)):
+        loads.load(t.feedback.filter(rows), target, name, partition_by=["feedback_year", "feedback_month"])
+    return loads.read_loads(t.spark, target).select(*FEEDBACK_COLUMNS, loads.LOAD)
+
+
+def _state_of_loads(t: RetailTables) -> DataFrame:
+    """The customers' state after two loads that share customers and months, the first of them run again."""
+    target = files.shared_folder(t.spark, "customer-state")
+    even = F.col("order_id") % 2 == 0
+    for name, rows in (("even", F.lit(True)), ("odd", ~even), ("even", even)):
+        state.add_load(t.orders.filter(rows), target, name)
+    return state.stored(t.spark, target)
+
+
+def _rejected_orders(t: RetailTables) -> DataFrame:
+    """What a load of an orders file with spoiled records rejects, and why."""
+    path, target = files.shared_folder(t.spark, "spoiled-csv"), files.shared_folder(t.spark, "orders-loads")
+    key = F.col("order_id")
+    spoiled = t.orders_raw.withColumns({
+        "customer_id": F.when(key % 101 != 0, F.col("customer_id")),
+        "order_total": F.when(key % 97 == 0, F.lit("n/a")).otherwise(F.col("order_total").cast("string")),
+    })
+    files.write_csv(spoiled, path)
+    loads.load_files(t.spark, path, ORDER_FILE_SCHEMA, target, "first", rejects=f"{target}-rejects", required=["order_id", "customer_id"])
+    rejected = loads.read_rejects(t.spark, f"{target}-rejects")
+    return rejected.select(F.substring_index("record", ",", 1).cast("bigint").alias("order_id"), "reason", loads.LOAD)
+
+
 def _dates_as_text(t: RetailTables) -> DataFrame:
     stamps = ["order_date", "promised_delivery_time", "actual_delivery_time"]
     text = t.orders_raw.select("order_id", *[F.col(c).cast("string").alias(c) for c in stamps])
@@ -101,7 +133,7 @@ def _event_values(t: RetailTables) -> DataFrame:
 
 
 def _propensity(t: RetailTables) -> DataFrame:
-    return sequence.next_category_propensity(t.orders, t.items, t.customers, t.products)
+    return sequence.next_category_propensity(t.timeline, t.items, t.customers, t.products)
 
 
 JOBS: dict[str, Job] = {
@@ -147,6 +179,8 @@ JOBS: dict[str, Job] = {
     ),
     "schema_evolution": _evolved_delivery,
     "load_append": _append_in_two_loads,
+    "load_repeated": _loads_run_again,
+    "load_rejects": _rejected_orders,
     "write_csv": _cleaned_to_csv,
     # data quality
     "row_counts": lambda t: quality.row_counts({
@@ -203,12 +237,14 @@ JOBS: dict[str, Job] = {
     "distinct_values": lambda t: quality.distinct_values(t.orders, "payment_method"),
     # cohorts
     "cohort_retention": lambda t: cohort.cohort_retention(t.orders),
+    "cohort_retention_by_loads": lambda t: cohort.retention_of(state.active_months(_state_of_loads(t))),
     "cohort_avg_retention": lambda t: cohort.cohort_avg_retention(t.orders),
     "cohort_avg_retention_two_digits": lambda t: cohort.cohort_avg_retention(t.orders, 2),
     "cohort_avg_retention_excl_100": lambda t: cohort.cohort_avg_retention_excl_100(t.orders),
     "cohort_month_change": lambda t: cohort.cohort_month_change(t.orders),
     # customer value
     "rfm_fixed_bins": lambda t: customer.rfm_fixed_bins(t.orders, t.customers),
+    "rfm_fixed_bins_by_loads": lambda t: customer.rfm_bins_of(_state_of_loads(t), t.customers),
     "rfm_lapsed_vs_active": lambda t: customer.rfm_lapsed_vs_active(customer.rfm_fixed_bins(t.orders, t.customers)),
     "rfm_ntile_segments": lambda t: customer.rfm_ntile_segments(t.orders, t.customers),
     "customer_lifetime_value": lambda t: customer.customer_lifetime_value(t.orders, t.customers, t.feedback),
@@ -218,6 +254,7 @@ JOBS: dict[str, Job] = {
     "customer_category_basket": lambda t: customer.customer_category_basket(
         t.orders, t.customers, t.items, t.products
     ),
+    "repeat_customer_pct_by_loads": lambda t: state.repeat_customer_pct(_state_of_loads(t)),
     "repeat_customer_pct": lambda t: customer.repeat_customer_pct(t.orders),
     "customer_negative_review_pct": lambda t: customer.customer_negative_review_pct(t.orders, t.feedback),
     "avg_negative_review_pct": lambda t: customer.avg_negative_review_pct(t.orders, t.feedback),
@@ -225,25 +262,25 @@ JOBS: dict[str, Job] = {
         t.orders, t.customers, t.items, t.products
     ),
     # purchase sequences
-    "next_product_symmetry": lambda t: sequence.next_product_symmetry(t.orders, t.items, t.customers, t.products),
+    "next_product_symmetry": lambda t: sequence.next_product_symmetry(t.timeline, t.items, t.customers, t.products),
     "next_category_propensity": _propensity,
     "next_category_top": lambda t: sequence.next_category_top(_propensity(t)),
-    "next_category_demand": lambda t: sequence.next_category_demand(t.orders, t.items, t.products),
-    "next_product_value": lambda t: sequence.next_product_value(t.orders, t.items, t.products, t.customers),
-    "next_category_value": lambda t: sequence.next_category_value(t.orders, t.items, t.products, t.customers),
-    "triple_repeat_product": lambda t: sequence.triple_repeat_product(t.orders, t.items, t.customers, t.products),
+    "next_category_demand": lambda t: sequence.next_category_demand(t.timeline, t.items, t.products),
+    "next_product_value": lambda t: sequence.next_product_value(t.timeline, t.items, t.products, t.customers),
+    "next_category_value": lambda t: sequence.next_category_value(t.timeline, t.items, t.products, t.customers),
+    "triple_repeat_product": lambda t: sequence.triple_repeat_product(t.timeline, t.items, t.customers, t.products),
     "same_product_gap": lambda t: sequence.same_product_gap(t.orders, t.customers, t.items, t.products),
     "product_reorder_gap": lambda t: sequence.product_reorder_gap(t.items, t.products, t.orders),
     # delivery
     "delivery_timing_feedback": lambda t: delivery.delivery_timing_feedback(t.feedback, t.orders),
     "hourly_delivery": lambda t: delivery.hourly_delivery(t.orders),
-    "late_penalty": lambda t: delivery.late_penalty(t.orders),
-    "churn_after_delivery": lambda t: delivery.churn_after_delivery(t.orders),
+    "late_penalty": lambda t: delivery.late_penalty(t.timeline),
+    "churn_after_delivery": lambda t: delivery.churn_after_delivery(t.timeline),
     "gap_flag_revenue": lambda t: delivery.gap_flag_revenue(t.orders),
     "late_rate_buckets": lambda t: delivery.late_rate_buckets(t.orders),
-    "revenue_leakage": lambda t: delivery.revenue_leakage(t.orders),
-    "delay_vs_next_value": lambda t: delivery.delay_vs_next_value(t.orders),
-    "recovered_delivery_pct": lambda t: delivery.recovered_delivery_pct(t.orders),
+    "revenue_leakage": lambda t: delivery.revenue_leakage(t.timeline),
+    "delay_vs_next_value": lambda t: delivery.delay_vs_next_value(t.timeline),
+    "recovered_delivery_pct": lambda t: delivery.recovered_delivery_pct(t.timeline),
     "area_delivery": lambda t: delivery.area_delivery(t.orders, t.customers, t.feedback),
     "hourly_delivery_feedback": lambda t: delivery.hourly_delivery_feedback(t.orders, t.customers, t.feedback),
     "delivery_by_distance_year": lambda t: delivery.delivery_by_distance_year(t.delivery),
@@ -261,7 +298,7 @@ JOBS: dict[str, Job] = {
     "negative_rank_frequency": lambda t: feedback.negative_rank_frequency(feedback.monthly_negative_rank(t.feedback)),
     "monthly_delivery_review": lambda t: feedback.monthly_delivery_review(t.orders, t.feedback),
     "monthly_feedback_ratio": lambda t: feedback.monthly_feedback_ratio(t.orders, t.feedback),
-    "churn_after_bad_review": lambda t: feedback.churn_after_bad_review(t.orders, t.feedback),
+    "churn_after_bad_review": lambda t: feedback.churn_after_bad_review(t.timeline, t.feedback),
     "bad_review_reasons": lambda t: feedback.bad_review_reasons(t.orders, t.feedback),
     "worst_category_per_month": lambda t: feedback.worst_category_per_month(t.orders, t.customers, t.feedback),
     "area_negative_feedback": lambda t: feedback.area_negative_feedback(t.orders, t.customers, t.feedback),
@@ -318,14 +355,14 @@ def run(name: str, spark: SparkSession, directory: str) -> DataFrame:
 
 
 #: Jobs that read files as delivered, or other tables than the six of ``ingest``.
-NEED_RAW = frozenset("""load_csv parse_dates order_enrich delivery_gap_flag calendar_parts normalise_text
+NEED_RAW = frozenset("""load_csv load_rejects parse_dates order_enrich delivery_gap_flag calendar_parts normalise_text
 normalise_delay_reason fill_missing_reason distance_flag_closed_bands distance_category_cumulative product_profit
 pk_violations dup_order_items null_profile row_duplicates row_duplicates_subset iqr_inliers dup_line_ship_dates
 later_event_times orphan_lines""".split())
 
-#: Jobs that run while they are defined; a view of them would be frozen.
-EAGER = frozenset("""load_csv write_csv load_append rfm_ntile_segments describe_numeric describe_delivery iqr_inliers
-iqr_inliers_orders""".split())
+#: Jobs that write files while they are defined; a view of them would be frozen.
+EAGER = frozenset("""load_csv write_csv load_append load_repeated load_rejects cohort_retention_by_loads rfm_fixed_bins_by_loads
+repeat_customer_pct_by_loads""".split())
 
 
 def register_views(tables: RetailTables, names: list[str], prefix: str = "vw_") -> None:

@@ -78,6 +78,15 @@ SQL = {
     "load_append": query(
         "select feedback_id, order_id, customer_id, rating, feedback_category, sentiment, feedback_date from r_feedback"
     ),
+    "load_repeated": query(
+        "select feedback_id, order_id, customer_id, rating, feedback_category, sentiment, feedback_date, "
+        "case when sentiment = 'negative' then 'first' else 'second' end as load_id from r_feedback"
+    ),
+    "load_rejects": query(
+        "select order_id, concat_ws('; ', case when order_id % 101 = 0 then 'customer_id is missing' end, "
+        "case when order_id % 97 = 0 then 'order_total is no double: n/a' end) as reason, 'first' as load_id "
+        "from r_orders where order_id % 101 = 0 or order_id % 97 = 0"
+    ),
     "write_csv": query(
         "select order_id, delivery_partner_id, promised_time, actual_time, delivery_time_minutes, distance_km, "
         "delivery_status, reasons_if_delayed, "
