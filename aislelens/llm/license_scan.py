@@ -9,7 +9,10 @@ other are merged, and the words of each merged span are compared with the templa
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,9 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+#: Whole texts of licenses, with their public origin.
+TEXTS_FILE = Path(__file__).with_name("licenses.txt")
+
 #: Words in a gram: phrases are found by pairs, notices by five words.
 PHRASE_GRAM, NOTICE_GRAM = 2, 5
 #: Diagonals of one notice that are at most so far apart belong together (words left out or put in).
@@ -98,7 +104,8 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
 def _text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [i, j) at a time: their lower-cased bytes and where each text begins in them."""
     column = pc.fill_null(column, b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
@@ -107,6 +114,12 @@ def _text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         i = j
 
 
+def whole_texts(file: Path = TEXTS_FILE) -> list[tuple[str, str]]:
+    """(label, text) of every license in a file: lines beginning with ``== `` name them."""
+    _, *parts = re.split(r"^== (\S+).*$", file.read_text(encoding="utf-8"), flags=re.M)
+    return list(zip(parts[::2], parts[1::2]))
+
+
 def _rolling(known: np.ndarray):
     """Every document's pair hashes, five-word hashes and end mark; the text goes along if a gram is ``known``."""
 
@@ -142,7 +155,7 @@ def _rolling(known: np.ndarray):
 def _templates(phrases: dict[str, str], notices: list[tuple[str, str]]) -> list[tuple[str, list[bytes], int]]:
     """(label, words, words in a gram) of every phrase, then of every notice."""
     texts = [(label, text, PHRASE_GRAM) for text, label in phrases.items()] + [(l, t, NOTICE_GRAM) for l, t in notices]
-    out = [(label, _WORD.findall(text.encode()), k) for label, text, k in texts]
+    out = [(label, _WORD.findall(text.encode().lower()), k) for label, text, k in texts]
     if short := [label for label, words, k in out if len(words) < k]:
         raise ValueError(f"templates shorter than their grams: {short}")
     return out
@@ -160,7 +173,24 @@ def _template_grams(templates: list) -> list[tuple[int, int, int]]:
 
 # ---- verification --------------------------------------------------------------------
 
-def _verify(body: bytes | None, spans: list, templates: list, slack: int) -> tuple:
+class Wanted(NamedTuple):
+    """A template ready to be compared: its words, each with the places where it stands as bits."""
+
+    label: str
+    words: list[bytes]
+    gram: int
+    counts: Counter
+    places: dict[bytes, int]
+
+
+def _wanted(label: str, words: list[bytes], gram: int) -> Wanted:
+    places: dict[bytes, int] = {}
+    for i, word in enumerate(words):
+        places[word] = places.get(word, 0) | 1 << i
+    return Wanted(label, words, gram, Counter(words), places)
+
+
+def _verify(body: bytes | None, spans: list, templates: list[Wanted], slack: int) -> tuple:
     """Compare every span's words with its template; count the base places.
 
     ``low`` and ``high`` are the first and last diagonal, where the template would begin. All
@@ -171,43 +201,49 @@ def _verify(body: bytes | None, spans: list, templates: list, slack: int) -> tup
     words = _WORD.findall(body)
     n, first, last, base, labels, score = 0, None, None, set(), set(), 0.0
     for span in spans:
-        label, wanted, k = templates[span["template"]]
-        low, high = span["low"], span["high"]
-        if k == PHRASE_GRAM:
-            if words[low : low + len(wanted)] == wanted:
+        template = templates[span["template"]]
+        low, high, size = span["low"], span["high"], len(template.words)
+        if template.gram == PHRASE_GRAM:
+            if words[low : low + size] == template.words:
                 n, first, last = n + 1, min(low, low if first is None else first), max(low, low if last is None else last)
-                base.add(label)
+                base.add(template.label)
                 score = 1.0
             continue
-        cover = _in_order(wanted, words[max(0, low - slack) : high + len(wanted) + slack]) / len(wanted)
+        near = words[max(0, low - slack) : high + size + slack]
+        if (Counter(near) & template.counts).total() < MIN_COVER * size:
+            continue  # too few of its words, in whatever order
+        cover = _in_order(template, near) / size
         if cover >= MIN_COVER:
-            labels.add(label)
+            labels.add(template.label)
             score = max(score, cover)
     return n, first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
-def _in_order(wanted: list[bytes], words: list[bytes]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(wanted) + 1)
+def _in_order(template: Wanted, words: list[bytes]) -> int:
+    """Length of the longest common subsequence; a bit for each word of the template, all at once."""
+    everything = (1 << len(template.words)) - 1
+    open_places = everything
     for word in words:
-        corner = 0
-        for i, other in enumerate(wanted, 1):
-            corner, row[i] = row[i], corner + 1 if other == word else max(row[i], row[i - 1])
-    return row[-1]
+        if hits := open_places & template.places.get(word, 0):
+            open_places = ((open_places + hits) | (open_places - hits)) & everything
+    return len(template.words) - open_places.bit_count()
 
 
 def scan(
-    docs: DataFrame, *, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, slack: int = SLACK,
+    docs: DataFrame, *, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] | None = None, slack: int = SLACK,
 ) -> DataFrame:
     """License mentions of every document, one row per input row.
 
     Columns: doc_id, n_words, n_base (places where a phrase stands), first_word, last_word
     (their smallest and largest start), base_labels, labels (phrases and notices; sorted,
     comma-joined), score (share of the best match's words, 0 without one). Null text is
-    empty; repeated rows are separate documents.
+    empty; repeated rows are separate documents. ``notices`` are ``NOTICES`` and the whole
+    license texts of ``TEXTS_FILE`` unless given; a text or notice counts if a span holds
+    ``MIN_COVER`` of its words in their order.
     """
     spark: SparkSession = docs.sparkSession
-    templates = _templates(phrases, notices)
+    templates = _templates(phrases, [*NOTICES, *whole_texts()] if notices is None else notices)
+    wanted = [_wanted(*t) for t in templates]
     rows = _template_grams(templates)
     known = np.unique(np.array([r[0] for r in rows[1:]], np.int64).view(np.uint64))
     grams = spark.createDataFrame(rows, "gram bigint, template int, place int")
@@ -248,7 +284,7 @@ def scan(
 
     @F.pandas_udf(FOUND)
     def verified(bodies: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        found = [_verify(b, s, templates, slack) for b, s in zip(bodies, spans)]
+        found = [_verify(b, s, wanted, slack) for b, s in zip(bodies, spans)]
         out = pd.DataFrame(found, columns=["n_base", "first_word", "last_word", "base_labels", "labels", "score"])
         return out.astype({"first_word": "Int64", "last_word": "Int64"})
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -75,6 +76,53 @@ def test_a_changed_word_in_running_text(spark):
     assert [(r.labels, r.score) for r in rows] == [("mpl", 13 / 14)] * 2
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for i, y in enumerate(b, 1):
+            corner, row[i] = row[i], corner + 1 if x == y else max(row[i], row[i - 1])
+    return row[-1]
+
+
+def test_common_subsequences_by_bits():
+    draw = random.Random(2)
+    for _ in range(200):
+        a, b = ([draw.choice([b"a", b"b", b"c", b"d"]) for _ in range(draw.randrange(1, 90))] for _ in range(2))
+        assert license_scan._in_order(license_scan._wanted("x", a, 5), b) == subsequence(a, b)
+
+
+def test_whole_license_texts_are_found(spark):
+    """As they are, with lines wrapped and words changed; a part of one is not the whole."""
+    texts = license_scan.whole_texts()
+    assert len(texts) >= 11 and {"mit-text", "apache-text"} <= {label for label, _ in texts}
+    draw = random.Random(5)
+    rows, wanted = [], []
+    for label, text in texts:
+        words = text.split()
+        changed = [draw.choice(["foo", w]) if draw.random() < 0.1 else w for w in words]
+        around = ["prose"] * 300
+        for body in (text, " ".join([*around, *words, *around]), "\n * ".join([*around, *changed])):
+            rows.append((len(rows), body))
+            wanted.append(label)
+        if len(words) > 100:
+            rows.append((len(rows), " ".join(words[: len(words) // 2])))
+            wanted.append(None)
+    found = sorted(license_scan.scan(documents(spark, rows)).collect(), key=lambda r: r.doc_id)
+    for r, label, (_, body) in zip(found, wanted, rows):
+        own = {x for x in r.labels.split(",") if x.endswith("-text")}
+        assert label in r.labels.split(",") if label else not own, (label, r.labels, body[:80])
+
+
+def test_large_arrow_types(spark):
+    before = found(license_scan.scan(documents(spark, AWKWARD)).collect())
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert found(license_scan.scan(documents(spark, AWKWARD)).collect()) == before
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
 def test_empty_table(spark):
     assert license_scan.scan(documents(spark, [(1, "a")]).limit(0)).count() == 0
 
