@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislelens.llm.prefix import row_identity, seeded_order, seeded_slices, with_prefix, word_count
@@ -45,19 +45,14 @@ def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-LOOKUP = "n_words bigint, group int, bucket_words bigint, room int, batches_before bigint"
-
-
-def _lookup(histogram: dict[int, int], bounds: list[int], batch_words: int) -> list[tuple]:
-    """For every length that occurs its bucket (-1 for no words), padded length, pieces in a batch and batches of the buckets before."""
-    rows, batches, low = [(0, -1, None, 1, 0)], 0, 0
-    for i, bound in enumerate(bounds):
-        inside = [l for l in histogram if low < l <= bound]
-        held = max(1, batch_words // bound)
-        rows += [(l, i, bound, held, batches) for l in inside]
-        batches += -(-sum(histogram[l] for l in inside) // held)
+def _batches_before(histogram: dict[int, int], bounds: list[int], batch_words: int) -> list[int]:
+    """For every bucket the batches of the buckets before it, and those of all."""
+    before, low = [0], 0
+    for bound in bounds:
+        pieces = sum(n for l, n in histogram.items() if low < l <= bound)
+        before.append(before[-1] - (-pieces // max(1, batch_words // bound)))
         low = bound
-    return rows
+    return before
 
 
 def pack(
@@ -74,7 +69,6 @@ def pack(
 
     The histogram over all rows has at most ``max_words`` entries; it alone reaches the driver.
     """
-    spark = docs.sparkSession
     words = docs.select("doc_id", row_identity().alias("identity"), word_count("text").alias("words"))
     last = F.floor(F.greatest(F.col("words") - 1, F.lit(0)) / max_words)
     pieces = words.select("doc_id", "identity", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
@@ -87,9 +81,17 @@ def pack(
     histogram = {r.n_words: r.n for r in pieces.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
     bounds = bucket_bounds(histogram, buckets)
 
-    facts = spark.createDataFrame(_lookup(histogram, bounds, batch_words), LOOKUP)  # one row per length
-    sorted_in = pieces.join(F.broadcast(facts), "n_words").withColumn("one", F.lit(1))
+    before = _batches_before(histogram, bounds, batch_words)
+
+    def listed(values: list[int]) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("bigint") for v in values or [0]]), F.col("group"))  # null outside of the buckets
+
+    below = F.filter(F.array(*[F.lit(b) for b in bounds or [0]]), lambda b: b < F.col("n_words"))
+    sorted_in = pieces.withColumns({"group": F.when(F.col("n_words") > 0, F.size(below)).otherwise(-1), "one": F.lit(1)})
     placed = with_prefix(sorted_in, ["group"], ["slice", "coarse"], ["order", "n_words"], {"row": "one"})
+    placed = placed.withColumns({
+        "bucket_words": listed(bounds), "room": listed([max(1, batch_words // b) for b in bounds]), "batches_before": listed(before),
+    })
     packed = F.col("group") >= 0
     return placed.select(
         "doc_id", "piece", "first_word", "n_words", F.when(packed, F.col("group")).alias("bucket"), "bucket_words",

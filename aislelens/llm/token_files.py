@@ -266,7 +266,12 @@ class TokenReader:
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    """The file system of a folder as Spark names it, and the folder's path there."""
+    if folder.startswith("file:"):
+        folder = "file://" + folder.removeprefix("file:").removeprefix("//")
+    elif "://" not in folder:
+        folder = f"file://{os.path.abspath(folder)}"
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
 
 
 # ---- Spark -----------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+import zstandard
 from frames import AWKWARD, documents
 
 from aislelens.llm import language, queries
@@ -45,6 +46,31 @@ def test_empty_and_unlabelled_tables(spark):
     assert [r.lang_pred for r in language.identify(documents(spark, [(1, "some text")])).collect()] == ["und"]
 
 
+def test_decisions_by_plain_compression(spark):
+    """Sizes by an independent loop over one small model: smallest wins, narrow margins are rejected."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(frame.filter(~language.held_out()), dictionary_bytes=4_000)
+    rows = frame.select("text", language.predict(spark, model, language.F.col("text")).alias("p")).collect()
+
+    def size(words, content):
+        total = 0
+        for i in range(0, len(words), language.BLOCK_BYTES):
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            plain = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += len(plain.compress(words[i : i + language.BLOCK_BYTES]))
+        return total
+
+    for r in rows[::7]:
+        words = language.normalise(r.text).encode() if r.text else b""
+        if not words:
+            assert (r.p.lang_pred, r.p.rejected) == ("und", True)
+            continue
+        sizes = {l: size(words, c) for l, c in model.dictionaries.items()}
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[r.p.lang_pred] == first and r.p.margin == pytest.approx((second - first) / first)
+        assert r.p.rejected == ((second - first) / first < language.MIN_MARGIN)
+
+
 def test_equal_dictionaries_are_rejected(spark):
     docs = documents(spark, [(i, WORDS["en"], ("en", "fr")[i % 2]) for i in range(30)])
     assert all(r.rejected and r.margin == 0 for r in language.identify(docs).collect())

@@ -135,5 +135,11 @@ def test_awkward_rows(spark, tokenizer, tmp_path):
     assert sorted(back) == sorted((i, ids_of(tokenizer, t)) for i, t in rows if i in (1, 7, 8))
 
 
+def test_folders_as_spark_names_them(tmp_path):
+    for name in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        system, path = token_files.open_folder(name)
+        assert path == str(tmp_path) and system.type_name == "local"
+
+
 def test_empty_table(spark):
     assert token_files.token_digests(documents(spark, [(1, "a")]).limit(0)).count() == 0
