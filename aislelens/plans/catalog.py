@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislelens.functions import labels as L
-from aislelens.operators import cleaning, cohort, customer, delivery, feedback, growth, product, quality, sequence, state
+from aislelens.operators import cleaning, cohort, customer, delivery, feedback, growth, new_load, product, quality, sequence, state
 from aislelens.sources import files, loads
 from aislelens.sources.retail import RetailTables
 
@@ -63,6 +63,25 @@ def _state_of_loads(t: RetailTables) -> DataFrame:
     return state.stored(t.spark, target)
 
 
+ORDER_PARTITION = ["order_year", "order_month"]
+FILTER_PIECES = 4
+
+
+def _repeats_of_new_orders(t: RetailTables) -> DataFrame:
+    """Orders of a new load that the stored ones have already; months without a hit are not read."""
+    key, stored = F.col("order_id"), t.orders.filter("order_id % 5 <> 0")
+    filters = new_load.key_filters(stored, ["order_id"], ORDER_PARTITION, FILTER_PIECES)
+    return new_load.repeated_keys(t.orders.filter(key % 7 == 0), stored, ["order_id"], filters, ORDER_PARTITION, FILTER_PIECES)
+
+
+def _items_of_unknown_orders(t: RetailTables) -> DataFrame:
+    """References of a new load of items to orders that were not loaded, with their rows."""
+    stored = t.orders.filter("order_id % 5 <> 0")
+    filters = new_load.key_filters(stored, ["order_id"], ORDER_PARTITION, FILTER_PIECES)
+    new_items = t.items.filter("order_id % 3 = 0")
+    return new_load.unknown_references(new_items, "order_id", stored, "order_id", filters, ORDER_PARTITION, FILTER_PIECES)
+
+
 def _rejected_orders(t: RetailTables) -> DataFrame:
     """What a load of an orders file with spoiled records rejects, and why."""
     path, target = files.shared_folder(t.spark, "spoiled-csv"), files.shared_folder(t.spark, "orders-loads")
@@ -181,6 +200,8 @@ JOBS: dict[str, Job] = {
     "load_append": _append_in_two_loads,
     "load_repeated": _loads_run_again,
     "load_rejects": _rejected_orders,
+    "new_load_repeats": _repeats_of_new_orders,
+    "new_load_unknown": _items_of_unknown_orders,
     "write_csv": _cleaned_to_csv,
     # data quality
     "row_counts": lambda t: quality.row_counts({
@@ -190,6 +211,10 @@ JOBS: dict[str, Job] = {
     "orphan_orders": lambda t: quality.orphan_orders(
         t.orders.select("order_id", "customer_id", "order_date", "payment_method"), t.customers, t.feedback
     ),
+    "orphan_orders_of_known_parts": lambda t: quality.orphan_orders(
+        t.orders.select("order_id", "customer_id", "order_date", "payment_method"),
+        t.customers.filter("customer_id % 3 <> 0"), t.feedback.filter("order_id % 2 = 0"),
+    ),
     "fk_violations": _foreign_keys,
     "dup_orders": lambda t: quality.duplicate_rank(t.orders, "order_id", "order_date", ["customer_id"]),
     "dup_customers": lambda t: quality.duplicate_rank(
@@ -204,6 +229,9 @@ JOBS: dict[str, Job] = {
     "dup_customer_orders": lambda t: quality.dup_customer_orders(t.orders, t.customers),
     "dup_order_items": lambda t: quality.repeated_keys(_lines_as_stored(t), ["order_id", "product_id"]),
     "dup_products": lambda t: quality.repeated_keys(t.products, ["product_id", "product_name", "category"]),
+    "dup_products_of_two_lists": lambda t: quality.repeated_keys(
+        t.products.unionByName(t.products.filter("product_id % 4 = 0")), ["product_id", "product_name", "category"]
+    ),
     "feedback_cardinality": lambda t: quality.feedback_cardinality(t.feedback),
     "range_check_distance": lambda t: quality.range_checks(
         t.delivery.select("order_id", "distance_km"), "distance_km", 0, 5
@@ -212,6 +240,7 @@ JOBS: dict[str, Job] = {
         t.delivery.select("order_id", "delivery_time_minutes"), "delivery_time_minutes", low=-5
     ),
     "range_check_rating": lambda t: quality.range_checks(t.feedback.select("feedback_id", "rating"), "rating", 0, 5),
+    "range_check_rating_narrow": lambda t: quality.range_checks(t.feedback.select("feedback_id", "rating"), "rating", 2, 4),
     "null_profile": lambda t: quality.null_profile(t.delivery_raw),
     "row_duplicates": lambda t: quality.row_duplicates(_lines_as_stored(t)),
     "row_duplicates_subset": lambda t: quality.row_duplicates(_lines_as_stored(t), ["order_id", "line_number"]),
@@ -360,9 +389,9 @@ normalise_delay_reason fill_missing_reason distance_flag_closed_bands distance_c
 pk_violations dup_order_items null_profile row_duplicates row_duplicates_subset iqr_inliers dup_line_ship_dates
 later_event_times orphan_lines""".split())
 
-#: Jobs that write files while they are defined; a view of them would be frozen.
+#: Jobs that write files, or look up which partitions to read, while they are defined; a view of them would be frozen.
 EAGER = frozenset("""load_csv write_csv load_append load_repeated load_rejects cohort_retention_by_loads rfm_fixed_bins_by_loads
-repeat_customer_pct_by_loads""".split())
+repeat_customer_pct_by_loads new_load_repeats new_load_unknown""".split())
 
 
 def register_views(tables: RetailTables, names: list[str], prefix: str = "vw_") -> None:

@@ -82,6 +82,13 @@ SQL = {
         "select feedback_id, order_id, customer_id, rating, feedback_category, sentiment, feedback_date, "
         "case when sentiment = 'negative' then 'first' else 'second' end as load_id from r_feedback"
     ),
+    "new_load_repeats": query(
+        "select order_id, cast(1 as bigint) as in_load, cast(1 as bigint) as in_table from r_orders where order_id % 7 = 0 and order_id % 5 <> 0"
+    ),
+    "new_load_unknown": query(
+        "select order_id, count(*) as \"rows\" from r_items where order_id % 3 = 0 and order_id not in "
+        "(select order_id from r_orders where order_id % 5 <> 0) group by order_id"
+    ),
     "load_rejects": query(
         "select order_id, concat_ws('; ', case when order_id % 101 = 0 then 'customer_id is missing' end, "
         "case when order_id % 97 = 0 then 'order_total is no double: n/a' end) as reason, 'first' as load_id "

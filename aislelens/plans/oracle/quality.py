@@ -85,6 +85,15 @@ SQL = {
         "select l_orderkey as order_id, l_partkey as product_id, count(*) as n from lineitem "
         "group by all having count(*) > 1"
     ),
+    "orphan_orders_of_known_parts": query(
+        "select order_id, customer_id, order_date, lower(payment_method) as payment_method from r_orders o where not exists "
+        "(select 1 from r_customers c where c.customer_id = o.customer_id and c.customer_id % 3 <> 0) and not exists "
+        "(select 1 from r_feedback f where f.order_id = o.order_id and f.order_id % 2 = 0)"
+    ),
+    "dup_products_of_two_lists": query(
+        "select product_id, product_name, category, cast(2 as bigint) as n from r_products where product_id % 4 = 0"
+    ),
+    "range_check_rating_narrow": query("select feedback_id, rating from r_feedback where rating < 2 or rating > 4"),
     "dup_products": query(
         "select product_id, product_name, category, count(*) as n from r_products group by all having count(*) > 1"
     ),
