@@ -264,7 +264,8 @@ def iqr_inliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     q1, q3 = F.col("q1"), F.col("q3")
     limited = with_quantiles(df, column, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", q3 - q1)
     limited = limited.withColumns({"lower_bound": q1 - k * F.col("iqr"), "upper_bound": q3 + k * F.col("iqr")})
-    return limited.filter((F.col(column) > F.col("lower_bound")) & (F.col(column) < F.col("upper_bound")))
+    inside = limited.filter((F.col(column) > F.col("lower_bound")) & (F.col(column) < F.col("upper_bound")))
+    return inside.select(*[F.col(f"`{c}`") for c in df.columns], "q1", "q3", "lower_bound", "upper_bound", "iqr")
 
 
 def category_avg_mrp(products: DataFrame) -> DataFrame:
