@@ -1,9 +1,9 @@
 """Key checks of a new load against a stored table, reading only the partitions that may matter.
 
 For every partition of the stored table a Bloom filter of its keys is kept, as rows of a table: one
-bitmap of 32,768 bits per piece of the filter. Filters of several loads merge by OR. A new load's
-keys are looked up in all filters; only partitions with a hit are read, and the hits are
-checked there exactly.
+row per block of 512 bits, and a key's bits lie all in one block. Filters of several loads merge
+by OR. A new load's keys are looked up in all filters; only partitions with a hit are read, and the
+hits are checked there exactly.
 """
 
 from __future__ import annotations
@@ -13,53 +13,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of one bitmap, as Spark's bitmap functions build them; bits that a key sets.
-PIECE, HASHES = 32_768, 7
+#: Bits of one piece of a filter, by which its size is given.
+PIECE = 32_768
+#: A block's words and the bits of each; a key sets one bit in every word of its block.
+WORDS, BITS = 8, 64
 #: Bits per key with which some one in a hundred unknown keys hits by chance.
 BITS_PER_KEY = 10
 
 
 def pieces_for(keys: int) -> int:
-    """Bitmaps of a filter for so many keys in one partition."""
+    """Pieces of a filter for so many keys in one partition."""
     return max(1, -(-keys * BITS_PER_KEY // PIECE))
 
 
-def _bits(key: list[str], pieces: int) -> Column:
-    """The places of a key in a filter: each hash takes another one."""
-    places = [F.pmod(F.xxhash64(F.lit(i), *key), F.lit(pieces * PIECE)) for i in range(HASHES)]
-    return F.array(*[F.struct(F.floor(p / PIECE).alias("piece"), (p % PIECE).alias("bit")) for p in places])
+def _block(key: list[str], pieces: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), *key), F.lit(pieces * PIECE // (WORDS * BITS)))
+
+
+def _bit(places: str, word: int) -> Column:
+    """The bit of a word that a key sets: six bits of its hash."""
+    return F.shiftright(places, 6 * word).bitwiseAND(F.lit(BITS - 1)).cast("int")
+
+
+def _words(of_word) -> list[Column]:
+    return [of_word(w).alias(f"word_{w}") for w in range(WORDS)]
 
 
 def key_filters(table: DataFrame, key: list[str], partition: list[str], pieces: int) -> DataFrame:
-    """Bloom filters of a table's keys: the partition columns, piece, bitmap.
+    """Bloom filters of a table's keys: the partition columns, block, the block's words.
 
-    Bits are collected on the map side; a partition's filter is at most ``pieces`` rows however
+    Keys are combined on the map side; a partition's filter is at most 64 rows per piece however
     many rows it has. All filters that are to merge or to be searched together need the same
     number of pieces. Rows with a NULL in the key are no keys.
     """
     known = table.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in key]))
-    bits = known.select(*partition, F.explode(_bits(key, pieces)).alias("at"))
-    return bits.groupBy(*partition, F.col("at.piece").alias("piece")).agg(F.bitmap_construct_agg(F.col("at.bit")).alias("bitmap"))
+    hashed = known.select(*partition, _block(key, pieces).alias("block"), F.xxhash64(F.lit(1), *key).alias("places"))
+    return hashed.groupBy(*partition, "block").agg(
+        *_words(lambda w: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit("places", w))))
+    )
 
 
 def merged_filters(filters: DataFrame, partition: list[str]) -> DataFrame:
     """Filters of several loads as one per partition."""
-    return filters.groupBy(*partition, "piece").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-
-
-def _is_set(bitmap: str, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (bit % 8).cast("int")) == 1
+    return filters.groupBy(*partition, "block").agg(*_words(lambda w: F.bit_or(f"word_{w}")))
 
 
 def possible_partitions(new_keys: DataFrame, key: list[str], filters: DataFrame, partition: list[str], pieces: int) -> DataFrame:
     """Keys with the partitions that may hold them: all that do, and by chance a few others.
 
-    A key meets every partition's bitmap of its first place, then its other places are looked up for those that hit.
+    A key meets its own block of every partition, and the bits are tested within that join: only hits become rows.
     """
-    wanted = new_keys.select(*key, F.posexplode(_bits(key, pieces)).alias("no", "at")).select(*key, "no", "at.piece", "at.bit")
-    hits = wanted.join(filters, "piece").filter(_is_set("bitmap", F.col("bit")))
-    return hits.groupBy(*key, *partition).agg(F.count_distinct("no").alias("hits")).filter(F.col("hits") == HASHES).drop("hits")
+    wanted = new_keys.select(*key, _block(key, pieces).alias("block"), F.xxhash64(F.lit(1), *key).alias("places"))
+    is_set = [F.getbit(f"word_{w}", _bit("places", w)) == 1 for w in range(WORDS)]
+    return wanted.join(filters, "block").filter(reduce(Column.__and__, is_set)).select(*key, *partition).distinct()
 
 
 def _only(table: DataFrame, partition: list[str], partitions: list[tuple]) -> DataFrame:

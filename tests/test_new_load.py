@@ -75,3 +75,29 @@ def test_keys_of_two_columns_and_empty_tables(spark, stored):
     none = new_load.key_filters(table.limit(0), ["order_id", "line"], PART, pieces)
     assert new_load.repeated_keys(new, table.limit(0), ["order_id", "line"], none, PART, pieces).count() == 0
     assert new_load.repeated_keys(new.limit(0), table, ["order_id", "line"], filters, PART, pieces).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_hits_become_rows(spark, stored):
+    """A row per key, place and partition made the lookup many times the tables, most of all in filters that are full."""
+    _, filters, pieces = stored
+    new = spark.range(100_000, 103_000).withColumnRenamed("id", "order_id")
+    hits = new_load.possible_partitions(new.unionByName(new), ["order_id"], filters, PART, pieces)
+    joins = [line for line in _plan(hits).splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and joins[0].count("getbit") == new_load.WORDS and "Generate" not in _plan(hits)
+    assert hits.count() < 3000 * 12 / 20
+
+
+def test_full_filters_lose_no_key(spark, stored):
+    table, _, _ = stored
+    many = spark.range(60_000).select(F.col("id").alias("order_id"), F.lit(2020).alias("y"), (F.col("id") % 2).cast("int").alias("m"))
+    filters = new_load.key_filters(many, ["order_id"], PART, 1)
+    assert "Generate" not in _plan(filters)
+    assert filters.count() <= 2 * 64
+    new = spark.range(0, 70_000, 7).withColumnRenamed("id", "order_id")
+    assert new_load.repeated_keys(new, many, ["order_id"], filters, PART, 1).count() == len(range(0, 60_000, 7))
+    unknown = new_load.unknown_references(new, "order_id", many, "order_id", filters, PART, 1)
+    assert {r.order_id for r in unknown.collect()} == {*range(0, 70_000, 7)} - {*range(60_000)}
