@@ -69,11 +69,15 @@ def possible_partitions(new_keys: DataFrame, key: list[str], filters: DataFrame,
 
 
 def _only(table: DataFrame, partition: list[str], partitions: list[tuple]) -> DataFrame:
-    """The table's rows in some partitions, as a filter that reaches the list of its files."""
+    """The table's rows in some partitions, as a filter that reaches the list of its files.
+
+    A row's partition is found in a set, so the test costs the same however many partitions are read.
+    """
     if not partitions:
         return table.filter(F.lit(False))
-    tests = [reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(partition, p)]) for p in partitions]
-    return table.filter(reduce(Column.__or__, tests))
+    types = [table.schema[c].dataType for c in partition]
+    wanted = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(partition, p, types)]) for p in partitions]
+    return table.filter(F.struct(*partition).isin(wanted))
 
 
 def repeated_keys(new: DataFrame, stored: DataFrame, key: list[str], filters: DataFrame, partition: list[str], pieces: int) -> DataFrame:

@@ -101,3 +101,16 @@ def test_full_filters_lose_no_key(spark, stored):
     assert new_load.repeated_keys(new, many, ["order_id"], filters, PART, 1).count() == len(range(0, 60_000, 7))
     unknown = new_load.unknown_references(new, "order_id", many, "order_id", filters, PART, 1)
     assert {r.order_id for r in unknown.collect()} == {*range(0, 70_000, 7)} - {*range(60_000)}
+
+
+def test_partitions_are_tested_once_a_row_and_may_be_null(spark):
+    rows = [(i, None if i % 5 == 0 else 2000 + i % 5, None if i % 7 == 0 else i % 7) for i in range(1, 200)]
+    table = spark.createDataFrame(rows, "order_id bigint, y int, m int")
+    some = [(None, None), (None, 3), (2001, None), *[(2002, m) for m in range(1, 7)], *[(2003, m) for m in range(1, 7)]]
+    read = new_load._only(table, PART, some)
+    assert {r.order_id for r in read.collect()} == {i for i, y, m in rows if (y, m) in some}
+    derived = table.select("order_id", F.abs("y").alias("y"), "m")
+    assert _plan(new_load._only(derived, PART, some)).split("\n")[1].count("abs(") == 1
+    filters = new_load.key_filters(table, ["order_id"], PART, 1)
+    new = spark.createDataFrame([(i,) for i in range(150, 250)], "order_id bigint")
+    assert new_load.repeated_keys(new, table, ["order_id"], filters, PART, 1).count() == 50
