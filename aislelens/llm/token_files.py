@@ -59,12 +59,25 @@ class DamagedFile(ValueError):
 #: Where white space begins after another character. Words of a byte-level vocabulary hold a
 #: space at most at their beginning, so none reaches over such a place and texts can be cut there.
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-#: A space at an end of the text or beside other white space.
+#: A space at an end of the text or beside other white space; white space other than spaces and line ends (ASCII, all).
 _ODD_SPACE = re.compile(r" (?:(?<=\s )|(?=\s|\Z))|\A ")
+_RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_RARE_ASCII = [c for c in _RARE_SPACES if c.isascii()]
 #: Pieces that are one word of the vocabulary's rules (Latin letters or digits; others are left to
-#: its own rules), a word and then a sign, and a line's end before a word.
+#: its own rules), a word and then signs (no apostrophe, which may begin a word), and a line's end before these.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
-_WORD, _SIGN_AFTER_WORD, _WORD_OF_LINE = re.compile(f" ?(?:{_LETTERS}|[0-9]+)"), re.compile(f" ?{_LETTERS}[.,;:!?]"), re.compile(f"\n{_LETTERS}")
+_SIGNS = r"[!-&(-/:;=?@\[-`{-~]"
+_WORD, _SIGNS_AFTER_WORD = re.compile(f" ?(?:{_LETTERS}|[0-9]+)"), re.compile(f"( ?{_LETTERS})({_SIGNS}+)")
+_WORD_OF_LINE = re.compile(f"\n{_LETTERS}{_SIGNS}*")
+#: What these pieces can hold; an added token of nothing else could lie in one.
+_IN_WORDS = re.compile(f"(?:{_LETTERS}|[0-9]|{_SIGNS})+")
+
+
+def has_odd_space(text: str) -> bool:
+    """Whether ``_ODD_SPACE`` finds something; searched by plain strings, as most texts have no other white space."""
+    if any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE_SPACES)):
+        return bool(_ODD_SPACE.search(text))
+    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
 
 
 def _byte_letters() -> dict[int, str]:
@@ -117,32 +130,41 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.end = self._packed([end_id])
         self.cut = can_be_cut(vocabulary)
+        self.known_words = not any(_IN_WORDS.fullmatch(t["content"]) for t in json.loads(vocabulary)["added_tokens"])
         self.letters = _byte_letters()
         self.pieces = Pieces(self._piece)
-        self.after_space = Pieces(lambda rest: self._piece(" " + rest))
+        self.after_space = Pieces(self._piece_after_space)
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def _word(self, written: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(written)])
+
     def _whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def _piece_after_space(self, rest: str) -> bytes:
+        if self.known_words and rest.isascii() and rest.isalpha():  # letters that are written as they are
+            return self._word(self.letters[32] + rest)
+        return self._piece(" " + rest)
+
     def _piece(self, piece: str) -> bytes:
-        if _WORD.fullmatch(piece):  # no rule can split it
-            written = piece.encode().decode("latin-1").translate(self.letters)
-            return self._packed([t.id for t in self.model.tokenize(written)])
-        if _SIGN_AFTER_WORD.fullmatch(piece):  # a word of letters ends before the sign
-            word = self.after_space[piece[1:-1]] if piece[0] == " " else self.pieces[piece[:-1]]
-            return word + self.pieces[piece[-1]]
-        if _WORD_OF_LINE.fullmatch(piece):
-            return self.pieces["\n"] + self.pieces[piece[1:]]
+        if self.known_words:
+            if _WORD.fullmatch(piece):  # no rule can split it
+                return self._word(piece.encode().decode("latin-1").translate(self.letters))
+            if found := _SIGNS_AFTER_WORD.fullmatch(piece):  # a word of letters ends before the signs
+                word, signs = found.groups()
+                return (self.after_space[word[1:]] if word[0] == " " else self.pieces[word]) + self.pieces[signs]
+            if _WORD_OF_LINE.fullmatch(piece):
+                return self.pieces["\n"] + self.pieces[piece[1:]]
         parts = _CUT.split(piece)
         return b"".join(map(self.pieces.__getitem__, parts)) if len(parts) > 1 else self._whole(piece)
 
     def encode(self, text: str | None) -> bytes:
         if not self.cut or not text:
             return self._whole(text or "") + self.end
-        if _ODD_SPACE.search(text):
+        if has_odd_space(text):
             return b"".join([*map(self.pieces.__getitem__, _CUT.split(text)), self.end])
         first, *rest = text.split(" ")
         return b"".join([self.pieces[first], *map(self.after_space.__getitem__, rest), self.end])

@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import zlib
 
@@ -143,3 +144,39 @@ def test_folders_as_spark_names_them(tmp_path):
 
 def test_empty_table(spark):
     assert token_files.token_digests(documents(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_words_with_signs_need_no_library_rules(tokenizer, monkeypatch):
+    encoder = token_files.Encoder(open(FILE, encoding="utf-8").read(), 2)
+    asked, whole = [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda text: asked.append(text) or whole(text))
+    words = ["".join(random.Random(i).choices("abcdeé", k=6)) for i in range(200)]
+    texts = [f"x {w}*** {w},&&& {w}.\n{w}$$$ {w}%%%\n{w}_- {w}" for w in words]
+    assert [np.frombuffer(encoder.encode(t), encoder.kind).tolist() for t in texts] == [ids_of(tokenizer, t) for t in texts]
+    assert {*asked} <= {"***", ",&&&", ".", "\n", "$$$", "%%%", "_-"}
+
+
+def test_runs_of_signs_give_the_ids_of_the_whole_text(tokenizer):
+    draw = random.Random(5)
+    signs = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", " ", "\n", "a", "Bc", "é", "1", "'s", "n't", "ª", "字", "<|endoftext|>"]
+    encoder = token_files.Encoder(open(FILE, encoding="utf-8").read(), 2)
+    for text in ("".join(draw.choices(signs, k=draw.randrange(30))) for _ in range(6000)):
+        assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == ids_of(tokenizer, text), repr(text)
+
+
+def test_odd_spaces_are_those_of_the_pattern():
+    draw = random.Random(7)
+    signs = [*"ab   \n\t\r\x0b\x1c\x85", "é", "字", " ", "　", "​"]
+    for text in ("".join(draw.choices(signs, k=draw.randrange(9))) for _ in range(20_000)):
+        assert token_files.has_odd_space(text) == bool(token_files._ODD_SPACE.search(text)), repr(text)
+
+
+@pytest.mark.parametrize("content", ["ab", "b", "7", "c..", "**"])
+def test_added_tokens_within_words(content):
+    rules = json.loads(open(FILE, encoding="utf-8").read())
+    rules["added_tokens"].append(rules["added_tokens"][0] | {"id": 60_000, "content": content})
+    body = json.dumps(rules)
+    encoder, own = token_files.Encoder(body, 2), Tokenizer.from_str(body)
+    assert encoder.cut
+    for text in ("cab abc", "cab abc..", "ab\nabc..", "17 77", "x** c", "\nab**"):
+        assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == ids_of(own, text), text
